@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import wavelet
+from ctxloom.llm import chat, wavelet
 
 QUERIES = {
     "op5_wavelet_tokens": wavelet.op5,
+    "op9_chat_windows": chat.op9,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_chat_windows": chat.SQL,
+}
