@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, wavelet
+from ctxloom.llm import chat, packing, wavelet
 
 QUERIES = {
     "op5_wavelet_tokens": wavelet.op5,
+    "op6_length_buckets": packing.op6,
     "op9_chat_windows": chat.op9,
 }
 
