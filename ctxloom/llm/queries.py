@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, packing, wavelet
+from ctxloom.llm import chat, packing, quality, wavelet
 
 QUERIES = {
+    "op2_crf_quality": quality.op2,
     "op5_wavelet_tokens": wavelet.op5,
     "op6_length_buckets": packing.op6,
     "op9_chat_windows": chat.op9,
