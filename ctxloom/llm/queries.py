@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, packing, quality, wavelet
+from ctxloom.llm import chat, packing, quality, toxicity, wavelet
 
 QUERIES = {
     "op2_crf_quality": quality.op2,
+    "op4_ordinal_toxicity": toxicity.op4,
     "op5_wavelet_tokens": wavelet.op5,
     "op6_length_buckets": packing.op6,
     "op9_chat_windows": chat.op9,
