@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, packing, quality, toxicity, wavelet
+from ctxloom.llm import chat, decontam, packing, quality, toxicity, wavelet
 
 QUERIES = {
+    "op1_bm25_decontamination": decontam.op1,
     "op2_crf_quality": quality.op2,
     "op4_ordinal_toxicity": toxicity.op4,
     "op5_wavelet_tokens": wavelet.op5,
