@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, decontam, packing, quality, substrings, toxicity, wavelet
+from ctxloom.llm import chat, decontam, minhash, packing, quality, substrings, toxicity, wavelet
 
 QUERIES = {
     "op1_bm25_decontamination": decontam.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ordinal_toxicity": toxicity.op4,
     "op5_wavelet_tokens": wavelet.op5,
     "op6_length_buckets": packing.op6,
+    "op7_order_minhash": minhash.op7,
     "op8_debruijn_substrings": substrings.op8,
     "op9_chat_windows": chat.op9,
 }
