@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, decontam, minhash, packing, quality, substrings, toxicity, wavelet
+from ctxloom.llm import chat, decontam, lines, minhash, packing, quality, substrings, toxicity, wavelet
 
 QUERIES = {
     "op1_bm25_decontamination": decontam.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_order_minhash": minhash.op7,
     "op8_debruijn_substrings": substrings.op8,
     "op9_chat_windows": chat.op9,
+    "op10_fuzzy_lines": lines.op10,
 }
 
 ORACLE: dict[str, str] = {
