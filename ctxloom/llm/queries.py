@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, decontam, lines, minhash, packing, quality, substrings, toxicity, wavelet
+from ctxloom.llm import chat, decontam, hamming, lines, minhash, packing, quality, substrings, toxicity, wavelet
 
 QUERIES = {
     "op1_bm25_decontamination": decontam.op1,
     "op2_crf_quality": quality.op2,
+    "op3_multi_index_hamming": hamming.op3,
     "op4_ordinal_toxicity": toxicity.op4,
     "op5_wavelet_tokens": wavelet.op5,
     "op6_length_buckets": packing.op6,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_multi_index_hamming": hamming.SQL,
     "op9_chat_windows": chat.SQL,
 }
