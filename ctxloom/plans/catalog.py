@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import importlib
+import pkgutil
+
+from ctxloom import plans
+from ctxloom.plans.registry import ORACLE, QUERIES
+
+for _m in sorted(m.name for m in pkgutil.iter_modules(plans.__path__) if m.name.startswith("q_")):
+    importlib.import_module(f"ctxloom.plans.{_m}")
+
+__all__ = ["ORACLE", "QUERIES"]
