@@ -30,9 +30,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ctxloom-{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors."""
+def keep(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+    """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    share: a table known to be so many times smaller than the corpus is written by as many times fewer tasks.
+    """
     spark = df.sparkSession
+    if share > 1:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     at = new_path(spark, name)
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)

@@ -6,7 +6,8 @@ the bucket's first one, then with groups of further members that grow eightfold,
 
 * that are in one component already, and
 * that the triangle inequality rules out: the distances of both to the bucket's first member differ
-  by more than the pair's tolerance.
+  by more than the pair's tolerance, and
+* where members are sets: whose features that no other member left has rule a near enough pair out.
 
 So a bucket of n near copies costs about n comparisons, and no pair that could join two components is
 skipped. All joins are on the bucket with one side filtered, and run as Spark joins that split hot keys.
@@ -16,13 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.llm import _base as B
 
 #: Members of a bucket that are compared with all others at once; grows eightfold from round to round.
 GROUP = 16
+#: Links and labels are few beside the rows they come from: so many times fewer tasks write them.
+SHARE = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,31 +33,42 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its least neighbour, follows hooks twice and contracts the edges.
     """
-    e = B.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    e = B.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", SHARE)
     nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id"))
-    nodes = B.keep(nodes, "nodes")
+    nodes = B.keep(nodes, "nodes", SHARE)
     while not e.isEmpty():
         hook = e.groupBy("b").agg(F.min("a").alias("a"))
         up = hook.select(F.col("b").alias("a"), F.col("a").alias("top"))
-        hook = B.keep(hook.join(up, "a", "left").select("b", F.coalesce("top", "a").alias("top")), "hooks")
+        hook = B.keep(hook.join(up, "a", "left").select("b", F.coalesce("top", "a").alias("top")), "hooks", SHARE)
         of = lambda c, df: df.join(hook.select(F.col("b").alias(c), F.col("top").alias(f"{c}_top")), c, "left").withColumn(c, F.coalesce(f"{c}_top", c)).drop(f"{c}_top")  # noqa: B023, E731
         old = (e, nodes)
         e = of("b", of("a", e)).where("a <> b")
-        e = B.keep(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        nodes = B.keep(of("label", nodes), "nodes")
+        e = B.keep(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", SHARE)
+        nodes = B.keep(of("label", nodes), "nodes", SHARE)
         for x in old:
             B.forget(x)
     return nodes
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def _busy(x: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that are not all in their first member's component, each with its label and whether it is apart."""
+    own = labels.select("id", F.col("label").alias("own"))
+    head = labels.select(F.col("id").alias("lead"), F.col("label").alias("head"))
+    cur = x.join(own, "id", "left").join(head, "lead", "left").withColumn("own", F.coalesce("own", "id")).withColumn("apart", F.col("own") != F.coalesce("head", "lead"))
+    return cur.join(cur.where("apart").select("bucket").distinct(), "bucket", "left_semi")
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: int = GROUP, features: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, labels) of members (bucket, id, ord, tol).
 
     ord orders a bucket's members; tol is the largest distance at which the id may link. verify takes
     distinct pairs (a, b) and returns (a, b, dist, ok); where dist is null the pair is farther apart
-    than either tolerance, by an unknown distance. links has the verified pairs (a, b, dist), labels
-    (id, label) of each linked id.
+    than either tolerance, by an unknown distance. features, if the distance is one of sets (1 - shared
+    / all), takes ids and returns (id, feature), each once. near is a condition that candidate pairs must
+    meet, over further columns of members, named with p_ and q_ before them. links has the verified pairs (a, b, dist),
+    labels (id, label) of each linked id.
     """
+    more_columns = [c for c in members.columns if c not in ("bucket", "id", "ord", "tol")]
     first = members.groupBy("bucket").agg(F.min(F.struct("ord", "id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.id").alias("lead"), "n")
     m = B.keep(members.join(first, "bucket"), "members")
     pairs = m.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
@@ -66,38 +80,48 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     x = m.where("n > 2 and id <> lead").withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id")).join(v, ["a", "b"]).drop("a", "b")
     share = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20)
     level = F.greatest(F.lit(0), F.floor(F.log(8.0, F.greatest(share * F.col("n") / group, F.lit(1.0)))).cast("int"))
-    x = B.keep(x.withColumn("level", level), "rest")
+    x = B.keep(_busy(x.withColumn("level", level), labels), "rest")
+    if features is None:
+        x = x.withColumn("size", F.lit(1)).withColumn("own_features", F.lit(0))
+    else:
+        f = B.keep(features(x.select("id").distinct()), "features")
+        alone = f.groupBy("feature").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own_features"))
+        size = f.groupBy("id").agg(F.count("*").alias("size")).join(alone, "id", "left").select("id", "size", F.coalesce("own_features", F.lit(0)).alias("own_features"))
+        # one whose own features alone put every other one too far away has no pair left
+        x = x.join(B.keep(size, "sizes", SHARE), "id").where(F.col("own_features") <= F.col("tol") * F.col("size") + 1e-9)
+        x = B.keep(x.join(x.where("apart").select("bucket").distinct(), "bucket", "left_semi"), "rest")
+    cur, fresh = x, True
     top = x.agg(F.max("level")).first()[0]
     for r in range(0 if top is None else top + 1):
-        own = labels.select("id", F.col("label").alias("own"))
-        head = labels.select(F.col("id").alias("lead"), F.col("label").alias("head"))
-        cur = x.where(F.col("level") >= r).join(own, "id", "left").join(head, "lead", "left")
-        cur = cur.withColumn("own", F.coalesce("own", "id")).withColumn("apart", F.col("own") != F.coalesce("head", "lead"))
-        # a bucket all of whose members are with its first one has nothing left to join
-        busy = cur.where("apart").select("bucket").distinct()
-        cur = B.keep(cur.join(busy, "bucket", "left_semi").select("bucket", "id", "tol", "dist", "level", "own", "apart"), "round")
-        p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "own", "apart"))) for s in "pq")
+        if not fresh:
+            cur, fresh = B.keep(_busy(x.drop("own", "head", "apart").where(F.col("level") >= r), labels), "round"), True
+        p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "size", "own_features", "own", "apart", *more_columns))) for s in "pq")
         lead = p.where(F.col("p_level") == r)
+        q = q.where(F.col("q_level") >= r)
         after = (F.col("q_level") > r) | (F.col("q_id") > F.col("p_id"))
-        may = (F.col("p_own") != F.col("q_own")) & after & ~F.coalesce(F.abs(F.col("p_dist") - F.col("q_dist")) > F.greatest("p_tol", "q_tol"), F.lit(False))
+        shared = F.least(F.col("p_size") - F.col("p_own_features"), F.col("q_size") - F.col("q_own_features"))
+        room = F.lit(True) if features is None else 1 - shared / (F.col("p_size") + F.col("q_size") - shared) <= F.greatest("p_tol", "q_tol") + 1e-9
+        may = (F.col("p_own") != F.col("q_own")) & after & room & ~F.coalesce(F.abs(F.col("p_dist") - F.col("q_dist")) > F.greatest("p_tol", "q_tol"), F.lit(False))
+        if near is not None:
+            may = may & near()
         # one side is always apart from the bucket's first component, so that its members never meet each other here
         some = lead.join(q.where("q_apart"), "bucket").where(may).select("p_id", "q_id")
         some = some.unionByName(lead.where("p_apart").join(q.where("not q_apart"), "bucket").where(may).select("p_id", "q_id"))
         pairs = some.select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = B.keep(pairs, "pairs")
+        pairs = B.keep(pairs, "pairs", SHARE)
         if pairs.isEmpty():
             continue
         tested.append(B.keep(verify(pairs), "verified"))
         more = tested[-1].where("ok").select("a", "b", "dist")
+        if more.isEmpty():
+            continue
         links = links.unionByName(more)
-        if r < top:
-            # only labels meet: the new links' components are few
-            lab = lambda c, df: df.join(labels.select(F.col("id").alias(c), F.col("label").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
-            merged = components(lab("b", lab("a", more.select("a", "b"))))
-            ids = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
-            labels = B.keep(ids.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-    if len(tested) > 1:
-        labels = components(links)
+        fresh = False
+        # only labels meet: the new links' components are few
+        lab = lambda c, df: df.join(labels.select(F.col("id").alias(c), F.col("label").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
+        merged = components(lab("b", lab("a", more.select("a", "b"))))
+        ids = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
+        labels = B.keep(ids.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels", SHARE)
     return links, labels

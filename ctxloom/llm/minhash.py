@@ -9,7 +9,7 @@ buckets with probability over 0.9999.
 Candidates are verified by a banded alignment of their words: with m five-word shingles intact in the
 alignment and n_a, n_b in all, the similarity m / (n_a + n_b - m) must be at least 0.8. Before that,
 the shared shingles give a bound of the similarity that most unrelated pairs fail. 1 - that bound is a
-metric, which link() uses to leave out comparisons. Classes are the connected components of verified
+metric, and so link() can leave out comparisons that cannot succeed. Classes are the connected components of verified
 pairs. Texts under five words have one shingle: all their words. Texts without words, null ones
 included, are never linked: each is a class of its own.
 """
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
     # equal rows are one row here; the caller's key brings them back
     rows = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), cut, "key long, doc_id long, text_id long, n_words long, bands array<long>"), "sketches")
-    text = rows.groupBy("text_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key")).alias("first"), F.first("bands").alias("bands"))
+    text = B.keep(rows.groupBy("text_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key")).alias("first"), F.first("bands").alias("bands")), "texts")
     member = text.select(F.explode("bands").alias("bucket"), F.col("text_id").alias("id"), F.col("first.d").alias("ord"), F.lit(1 - similarity).alias("tol"), F.col("first.key").alias("key"))
     crowd = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     member = B.keep(member.join(crowd, "bucket"), "candidates")
@@ -205,7 +205,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
         return B.arrow_map(p, run, "a long, b long, dist double, ok boolean")
 
-    links, labels = link(member.drop("key"), verify)
+    def features(ids: DataFrame) -> DataFrame:
+        def run(part: pa.RecordBatch):
+            raw, off = B.text_bytes(part.column("text"))
+            s, e, first = B.word_spans(raw, off)
+            g, begin = shingles(B.word_hashes(raw, s, e), first)
+            return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(B.doc_of(begin))), pa.array(B.signed(g))], ["id", "feature"])
+
+        return B.arrow_map(held.join(ids, "id"), run, "id long, feature long")
+
+    links, labels = link(member.drop("key"), verify, features=features)
     return rows.select("key", "doc_id", "text_id", "n_words"), links, labels
 
 
