@@ -7,7 +7,8 @@ the bucket's first one, then with groups of further members that grow eightfold,
 * that are in one component already, and
 * that the triangle inequality rules out: the distances of both to the bucket's first member differ
   by more than the pair's tolerance, and
-* where members are sets: whose features that no other member left has rule a near enough pair out.
+* where members are sets: whose features that no other member has, and those shared with the bucket's
+  first member, rule a near enough pair out.
 
 So a bucket of n near copies costs about n comparisons, and no pair that could join two components is
 skipped. All joins are on the bucket with one side filtered, and run as Spark joins that split hot keys.
@@ -82,24 +83,30 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     level = F.greatest(F.lit(0), F.floor(F.log(8.0, F.greatest(share * F.col("n") / group, F.lit(1.0)))).cast("int"))
     x = B.keep(_busy(x.withColumn("level", level), labels), "rest")
     if features is None:
-        x = x.withColumn("size", F.lit(1)).withColumn("own_features", F.lit(0))
+        x = x.withColumn("size", F.lit(1)).withColumn("own_features", F.lit(0)).withColumn("inside", F.lit(0)).withColumn("common", F.lit(0))
     else:
-        f = B.keep(features(x.select("id").distinct()), "features")
+        f = B.keep(features(x.select("id").unionByName(x.select(F.col("lead").alias("id"))).distinct()), "features")
         alone = f.groupBy("feature").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own_features"))
         size = f.groupBy("id").agg(F.count("*").alias("size")).join(alone, "id", "left").select("id", "size", F.coalesce("own_features", F.lit(0)).alias("own_features"))
+        size = B.keep(size, "sizes", SHARE)
         # one whose own features alone put every other one too far away has no pair left
-        x = x.join(B.keep(size, "sizes", SHARE), "id").where(F.col("own_features") <= F.col("tol") * F.col("size") + 1e-9)
+        x = x.join(size, "id").where(F.col("own_features") <= F.col("tol") * F.col("size") + 1e-9)
+        x = x.join(size.select(F.col("id").alias("lead"), F.col("size").alias("lead_size")), "lead")
+        # features shared with the first member follow from the distance; what is neither there nor its own may be common
+        x = x.withColumn("inside", F.round((1 - F.col("dist")) * (F.col("size") + F.col("lead_size")) / (2 - F.col("dist"))))
+        x = x.withColumn("common", F.greatest(F.lit(0), F.col("size") - F.col("inside") - F.col("own_features"))).drop("lead_size")
         x = B.keep(x.join(x.where("apart").select("bucket").distinct(), "bucket", "left_semi"), "rest")
     cur, fresh = x, True
     top = x.agg(F.max("level")).first()[0]
     for r in range(0 if top is None else top + 1):
         if not fresh:
             cur, fresh = B.keep(_busy(x.drop("own", "head", "apart").where(F.col("level") >= r), labels), "round"), True
-        p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "size", "own_features", "own", "apart", *more_columns))) for s in "pq")
+        p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "size", "own_features", "inside", "common", "own", "apart", *more_columns))) for s in "pq")
         lead = p.where(F.col("p_level") == r)
         q = q.where(F.col("q_level") >= r)
         after = (F.col("q_level") > r) | (F.col("q_id") > F.col("p_id"))
-        shared = F.least(F.col("p_size") - F.col("p_own_features"), F.col("q_size") - F.col("q_own_features"))
+        # a pair shares at most what both share with the first member, and what is common outside it
+        shared = F.least(F.col("p_size") - F.col("p_own_features"), F.col("q_size") - F.col("q_own_features"), F.least("p_inside", "q_inside") + F.least("p_common", "q_common"))
         room = F.lit(True) if features is None else 1 - shared / (F.col("p_size") + F.col("q_size") - shared) <= F.greatest("p_tol", "q_tol") + 1e-9
         may = (F.col("p_own") != F.col("q_own")) & after & room & ~F.coalesce(F.abs(F.col("p_dist") - F.col("q_dist")) > F.greatest("p_tol", "q_tol"), F.lit(False))
         if near is not None:
