@@ -10,8 +10,9 @@ the bucket's first one, then with groups of further members that grow eightfold,
 * where members are sets: whose features that no other member has, and those shared with the bucket's
   first member, rule a near enough pair out.
 
-So a bucket of n near copies costs about n comparisons, and no pair that could join two components is
-skipped. All joins are on the bucket with one side filtered, and run as Spark joins that split hot keys.
+A pair that shares several buckets is formed in the least of them only. So a bucket of n near copies
+costs about n comparisons, and no pair that could join two components is skipped. All joins are on the
+bucket with one side filtered, and run as Spark joins that split hot keys.
 """
 
 from __future__ import annotations
@@ -96,12 +97,15 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         x = x.withColumn("inside", F.round((1 - F.col("dist")) * (F.col("size") + F.col("lead_size")) / (2 - F.col("dist"))))
         x = x.withColumn("common", F.greatest(F.lit(0), F.col("size") - F.col("inside") - F.col("own_features"))).drop("lead_size")
         x = B.keep(x.join(x.where("apart").select("bucket").distinct(), "bucket", "left_semi"), "rest")
+    # a pair meets in the least of its buckets only; what rules it out there does so everywhere
+    mine = x.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+    x = B.keep(x.join(mine, "id"), "rest")
     cur, fresh = x, True
     top = x.agg(F.max("level")).first()[0]
     for r in range(0 if top is None else top + 1):
         if not fresh:
             cur, fresh = B.keep(_busy(x.drop("own", "head", "apart").where(F.col("level") >= r), labels), "round"), True
-        p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "size", "own_features", "inside", "common", "own", "apart", *more_columns))) for s in "pq")
+        p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "size", "own_features", "inside", "common", "own", "apart", "buckets", *more_columns))) for s in "pq")
         lead = p.where(F.col("p_level") == r)
         q = q.where(F.col("q_level") >= r)
         after = (F.col("q_level") > r) | (F.col("q_id") > F.col("p_id"))
@@ -111,6 +115,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         may = (F.col("p_own") != F.col("q_own")) & after & room & ~F.coalesce(F.abs(F.col("p_dist") - F.col("q_dist")) > F.greatest("p_tol", "q_tol"), F.lit(False))
         if near is not None:
             may = may & near()
+        may = may & (F.array_min(F.array_intersect("p_buckets", "q_buckets")) == F.col("bucket"))
         # one side is always apart from the bucket's first component, so that its members never meet each other here
         some = lead.join(q.where("q_apart"), "bucket").where(may).select("p_id", "q_id")
         some = some.unionByName(lead.where("p_apart").join(q.where("not q_apart"), "bucket").where(may).select("p_id", "q_id"))

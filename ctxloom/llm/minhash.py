@@ -219,8 +219,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, doc_id, class_id, n_links, first): class_id is the class's least doc_id, n_links the verified links of
-    the row's text to other texts, first whether it is the class's first row (by doc_id, then key)."""
+    """(key, doc_id, class_id, n_links, first): class_id is the class's least doc_id, n_links the links of the row's
+    text to other texts among the pairs that were compared (texts of one class already are not, so it is no count of all pairs), first whether it is the class's first row (by doc_id, then key)."""
     rows, links, labels = near_duplicates(docs, similarity)
     n = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n_links"))
     r = rows.join(labels.select(F.col("id").alias("text_id"), "label"), "text_id", "left").join(n, "text_id", "left")
