@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.llm import _base as B
-from ctxloom.llm._links import link
+from ctxloom.llm._links import SHARE, link
 
 SKETCHES, ORDER = 20, 4
 SHINGLE = 5
@@ -223,10 +223,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     text to other texts among the pairs that were compared (texts of one class already are not, so it is no count of all pairs), first whether it is the class's first row (by doc_id, then key)."""
     rows, links, labels = near_duplicates(docs, similarity)
     n = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n_links"))
-    r = rows.join(labels.select(F.col("id").alias("text_id"), "label"), "text_id", "left").join(n, "text_id", "left")
+    # both joins read written tables, so that Spark can split a text or class that holds many of the rows
+    r = rows.join(B.keep(labels.select(F.col("id").alias("text_id"), "label").join(n, "text_id", "left"), "linked", SHARE), "text_id", "left")
     r = r.withColumn("label", F.coalesce("label", "text_id")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     best = r.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "doc_id", "key")).alias("best"))
-    r = r.join(best, "label")
+    r = r.join(B.keep(best, "firsts"), "label")
     return r.select("key", "doc_id", F.col("best.doc_id").alias("class_id"), "n_links", (F.col("key") == F.col("best.key")).alias("first"))
 
 
