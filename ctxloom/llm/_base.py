@@ -30,6 +30,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ctxloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a written table are not read again, and go when it is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors.
 
@@ -39,7 +43,15 @@ def keep(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     if share > 1:
         df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     at = new_path(spark, name)
-    df.write.parquet(at)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(at)
     out._ctxloom_path = at
     return out
