@@ -1,10 +1,12 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Fuzzy line dedup: SimHash and word bands, edit similarity, one occurrence per connected group.
 
 A line is normalised: lower case, digits to 0, punctuation off, white space to one space. Lines of
 under MIN_WORDS words are left alone. Equal normalised lines are one line with a hash; different ones
-get a 64-bit SimHash of their words of LONG bytes and more (of all words, if none is). Two SimHashes that differ in at
-most MAX_BITS = 3 bits agree on two of five blocks, so each line is in ten buckets (pairs of blocks,
-about 26 bits). Candidates are verified by Levenshtein distance: similar if 1 - distance / longer
+get a 64-bit SimHash of their words and of the four letters at each word's start and end. Two SimHashes
+that differ in at most three bits agree on three of six blocks, so each line is in twenty buckets
+(triples of blocks, about 32 bits). An edited word or two flip more bits than that in most lines, so a
+line is also in BANDS buckets of WIDE least hashes of its words, which edits leave alone if any band's
+words stay. Every pair of a bucket is judged by Levenshtein distance alone: similar if 1 - distance / longer
 length is at least 0.8. Of each connected group the first occurrence (by doc_id, row key, line) stays.
 
 Buckets go through link(), so a hot one costs a comparison a member; texts of candidate lines only are
@@ -25,10 +27,13 @@ from ctxloom.llm._links import link
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BLOCKS, AGREE = 5, 2
-LONG = 4
-MAX_BITS = BLOCKS - AGREE
+BLOCKS, AGREE = 6, 3
+#: Bands of least word hashes, and hashes of each. Lines that share 4 of 5 words are in one with probability 0.99, 2 of 3 words 0.81.
+BANDS, WIDE = 12, 5
+#: Buckets of a line are formed so many kinds at a time, which bounds what a shuffle holds.
+AT_ONCE = 8
 _EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+_ODD = np.random.default_rng(10).integers(0, 1 << 63, BANDS * WIDE, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
 _MAP[48:58] = 48
@@ -67,11 +72,23 @@ def simhash(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def word_bands(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """BANDS 32-bit hashes of each stretch, of WIDE least values each; stretches are not empty."""
+    least = np.stack([np.minimum.reduceat(h * odd, start) for odd in _ODD], axis=1)
+    at = np.arange(len(start) * BANDS) * WIDE
+    return (B.span_hashes(least.ravel(), at, at + WIDE) >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1, BANDS)
+
+
 def line_table(col: pa.Array):
     """(text, line number, hash, SimHash, words) of each line of at least MIN_WORDS words."""
+    return _line_table(col)[:5]
+
+
+def _line_table(col: pa.Array):
+    """line_table() and the word bands."""
     raw, off = B.text_bytes(col)
     n = len(raw)
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.int32))
     if not n:
         return none
     raw = _MAP[raw]
@@ -90,35 +107,42 @@ def line_table(col: pa.Array):
     # an empty text before it may share its offset; the last such text owns the line
     w0, size = w0[keep], size[keep]
     word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w0, size)
-    # features: words of four bytes or more, all words of a line that has none; common short words would crowd the buckets
+    # features: words, and four letters at each word's start and end
+    values = B._BYTE[raw]
+    part = np.minimum(we[word] - ws[word], 4)
+    head = B.mix(B.span_hashes(values, ws[word], ws[word] + part) + np.uint64(1))
+    tail = B.mix(B.span_hashes(values, we[word] - part, we[word]) + np.uint64(2))
+    features = np.stack([h[word], head, tail], axis=1).ravel()
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    long = (we - ws)[word] >= LONG
-    use = long | np.repeat(np.add.reduceat(long.astype(np.int64), begin) == 0, size)
-    start = np.concatenate([[0], np.cumsum(np.add.reduceat(use.astype(np.int64), begin))])[:-1]
-    return doc[keep], number[keep], B.span_hashes(h, w0, w0 + size), simhash(h[word][use], start), size
+    return doc[keep], number[keep], B.span_hashes(h, w0, w0 + size), simhash(features, 3 * begin), size, word_bands(h[word], begin)
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
 
     def cut(part: pa.RecordBatch):
-        doc, number, h, sim, _ = line_table(part.column("text"))
+        doc, number, h, sim, _, bands = _line_table(part.column("text"))
         at = pa.array(doc)
-        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), pa.array(B.signed(sim))], ["key", "doc_id", "line", "hash", "sim"])
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), pa.array(B.signed(sim)), bands], ["key", "doc_id", "line", "hash", "sim", "bands"])
 
-    lines = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), cut, "key long, doc_id long, line int, hash long, sim long"), "lines")
+    lines = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), cut, "key long, doc_id long, line int, hash long, sim long, bands array<int>"), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key", "line")
-    kind = B.keep(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n")), "kinds")
+    kind = B.keep(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.count("*").alias("n")), "kinds")
 
     blocks = [F.shiftrightunsigned("sim", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(_EDGES, _EDGES[1:])]
-    buckets = F.array(*[F.shiftleft(blocks[i], 32).bitwiseOR(F.shiftleft(blocks[j], 8)).bitwiseOR(F.lit(k).cast("long")) for k, (i, j) in enumerate(combinations(range(BLOCKS), AGREE))])
-    # a bucket needs two different SimHashes or lines: count first, then fetch what is left
-    spread = kind.select("hash", F.explode(buckets).alias("bucket"))
-    crowd = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    crowd = B.keep(crowd, "crowded")
-    near = B.keep(spread.join(crowd, "bucket").select("bucket", F.col("hash").alias("id")), "candidates")
+    sims = [F.shiftleft(blocks[i], 22).bitwiseOR(F.shiftleft(blocks[j], 11)).bitwiseOR(blocks[k]) for i, j, k in combinations(range(BLOCKS), AGREE)]
+    words = [F.get("bands", F.lit(k)).cast("long").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(BANDS)]
+    buckets = [x.bitwiseOR(F.lit(k << 40)) for k, x in enumerate(sims + words)]
+    # a bucket needs two different lines: count first, then fetch what is left
+    near = None
+    for k in range(0, len(buckets), AT_ONCE):
+        spread = kind.select("hash", F.explode(F.array(*buckets[k: k + AT_ONCE])).alias("bucket"))
+        crowd = B.keep(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "crowded")
+        part = B.keep(spread.join(crowd, "bucket").select("bucket", F.col("hash").alias("id")), "candidates")
+        near = part if near is None else near.unionByName(part)
     asked = near.select(F.col("id").alias("hash")).distinct()
-    held = kind.join(asked, "hash").select("hash", "sim", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
+    held = kind.join(asked, "hash").select("hash", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
     held = B.keep(held, "asked")
     per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash")).alias("asked"))
 
@@ -131,22 +155,20 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.string())], ["id", "said"])
 
     said = B.arrow_map(docs.select("key", "text").join(per_doc, "key"), fetch, "id long, said string").groupBy("id").agg(F.first("said").alias("said"))
-    held = B.keep(said.join(held.select(F.col("hash").alias("id"), "sim", "ord"), "id"), "candidate-lines")
+    held = B.keep(said.join(held.select(F.col("hash").alias("id"), "ord"), "id"), "candidate-lines")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (held.select(F.col("id").alias(c), F.col("said").alias(f"said_{c}"), F.col("sim").alias(f"sim_{c}")) for c in "ab")
+        x, y = (held.select(F.col("id").alias(c), F.col("said").alias(f"said_{c}")) for c in "ab")
         p = pairs.join(x, "a").join(y, "b")
         size = F.greatest(F.length("said_a"), F.length("said_b"))
         far = F.floor(size * (1 - similarity)).cast("int")
-        near_ = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= MAX_BITS
-        # pairs of a bucket that differ in more bits are no candidates; their distance stays unknown
         bound = F.abs(F.length("said_a") - F.length("said_b")) <= far
-        d = F.when(near_ & bound, F.call_function("levenshtein", F.col("said_a"), F.col("said_b"), far))
+        d = F.when(bound, F.call_function("levenshtein", F.col("said_a"), F.col("said_b"), far))
         return p.withColumn("d", d).select("a", "b", F.when(F.col("d") >= 0, F.col("d").cast("double")).alias("dist"), F.coalesce(F.col("d") >= 0, F.lit(False)).alias("ok"))
 
-    members = near.join(held.select("id", "ord", "sim", F.floor(F.length("said") * (1 - similarity)).cast("double").alias("tol")), "id")
-    close = lambda: F.bit_count(F.col("p_sim").bitwiseXOR(F.col("q_sim"))) <= MAX_BITS
-    _, labels = link(members.select("bucket", "id", "ord", "tol", "sim"), verify, near=close)
+    members = near.join(held.select("id", "ord", F.length("said").alias("len"), F.floor(F.length("said") * (1 - similarity)).cast("double").alias("tol")), "id")
+    fits = lambda: F.abs(F.col("p_len") - F.col("q_len")) <= F.greatest("p_tol", "q_tol")
+    _, labels = link(members.select("bucket", "id", "ord", "tol", "len"), verify, near=fits)
     group = kind.join(labels.select(F.col("id").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
     whole = group.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("label", "keep")
     # a row per line kind that occurs twice or is in a group; lines of a hot kind split over tasks

@@ -99,3 +99,32 @@ def test_equal_rows_and_empty(spark):
     # equal rows are one row with one key: neither loses its line to the other
     assert [(r.key, r.line) for r in L.duplicate_lines(df).collect()] == [(df.where("doc_id = 2").first().key, 0)]
     assert L.duplicate_lines(df.limit(0)).count() == 0
+
+
+def test_recall_against_edit_similarity_alone(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), int(rng.integers(2, 8))))
+    said = []
+    for _ in range(25):
+        w = [word() for _ in range(int(rng.integers(8, 16)))]
+        said.append(w)
+        for _ in range(2):
+            v = list(w)
+            at = int(rng.integers(0, len(v)))
+            v[at] = word() if rng.random() < 0.5 else v[at] + "z"
+            said.append(v)
+    said = [" ".join(w) for w in said]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))
+    got = {r.doc_id for r in L.duplicate_lines(df).join(df, "key").select("doc_id").collect()}
+    like = lambda a, b: abs(len(a) - len(b)) <= int(max(len(a), len(b)) * 0.2) and lev(a, b) <= int(max(len(a), len(b)) * (1 - 0.8))
+    up = list(range(len(said)))
+    for i, x in enumerate(said):
+        for j in range(i):
+            if like(x, said[j]):
+                a, b = sorted((up[i], up[j]))
+                up = [a if u == b else u for u in up]
+    want = {i for i, u in enumerate(up) if u != i}
+    assert got <= want and len(want) >= 40
+    recall = len(got) / len(want)
+    print(f"recall {recall:.3f} of {len(want)}")
+    assert recall >= 0.95
