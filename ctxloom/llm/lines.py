@@ -1,8 +1,8 @@
 """Fuzzy line dedup: SimHash and word bands, edit similarity, one occurrence per connected group.
 
-A line is normalised: lower case, digits to 0, punctuation off, white space to one space. Lines of
-under MIN_WORDS words are left alone. Equal normalised lines are one line with a hash; different ones
-get a 64-bit SimHash of their words and of the four letters at each word's start and end. Two SimHashes
+A line is normalised: lower case, digits to 0, punctuation off, white space to one space. Equal
+normalised lines, of any number of words but none, are one line with a hash; those of under MIN_WORDS
+words are compared in this exact way only. Different lines of MIN_WORDS words and more get a 64-bit SimHash of their words and of the four letters at each word's start and end. Two SimHashes
 that differ in at most three bits agree on three of six blocks, so each line is in twenty buckets
 (triples of blocks, about 32 bits). An edited word or two flip more bits than that in most lines, so a
 line is also in BANDS buckets of WIDE least hashes of its words, which edits leave alone if any band's
@@ -84,8 +84,8 @@ def line_table(col: pa.Array):
     return _line_table(col)[:5]
 
 
-def _line_table(col: pa.Array):
-    """line_table() and the word bands."""
+def _line_table(col: pa.Array, least: int = MIN_WORDS):
+    """line_table() of lines of at least so many words, and the word bands."""
     raw, off = B.text_bytes(col)
     n = len(raw)
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.int32))
@@ -99,7 +99,7 @@ def _line_table(col: pa.Array):
     h = B.word_hashes(raw, ws, we)
     w0 = np.searchsorted(ws, start)
     size = np.diff(np.append(w0, len(ws)))
-    keep = np.flatnonzero(size >= MIN_WORDS)
+    keep = np.flatnonzero(size >= least)
     if not len(keep):
         return none
     doc = np.searchsorted(off, start, side="right") - 1
@@ -121,9 +121,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
 
     def cut(part: pa.RecordBatch):
-        doc, number, h, sim, _, bands = _line_table(part.column("text"))
+        doc, number, h, sim, size, bands = _line_table(part.column("text"), 1)
         at = pa.array(doc)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(size < MIN_WORDS))  # null: exact only
         return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), pa.array(B.signed(sim)), bands], ["key", "doc_id", "line", "hash", "sim", "bands"])
 
     lines = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), cut, "key long, doc_id long, line int, hash long, sim long, bands array<int>"), "lines")
@@ -135,9 +135,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     words = [F.get("bands", F.lit(k)).cast("long").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(BANDS)]
     buckets = [x.bitwiseOR(F.lit(k << 40)) for k, x in enumerate(sims + words)]
     # a bucket needs two different lines: count first, then fetch what is left
-    near = None
+    near, long = None, kind.where("bands IS NOT NULL")
     for k in range(0, len(buckets), AT_ONCE):
-        spread = kind.select("hash", F.explode(F.array(*buckets[k: k + AT_ONCE])).alias("bucket"))
+        spread = long.select("hash", F.explode(F.array(*buckets[k: k + AT_ONCE])).alias("bucket"))
         crowd = B.keep(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "crowded")
         part = B.keep(spread.join(crowd, "bucket").select("bucket", F.col("hash").alias("id")), "candidates")
         near = part if near is None else near.unionByName(part)

@@ -128,3 +128,10 @@ def test_recall_against_edit_similarity_alone(spark):
     recall = len(got) / len(want)
     print(f"recall {recall:.3f} of {len(want)}")
     assert recall >= 0.95
+
+
+def test_equal_short_lines_go_and_different_ones_stay(spark):
+    rows = [(1, "Chapter one\n\n..."), (2, "chapter ONE.\nchapter two\n\n..."), (3, "word"), (4, "Word!\nchapter one"), (5, "words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))
+    got = {(r.doc_id, r.line) for r in L.duplicate_lines(df).join(df, "key").select("doc_id", "line").collect()}
+    assert got == {(2, 0), (4, 0), (4, 1)}
