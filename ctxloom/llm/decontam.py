@@ -9,7 +9,8 @@ per block (for all passages of a batch at once); in blocks that may pass, postin
 item with a pivot, skipping items whose bound is below the threshold. Each hit is verified: the item's
 question and its answer (the text after the last line feed, or else its last sentence, or else its
 last third) must each have at least MIN_OVERLAP of their five-word shingles (or words, if shorter) in
-the passage.
+the passage, or of their words in an ordered alignment with a stretch of it, so that an edited word
+costs a part of n words 1 / n. Parts of under five words must be whole.
 
 The index goes to the tasks as a broadcast only in shards of at most INDEX_TERMS distinct terms and
 postings, one shard after the other, so a benchmark of any size works; the corpus is never shuffled.
@@ -78,6 +79,16 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return np.unique(B.span_hashes(h, i, i + n))
 
 
+def aligned(part: np.ndarray, text: np.ndarray) -> float:
+    """1 - edits / words of the part, for the fewest word edits that make it a stretch of the text."""
+    at = np.arange(len(text) + 1)
+    d = np.zeros(len(text) + 1, np.int64)
+    for k, w in enumerate(part, 1):
+        e = np.concatenate([[k], np.minimum(d[:-1] + (text != w), d[1:] + 1)])
+        d = np.minimum.accumulate(e - at) + at
+    return 1 - int(d.min()) / len(part)
+
+
 @dataclass
 class Index:
     """A shard: terms sorted by hash; postings of term t are items[first[t]:first[t + 1]], ascending, with impacts."""
@@ -88,7 +99,7 @@ class Index:
     impact: np.ndarray
     bound: np.ndarray  # terms x blocks, float32
     ids: list
-    parts: list  # per item: ((question shingles, their length), (answer shingles, length))
+    parts: list  # per item: ((question shingles, their length, words), (answer shingles, length, words))
     longest: int
 
     @staticmethod
@@ -109,7 +120,7 @@ class Index:
             qa = []
             for part in split_item(text):
                 p = words_of(pa.array([part]))[0]
-                qa.append((shingles(p), min(SHINGLE, len(p))))
+                qa.append((shingles(p), min(SHINGLE, len(p)), p))
             parts.append(qa)
         if not ids:
             z = np.zeros(0)
@@ -205,8 +216,10 @@ def _hits(index: Index, piece: pa.RecordBatch, threshold: float, overlap: float)
             for item, score in index.search(term[ends[p]: ends[p + 1]], blocks[rows == r], threshold):
                 text = h[lo[p]: hi[p]]
                 shares = []
-                for sh, n in index.parts[item]:
+                for sh, n, part in index.parts[item]:
                     shares.append(1.0 if not len(sh) else float(np.isin(sh, shingles(text, n)).mean()) if len(text) >= n else 0.0)
+                    if shares[-1] < overlap:
+                        shares[-1] = max(shares[-1], aligned(part, text))
                 if min(shares) >= overlap:
                     out.append((docs[p], index.ids[item], lo[p] - int(first[docs[p]]), hi[p] - int(first[docs[p]]), score, shares[0], shares[1]))
     return out

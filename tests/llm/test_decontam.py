@@ -66,3 +66,22 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.find(docs, bench).count() == 0
     assert D.find(docs.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_items_with_edited_words_are_found(spark):
+    rng = np.random.default_rng(3)
+    item = lambda q, a: tuple([f"u{int(i)}" for i in rng.integers(0, 100_000, n)] for n in (q, a))
+    pairs = [item(12, 6) for _ in range(20)] + [item(20, 10) for _ in range(20)]
+    docs, filler = [], lambda n: " ".join(f"f{int(i)}" for i in rng.integers(0, 500, n))
+    for k, (q, a) in enumerate(pairs):
+        q, a = list(q), list(a)
+        a[2] = "edited"
+        q[5] = "changed"
+        if k >= 20:
+            a[6], q[12] = "edited", "typo"
+        docs.append((k, f"{filler(30)} {' '.join(q)} {' '.join(a)} {filler(30)}"))
+    halves = [(100 + k, f"{filler(20)} {' '.join(q)} {filler(10)}") for k, (q, _) in enumerate(pairs)]
+    bench = spark.createDataFrame([(k, " ".join(q) + "\n" + " ".join(a)) for k, (q, a) in enumerate(pairs)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find(spark.createDataFrame(docs + halves, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k) for k in range(40)}
+    assert D.aligned(np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 7, 4, 5, 9])) == 0.8
