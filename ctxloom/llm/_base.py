@@ -18,9 +18,11 @@ U64 = np.uint64
 # ---------------------------------------------------------------- shared folder
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder all executors and the driver share: spark.checkpoint.dir; in local mode alone, a temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", "")
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark, "_ctxloom_shared", None) or "file://" + tempfile.mkdtemp(prefix="ctxloom-")
         spark._ctxloom_shared = at
     return at.rstrip("/")
@@ -66,6 +68,18 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -43,12 +43,13 @@ def components(edges: DataFrame) -> DataFrame:
         up = hook.select(F.col("b").alias("a"), F.col("a").alias("top"))
         hook = B.keep(hook.join(up, "a", "left").select("b", F.coalesce("top", "a").alias("top")), "hooks", SHARE)
         of = lambda c, df: df.join(hook.select(F.col("b").alias(c), F.col("top").alias(f"{c}_top")), c, "left").withColumn(c, F.coalesce(f"{c}_top", c)).drop(f"{c}_top")  # noqa: B023, E731
-        old = (e, nodes)
+        old = (e, nodes, hook)
         e = of("b", of("a", e)).where("a <> b")
         e = B.keep(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", SHARE)
         nodes = B.keep(of("label", nodes), "nodes", SHARE)
         for x in old:
             B.forget(x)
+    B.forget(e)
     return nodes
 
 
@@ -60,51 +61,58 @@ def _busy(x: DataFrame, labels: DataFrame) -> DataFrame:
     return cur.join(cur.where("apart").select("bucket").distinct(), "bucket", "left_semi")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: int = GROUP, features: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) of members (bucket, id, ord, tol).
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: int = GROUP, features: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[], Column] | None = None) -> DataFrame:
+    """(id, label) of each linked id of members (bucket, id, ord, tol): ids with one label are connected by verified pairs.
 
     ord orders a bucket's members; tol is the largest distance at which the id may link. verify takes
     distinct pairs (a, b) and returns (a, b, dist, ok); where dist is null the pair is farther apart
     than either tolerance, by an unknown distance. features, if the distance is one of sets (1 - shared
-    / all), takes ids and returns (id, feature), each once. near is a condition that candidate pairs must
-    meet, over further columns of members, named with p_ and q_ before them. links has the verified pairs (a, b, dist),
-    labels (id, label) of each linked id.
+    / all), takes ids and returns (feature, n, id): features with how many of the ids have them, in any number of
+    partial counts, and one of those ids; members then have a column size, the number of their features. near is a
+    condition that candidate pairs must meet, over further columns of members, named with p_ and q_ before them.
+    Intermediate tables are deleted; the caller deletes the result.
     """
-    more_columns = [c for c in members.columns if c not in ("bucket", "id", "ord", "tol")]
+    more_columns = [c for c in members.columns if c not in ("bucket", "id", "ord", "tol", "size")]
+    made = []
+
+    def keep(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+        made.append(B.keep(df, name, share))
+        return made[-1]
+
+    if features is None:
+        members = members.withColumn("size", F.lit(1))
     first = members.groupBy("bucket").agg(F.min(F.struct("ord", "id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.id").alias("lead"), "n")
-    m = B.keep(members.join(first, "bucket"), "members")
+    m = keep(members.join(first, "bucket"), "members")
     pairs = m.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    tested = [B.keep(verify(pairs), "verified")]
-    links = tested[0].where("ok").select("a", "b", "dist")
-    labels = components(links)
+    tested = [keep(verify(pairs), "verified")]
+    labels = components(tested[0].where("ok").select("a", "b"))
     # what is left: buckets of three and more, with each member's distance to the first one
     v = tested[0].select("a", "b", "dist")
     x = m.where("n > 2 and id <> lead").withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id")).join(v, ["a", "b"]).drop("a", "b")
     share = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20)
     level = F.greatest(F.lit(0), F.floor(F.log(8.0, F.greatest(share * F.col("n") / group, F.lit(1.0)))).cast("int"))
-    x = B.keep(_busy(x.withColumn("level", level), labels), "rest")
+    x = keep(_busy(x.withColumn("level", level), labels), "rest")
     if features is None:
-        x = x.withColumn("size", F.lit(1)).withColumn("own_features", F.lit(0)).withColumn("inside", F.lit(0)).withColumn("common", F.lit(0))
+        x = x.withColumn("own_features", F.lit(0)).withColumn("inside", F.lit(0)).withColumn("common", F.lit(0))
     else:
-        f = B.keep(features(x.select("id").unionByName(x.select(F.col("lead").alias("id"))).distinct()), "features")
-        alone = f.groupBy("feature").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own_features"))
-        size = f.groupBy("id").agg(F.count("*").alias("size")).join(alone, "id", "left").select("id", "size", F.coalesce("own_features", F.lit(0)).alias("own_features"))
-        size = B.keep(size, "sizes", SHARE)
+        ids = keep(x.select("id").unionByName(x.select(F.col("lead").alias("id"))).distinct(), "busy", SHARE)
+        alone = features(ids).groupBy("feature").agg(F.sum("n").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own_features"))
+        alone = keep(alone, "alone", SHARE)
         # one whose own features alone put every other one too far away has no pair left
-        x = x.join(size, "id").where(F.col("own_features") <= F.col("tol") * F.col("size") + 1e-9)
-        x = x.join(size.select(F.col("id").alias("lead"), F.col("size").alias("lead_size")), "lead")
+        x = x.join(alone, "id", "left").withColumn("own_features", F.coalesce("own_features", F.lit(0))).where(F.col("own_features") <= F.col("tol") * F.col("size") + 1e-9)
+        x = x.join(m.where("id = lead").select("bucket", F.col("size").alias("lead_size")), "bucket")
         # features shared with the first member follow from the distance; what is neither there nor its own may be common
         x = x.withColumn("inside", F.round((1 - F.col("dist")) * (F.col("size") + F.col("lead_size")) / (2 - F.col("dist"))))
         x = x.withColumn("common", F.greatest(F.lit(0), F.col("size") - F.col("inside") - F.col("own_features"))).drop("lead_size")
-        x = B.keep(x.join(x.where("apart").select("bucket").distinct(), "bucket", "left_semi"), "rest")
+        x = keep(x.join(x.where("apart").select("bucket").distinct(), "bucket", "left_semi"), "rest")
     # a pair meets in the least of its buckets only; what rules it out there does so everywhere
     mine = x.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
-    x = B.keep(x.join(mine, "id"), "rest")
+    x = keep(x.join(mine, "id"), "rest")
     cur, fresh = x, True
     top = x.agg(F.max("level")).first()[0]
     for r in range(0 if top is None else top + 1):
         if not fresh:
-            cur, fresh = B.keep(_busy(x.drop("own", "head", "apart").where(F.col("level") >= r), labels), "round"), True
+            cur, fresh = keep(_busy(x.drop("own", "head", "apart").where(F.col("level") >= r), labels), "round"), True
         p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "size", "own_features", "inside", "common", "own", "apart", "buckets", *more_columns))) for s in "pq")
         lead = p.where(F.col("p_level") == r)
         q = q.where(F.col("q_level") >= r)
@@ -122,18 +130,20 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         pairs = some.select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = B.keep(pairs, "pairs", SHARE)
+        pairs = keep(pairs, "pairs", SHARE)
         if pairs.isEmpty():
             continue
-        tested.append(B.keep(verify(pairs), "verified"))
-        more = tested[-1].where("ok").select("a", "b", "dist")
+        tested.append(keep(verify(pairs), "verified"))
+        more = tested[-1].where("ok").select("a", "b")
         if more.isEmpty():
             continue
-        links = links.unionByName(more)
         fresh = False
         # only labels meet: the new links' components are few
         lab = lambda c, df: df.join(labels.select(F.col("id").alias(c), F.col("label").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
-        merged = components(lab("b", lab("a", more.select("a", "b"))))
+        merged = components(lab("b", lab("a", more)))
+        made += [merged, labels]
         ids = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
         labels = B.keep(ids.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels", SHARE)
-    return links, labels
+    for x in made:
+        B.forget(x)
+    return labels

@@ -1,16 +1,25 @@
-"""Fuzzy line dedup: SimHash and word bands, edit similarity, one occurrence per connected group.
-
-A line is normalised: lower case, digits to 0, punctuation off, white space to one space. Equal
-normalised lines, of any number of words but none, are one line with a hash; those of under MIN_WORDS
-words are compared in this exact way only. Different lines of MIN_WORDS words and more get a 64-bit SimHash of their words and of the four letters at each word's start and end. Two SimHashes
-that differ in at most three bits agree on three of six blocks, so each line is in twenty buckets
-(triples of blocks, about 32 bits). An edited word or two flip more bits than that in most lines, so a
-line is also in BANDS buckets of WIDE least hashes of its words, which edits leave alone if any band's
-words stay. Every pair of a bucket is judged by Levenshtein distance alone: similar if 1 - distance / longer
-length is at least 0.8. Of each connected group the first occurrence (by doc_id, row key, line) stays.
-
-Buckets go through link(), so a hot one costs a comparison a member; texts of candidate lines only are
-fetched, at one place each. Null and empty texts have no lines to remove; null ids come last.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per connected group.
+
+A line is normalised: lower case, digits to 0, everything but letters, marks and numbers to a space, white space to one
+space. Equal normalised lines, of any number of words but none, are one kind of line. Kinds of MIN_WORDS words and more
+get a SimHash of many 64-bit blocks. A block is the bitwise majority vote of a few of the line's words, and every block
+votes on words of its own choice, so lines whose differences miss the words of any one block agree on that block:
+
+* five to eight words: a block for the whole line, for each word left out, and (from six words) for each two left out;
+* nine words and more: BLOCKS blocks of the three least words under an order of the block's own that favours long words
+  (lines of over FEW words have FEWER). Lines of nine words also have a block for each word left out, to meet eight.
+
+One SimHash with a radius of 3 of 64 bits, the usual form, finds only a small part of the lines at edit similarity 0.8
+(an edited word of twelve flips about ten bits); these blocks find most (recall by length is in the README and tests).
+Every pair of a block's bucket is judged by Levenshtein distance alone: similar if 1 - distance / longer length is at
+least 0.8. Of each connected group the first occurrence (by doc_id, row key, line number) stays.
+
+Buckets go through link(), so a hot one costs a comparison a member. Texts of candidate lines only are looked at again.
+
+Null and empty texts have no lines to remove, and empty lines stay. Null ids come last. Ties: rows of equal id and text
+have one key; they are one document here, so that copies of such a row lose the same lines. Different texts under one id
+are ordered by their keys. Very long texts and lines are handled whole; a comparison of two long lines stops at a fifth
+of their length. An empty table gives an empty one. Further columns pass through stage() whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +37,13 @@ from ctxloom.llm._links import link
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BLOCKS, AGREE = 6, 3
-#: Bands of least word hashes, and hashes of each. Lines that share 4 of 5 words are in one with probability 0.99, 2 of 3 words 0.81.
-BANDS, WIDE = 12, 5
-#: Buckets of a line are formed so many kinds at a time, which bounds what a shuffle holds.
-AT_ONCE = 8
-_EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-_ODD = np.random.default_rng(10).integers(0, 1 << 63, BANDS * WIDE, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+#: Lines of up to SHORT words have a block for each word or two left out.
+SHORT = 8
+#: Blocks of longer lines; of lines of over FEW words.
+BLOCKS, FEW, FEWER = 16, 15, 12
+#: Blocks are formed so many at a time, which bounds what a shuffle holds.
+AT_ONCE = 6
+_ODD = np.random.default_rng(10).integers(0, 1 << 63, BLOCKS, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
 _MAP[48:58] = 48
@@ -43,10 +53,19 @@ _MAP[10] = 10
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
+def _lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts in lower case, with spaces for what is no letter, mark, number or line break."""
+    if col.null_count:
+        col = col.fill_null("")
+    if (B.text_bytes(col)[0] > 127).any():
+        col = pc.replace_substring_regex(pc.utf8_lower(col), r"[^\x00-\x7F\pL\pM\pN]", " ")
+    raw, off = B.text_bytes(col)
+    return _MAP[raw], off
+
+
 def normalised(text: str) -> str:
     """What two lines must share to be the same line."""
-    raw = _MAP[np.frombuffer(text.encode(), np.uint8)]
-    return b" ".join(raw.tobytes().split()).decode()
+    return b" ".join(_lowered(pa.array([text], pa.string()))[0].tobytes().split()).decode()
 
 
 def _votes(h: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -67,31 +86,54 @@ def _votes(h: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def simhash(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each stretch of feature hashes."""
     size = np.diff(np.append(start, len(h)))
     bits = 2 * _votes(h, start) > size[:, None]
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def word_bands(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """BANDS 32-bit hashes of each stretch, of WIDE least values each; stretches are not empty."""
-    least = np.stack([np.minimum.reduceat(h * odd, start) for odd in _ODD], axis=1)
-    at = np.arange(len(start) * BANDS) * WIDE
-    return (B.span_hashes(least.ravel(), at, at + WIDE) >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1, BANDS)
+def _left_out(h: np.ndarray, w0: np.ndarray, n: int, most: int) -> np.ndarray:
+    """lines x subsets: SimHashes of lines of n words, from w0, with up to `most` words left out."""
+    chosen = [[i for i in range(n) if i not in gone] for k in range(most + 1) for gone in combinations(range(n), k)]
+    at = np.concatenate(chosen)
+    size = np.tile([len(c) for c in chosen], len(w0))
+    return simhash(h[(w0[:, None] + at[None, :]).ravel()], np.cumsum(size) - size).reshape(len(w0), len(chosen))
+
+
+def _sampled(h: np.ndarray, length: np.ndarray, start: np.ndarray, blocks: range) -> np.ndarray:
+    """lines x blocks: the majority vote of the three least words of each line (its words from start to the next), by each block's order."""
+    size = np.diff(np.append(start, len(h)))
+    inverse = 1.0 / length
+    out = np.empty((len(start), len(blocks)), np.uint64)
+    for column, k in enumerate(blocks):
+        x = h * _ODD[k]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        rank = ((x >> np.uint64(12)) + np.uint64(1)).astype(np.float64) * inverse
+        vote = []
+        for last in (False, False, True):
+            least = np.minimum.reduceat(rank, start)
+            f = B.mix(least.view(np.uint64).copy())
+            vote.append(np.where(np.isinf(least), vote[-1], f) if vote else f)  # lines of fewer different words repeat one
+            if not last:
+                rank[rank == np.repeat(least, size)] = np.inf
+        a, b, c = vote
+        out[:, column] = a & b | b & c | a & c
+    return out
 
 
 def line_table(col: pa.Array):
-    """(text, line number, hash, SimHash, words) of each line of at least MIN_WORDS words."""
-    return _line_table(col)[:5]
+    """(text, line number, hash, words) of each line with a word."""
+    return _line_table(col)[:4]
 
 
-def _line_table(col: pa.Array, least: int = MIN_WORDS):
-    """line_table() of lines of at least so many words, and the word bands."""
-    raw, off = B.text_bytes(col)
+def _line_table(col: pa.Array, blocks: bool = False):
+    """line_table(), and the blocks of all lines one after the other with how many each line has, if asked for."""
+    raw, off = _lowered(col)
     n = len(raw)
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.int32))
+    none = np.zeros(0, np.int64)
     if not n:
-        return none
-    raw = _MAP[raw]
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64), none
     breaks = np.flatnonzero(raw == 10)
     start = np.union1d(off[:-1][off[:-1] < n], breaks + 1)
     start = start[start < n]
@@ -99,87 +141,103 @@ def _line_table(col: pa.Array, least: int = MIN_WORDS):
     h = B.word_hashes(raw, ws, we)
     w0 = np.searchsorted(ws, start)
     size = np.diff(np.append(w0, len(ws)))
-    keep = np.flatnonzero(size >= least)
-    if not len(keep):
-        return none
-    doc = np.searchsorted(off, start, side="right") - 1
+    keep = np.flatnonzero(size)
+    doc = np.searchsorted(off, start, side="right") - 1  # empty texts before it may share its offset; the last such text owns the line
     number = np.arange(len(start)) - np.searchsorted(start, off[doc])
-    # an empty text before it may share its offset; the last such text owns the line
     w0, size = w0[keep], size[keep]
-    word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w0, size)
-    # features: words, and four letters at each word's start and end
-    values = B._BYTE[raw]
-    part = np.minimum(we[word] - ws[word], 4)
-    head = B.mix(B.span_hashes(values, ws[word], ws[word] + part) + np.uint64(1))
-    tail = B.mix(B.span_hashes(values, we[word] - part, we[word]) + np.uint64(2))
-    features = np.stack([h[word], head, tail], axis=1).ravel()
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    return doc[keep], number[keep], B.span_hashes(h, w0, w0 + size), simhash(features, 3 * begin), size, word_bands(h[word], begin)
+    found = doc[keep], number[keep], B.span_hashes(h, w0, w0 + size), size
+    if not blocks:
+        return *found, none.astype(np.uint64), none
+    owner, value = [none], [none.astype(np.uint64)]
+
+    def put(lines: np.ndarray, x: np.ndarray) -> None:
+        owner.append(np.repeat(lines, x.shape[1]))
+        value.append(x.ravel())
+
+    long = np.flatnonzero(size > SHORT)
+    for these, which in ((long, range(FEWER)), (long[size[long] <= FEW], range(FEWER, BLOCKS))):
+        if len(these):
+            word = np.arange(int(size[these].sum())) + np.repeat(w0[these] - (np.cumsum(size[these]) - size[these]), size[these])
+            put(these, _sampled(h[word], (we - ws)[word], np.cumsum(size[these]) - size[these], which))
+    for words in range(MIN_WORDS, SHORT + 2):
+        these = np.flatnonzero(size == words)
+        if len(these):
+            put(these, _left_out(h, w0[these], words, 2 if MIN_WORDS < words <= SHORT else 1))
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    return *found, value[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size))
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
 
-    def cut(part: pa.RecordBatch):
-        doc, number, h, sim, size, bands = _line_table(part.column("text"), 1)
+    def kinds(part: pa.RecordBatch):
+        doc, number, h, _, value, n = _line_table(part.column("text"), True)
         at = pa.array(doc)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(size < MIN_WORDS))  # null: exact only
-        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), pa.array(B.signed(sim)), bands], ["key", "doc_id", "line", "hash", "sim", "bands"])
+        value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(B.signed(value)))
+        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), value], ["key", "doc_id", "line", "hash", "blocks"])
+
+    def places(part: pa.RecordBatch):
+        doc, number, h, _ = line_table(part.column("text"))
+        return pa.RecordBatch.from_arrays([part.column("key").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(B.signed(h))], ["key", "line", "hash"])
 
-    lines = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), cut, "key long, doc_id long, line int, hash long, sim long, bands array<int>"), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key", "line")
-    kind = B.keep(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.count("*").alias("n")), "kinds")
+    lines = B.arrow_map(docs.select("key", "doc_id", "text"), kinds, "key long, doc_id long, line int, hash long, blocks array<long>")
+    kind = B.keep(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("blocks").alias("blocks"), F.count("*").alias("n")), "kinds")
+    used = [kind]
 
-    blocks = [F.shiftrightunsigned("sim", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(_EDGES, _EDGES[1:])]
-    sims = [F.shiftleft(blocks[i], 22).bitwiseOR(F.shiftleft(blocks[j], 11)).bitwiseOR(blocks[k]) for i, j, k in combinations(range(BLOCKS), AGREE)]
-    words = [F.get("bands", F.lit(k)).cast("long").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(BANDS)]
-    buckets = [x.bitwiseOR(F.lit(k << 40)) for k, x in enumerate(sims + words)]
     # a bucket needs two different lines: count first, then fetch what is left
-    near, long = None, kind.where("bands IS NOT NULL")
-    for k in range(0, len(buckets), AT_ONCE):
-        spread = long.select("hash", F.explode(F.array(*buckets[k: k + AT_ONCE])).alias("bucket"))
+    near, long = None, kind.where(F.size("blocks") > 0)
+    for at, many in ((1, AT_ONCE), (1 + AT_ONCE, AT_ONCE), (1 + 2 * AT_ONCE, 1 << 20)):
+        spread = long.select("hash", F.explode(F.slice("blocks", at, many)).alias("bucket"))
         crowd = B.keep(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "crowded")
         part = B.keep(spread.join(crowd, "bucket").select("bucket", F.col("hash").alias("id")), "candidates")
+        B.forget(crowd)
+        used.append(part)
         near = part if near is None else near.unionByName(part)
-    asked = near.select(F.col("id").alias("hash")).distinct()
-    held = kind.join(asked, "hash").select("hash", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
+    held = kind.join(near.select(F.col("id").alias("hash")).distinct(), "hash", "left_semi").select("hash", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
     held = B.keep(held, "asked")
-    per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash")).alias("asked"))
+    per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash", "ord")).alias("asked"))
 
     def fetch(part: pa.RecordBatch):
         out = {}
-        for text, asked in zip(part.column("text").to_pylist(), part.column("asked").to_pylist()):
-            rows = (text or "").split("\n")
+        raw, off = _lowered(part.column("text"))
+        for at, end, asked in zip(off, off[1:], part.column("asked").to_pylist()):
+            rows = raw[at:end].tobytes().split(b"\n")
             for x in asked:
-                out[x["hash"]] = normalised(rows[x["line"]])
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.string())], ["id", "said"])
+                out[x["hash"]] = b" ".join(rows[x["line"]].split()).decode(), x["ord"]
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.string()), pa.array([x[1] for x in out.values()], pa.int64())], ["id", "said", "ord"])
 
-    said = B.arrow_map(docs.select("key", "text").join(per_doc, "key"), fetch, "id long, said string").groupBy("id").agg(F.first("said").alias("said"))
-    held = B.keep(said.join(held.select(F.col("hash").alias("id"), "ord"), "id"), "candidate-lines")
+    said = B.arrow_map(docs.select("key", "text").join(per_doc, "key"), fetch, "id long, said string, ord long")
+    said = B.keep(said.dropDuplicates(["id"]), "candidate-lines")  # equal rows of docs give a line each
+    used += [held, said]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (held.select(F.col("id").alias(c), F.col("said").alias(f"said_{c}")) for c in "ab")
+        x, y = (said.select(F.col("id").alias(c), F.col("said").alias(f"said_{c}")) for c in "ab")
         p = pairs.join(x, "a").join(y, "b")
         size = F.greatest(F.length("said_a"), F.length("said_b"))
-        far = F.floor(size * (1 - similarity)).cast("int")
+        far = F.floor(size * (1 - similarity) + 1e-9).cast("int")
         bound = F.abs(F.length("said_a") - F.length("said_b")) <= far
         d = F.when(bound, F.call_function("levenshtein", F.col("said_a"), F.col("said_b"), far))
         return p.withColumn("d", d).select("a", "b", F.when(F.col("d") >= 0, F.col("d").cast("double")).alias("dist"), F.coalesce(F.col("d") >= 0, F.lit(False)).alias("ok"))
 
-    members = near.join(held.select("id", "ord", F.length("said").alias("len"), F.floor(F.length("said") * (1 - similarity)).cast("double").alias("tol")), "id")
+    members = near.join(said.select("id", "ord", F.length("said").alias("len"), F.floor(F.length("said") * (1 - similarity) + 1e-9).cast("double").alias("tol")), "id")
     fits = lambda: F.abs(F.col("p_len") - F.col("q_len")) <= F.greatest("p_tol", "q_tol")
-    _, labels = link(members.select("bucket", "id", "ord", "tol", "len"), verify, near=fits)
-    group = kind.join(labels.select(F.col("id").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
+    labels = link(members.select("bucket", "id", "ord", "tol", "len"), verify, near=fits)
+    group = kind.select("hash", "first", "n").join(labels.select(F.col("id").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
     whole = group.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("label", "keep")
-    # a row per line kind that occurs twice or is in a group; lines of a hot kind split over tasks
-    keep = group.join(whole, "label").select("hash", "keep")
-    return lines.join(keep, "hash").where((F.col("key") != F.col("keep.key")) | (F.col("line") != F.col("keep.line"))).select("key", "line").distinct()
+    # a row per kind of line that occurs twice or is in a group; lines of a hot kind split over tasks
+    keep = B.keep(group.join(whole, "label").select("hash", F.col("keep.key").alias("first_key"), F.col("keep.line").alias("first_line")), "repeated")
+    for x in (*used, labels):
+        B.forget(x)
+    lines = B.arrow_map(docs.select("key", "text"), places, "key long, line int, hash long")
+    gone = B.keep(lines.join(keep, "hash").where("key <> first_key OR line <> first_line").select("key", "line").distinct(), "removed")
+    B.forget(keep)
+    return gone
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Adds n_lines and gone (numbers of removed lines, ascending, null if none) to every row of docs, which has its key."""
-    gone = duplicate_lines(docs, similarity).groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
-    return docs.join(gone, "key", "left")
+    """(key, gone): numbers of removed lines, ascending, for each key of docs (key, doc_id, text) that loses any."""
+    return duplicate_lines(docs, similarity).groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
 def kept_text(text, gone):
@@ -192,20 +250,19 @@ def kept_text(text, gone):
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))
-    gone = duplicate_lines(docs).groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("removed"))
     n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
     counted = docs.select("doc_id", "key", n.cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    return counted.join(gone, "key", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed_lines"))
+    return counted.join(remove_lines(docs), "key", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", none).alias("removed_lines"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go; a document all of whose lines were repeats goes with them."""
-    columns = docs.columns
-    keyed = docs.withColumn("key__", B.row_key(F.col("doc_id"), F.col("text")))
-    gone = duplicate_lines(keyed.select(F.col("key__").alias("key"), "doc_id", "text")).groupBy(F.col("key").alias("key__")).agg(F.array_sort(F.collect_list("line")).alias("gone__"))
-    out = keyed.join(gone, "key__", "left").withColumn("text", kept_text(F.col("text"), F.col("gone__")))
-    out = out.where(F.col("gone__").isNull() | (F.length(F.trim("text")) > 0))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone__").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+    key, gone = B.private(docs, "key", "gone")
+    keyed = docs.withColumn(key, B.row_key(F.col("doc_id"), F.col("text")))
+    lost = remove_lines(keyed.select(F.col(key).alias("key"), "doc_id", "text")).toDF(key, gone)
+    out = keyed.join(lost, key, "left").withColumn("text", kept_text(F.col("text"), F.col(gone)))
+    out = out.where(F.col(gone).isNull() | (F.length(F.trim("text")) > 0))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)

@@ -11,7 +11,11 @@ alignment and n_a, n_b in all, the similarity m / (n_a + n_b - m) must be at lea
 the shared shingles give a bound of the similarity that most unrelated pairs fail. 1 - that bound is a
 metric, and so link() can leave out comparisons that cannot succeed. Classes are the connected components of verified
 pairs. Texts under five words have one shingle: all their words. Texts without words, null ones
-included, are never linked: each is a class of its own.
+included, are never linked: each row of another id or text is a class of its own.
+
+Ties: rows of equal id and text are one row to stage(), and members of one class to classes(); null ids come
+last. Very long texts are aligned whole, in rows of the band's width. An empty table gives an empty one, and
+further columns pass through stage() whatever their names.
 """
 
 from __future__ import annotations
@@ -166,8 +170,8 @@ def _verify(texts_a: list, texts_b: list, similarity: float):
     return dist, ok
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, links, texts): rows (key, doc_id, text_id), verified links between text ids, text ids with labels.
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): rows (key, doc_id, text_id) and (text_id, label) of the texts that are linked to another one.
 
     key is the caller's key of a row. Only the texts of candidates move, and those only to be verified.
     """
@@ -189,11 +193,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
     # equal rows are one row here; the caller's key brings them back
     rows = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), cut, "key long, doc_id long, text_id long, n_words long, bands array<long>"), "sketches")
-    text = B.keep(rows.groupBy("text_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key")).alias("first"), F.first("bands").alias("bands")), "texts")
-    member = text.select(F.explode("bands").alias("bucket"), F.col("text_id").alias("id"), F.col("first.d").alias("ord"), F.lit(1 - similarity).alias("tol"), F.col("first.key").alias("key"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key")).alias("first")
+    text = B.keep(rows.groupBy("text_id").agg(first, F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "texts")
+    size = F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
+    member = text.select(F.explode("bands").alias("bucket"), F.col("text_id").alias("id"), F.col("first.d").alias("ord"), F.lit(1 - similarity).alias("tol"), size.alias("size"), F.col("first.key").alias("key"))
     crowd = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     member = B.keep(member.join(crowd, "bucket"), "candidates")
-    asked = member.select("id", "key").distinct()
+    B.forget(text)
+    asked = B.keep(member.select("id", "key").distinct(), "asked")
     held = B.keep(docs.select("key", "text").join(asked, "key").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -210,39 +217,40 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
             raw, off = B.text_bytes(part.column("text"))
             s, e, first = B.word_spans(raw, off)
             g, begin = shingles(B.word_hashes(raw, s, e), first)
-            return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(B.doc_of(begin))), pa.array(B.signed(g))], ["id", "feature"])
+            # near copies share most shingles: one row for all of them that stand in this batch
+            g, at, n = np.unique(g, return_index=True, return_counts=True)
+            owner = np.searchsorted(begin, at, side="right") - 1
+            return pa.RecordBatch.from_arrays([pa.array(B.signed(g)), pa.array(n.astype(np.int64)), part.column("id").take(pa.array(owner))], ["feature", "n", "id"])
 
-        return B.arrow_map(held.join(ids, "id"), run, "id long, feature long")
+        return B.arrow_map(held.join(ids, "id").select("id", "text").repartition("id"), run, "feature long, n long, id long")
 
-    links, labels = link(member.drop("key"), verify, features=features)
-    return rows.select("key", "doc_id", "text_id", "n_words"), links, labels
+    labels = link(member.drop("key"), verify, features=features)
+    for x in (member, asked, held):
+        B.forget(x)
+    return rows.select("key", "doc_id", "text_id"), labels.select(F.col("id").alias("text_id"), "label")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, doc_id, class_id, n_links, first): class_id is the class's least doc_id, n_links the links of the row's
-    text to other texts among the pairs that were compared (texts of one class already are not, so it is no count of all pairs), first whether it is the class's first row (by doc_id, then key)."""
-    rows, links, labels = near_duplicates(docs, similarity)
-    n = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n_links"))
+    """(key, doc_id, class_id, n_members, first): class_id is the class's least doc_id, n_members its number of rows
+    (of any text), first whether the row is the class's first one (by doc_id, then key)."""
+    rows, labels = near_duplicates(docs, similarity)
     # both joins read written tables, so that Spark can split a text or class that holds many of the rows
-    r = rows.join(B.keep(labels.select(F.col("id").alias("text_id"), "label").join(n, "text_id", "left"), "linked", SHARE), "text_id", "left")
-    r = r.withColumn("label", F.coalesce("label", "text_id")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    best = r.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "doc_id", "key")).alias("best"))
+    r = rows.join(labels, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    best = r.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "doc_id", "key")).alias("best"), F.count("*").alias("n_members"))
     r = r.join(B.keep(best, "firsts"), "label")
-    return r.select("key", "doc_id", F.col("best.doc_id").alias("class_id"), "n_links", (F.col("key") == F.col("best.key")).alias("first"))
+    return r.select("key", "doc_id", F.col("best.doc_id").alias("class_id"), "n_members", (F.col("key") == F.col("best.key")).alias("first"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classes(docs.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))).select("doc_id", "class_id", "n_links")
+    return classes(docs.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))).select("doc_id", "class_id", "n_members")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the first document of each class stays."""
-    columns = docs.columns
-    keyed = docs.withColumn("_key", B.row_key(F.col("doc_id"), F.col("text")))
-    first = classes(keyed.select(F.col("_key").alias("key"), "doc_id", "text")).where("first").select(F.col("key").alias("_key"), F.lit(1).alias("_one")).distinct()
-    # of equal rows one stays: they meet where the join has put them
-    from pyspark.sql import Window
-
-    kept = keyed.join(first, "_key").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    return kept.where("_nth = 1").select(*columns)
+    """Pipeline stage: the first document of each class stays; of rows that are equal in id and text, one does."""
+    key, row = B.private(docs, "key", "row")
+    keyed = docs.withColumn(key, B.row_key(F.col("doc_id"), F.col("text")))
+    first = classes(keyed.select(F.col(key).alias("key"), "doc_id", "text")).where("first").select(F.col("key").alias(key))
+    # equal rows are one before they move
+    one = keyed.groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return one.join(first, key, "left_semi").select(F.col(f"{row}.*"))
