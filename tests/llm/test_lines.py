@@ -130,7 +130,7 @@ def test_stage_equals_brute_force(spark):
                 w[int(rng.integers(0, len(w)))] += "x"
             t.append(" ".join(w).capitalize() + ".")
         rows.append((d, "\n".join(t)))
-    rows += [(60, None), (61, ""), (62, "\n\n"), (None, pool[0]), (63, "q w e r t " * 40000), (64, "q w e r t " * 40000 + "y"), (65, "word " * 12), (66, "other " * 12), (67, "Word  " * 12)]
+    rows += [(60, None), (61, ""), (62, "\n\n"), (None, pool[0]), (63, "q w e r t " * 400), (64, "q w e r t " * 400 + "y"), (65, "word " * 12), (66, "other " * 12), (67, "Word  " * 12)]
     df = spark.createDataFrame([(*r, 3, "z", 7, 1) for r in rows], "doc_id long, text string, line int, hash string, key long, gone int").repartition(4)
     want, fuzzy = set(), 0
     for g in groups([r for r in rows if r[0] not in (63, 64)]):
