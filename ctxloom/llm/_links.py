@@ -65,8 +65,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     """(id, label) of each linked id of members (bucket, id, ord, tol): ids with one label are connected by verified pairs.
 
     ord orders a bucket's members; tol is the largest distance at which the id may link. verify takes
-    distinct pairs (a, b) and returns (a, b, dist, ok); where dist is null the pair is farther apart
-    than either tolerance, by an unknown distance. features, if the distance is one of sets (1 - shared
+    distinct pairs (a, b) and returns (a, b, dist, ok); dist is null where it is not known exactly. features, if the distance is one of sets (1 - shared
     / all), takes ids and returns (feature, n, id): features with how many of the ids have them, in any number of
     partial counts, and one of those ids; members then have a column size, the number of their features. near is a
     condition that candidate pairs must meet, over further columns of members, named with p_ and q_ before them.
@@ -83,12 +82,20 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         members = members.withColumn("size", F.lit(1))
     first = members.groupBy("bucket").agg(F.min(F.struct("ord", "id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.id").alias("lead"), "n")
     m = keep(members.join(first, "bucket"), "members")
-    pairs = m.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    tested = [keep(verify(pairs), "verified")]
+    # each member is compared with the first one that it shares most buckets with, then with those it is still apart from
+    stars = m.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("shared"))
+    pair = (F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    tested = [keep(verify(stars.groupBy("id").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select(*pair).distinct()), "verified")]
     labels = components(tested[0].where("ok").select("a", "b"))
-    # what is left: buckets of three and more, with each member's distance to the first one
-    v = tested[0].select("a", "b", "dist")
-    x = m.where("n > 2 and id <> lead").withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id")).join(v, ["a", "b"]).drop("a", "b")
+    made.append(labels)
+    left = stars.join(labels.select("id", F.col("label").alias("own")), "id", "left").join(labels.select(F.col("id").alias("lead"), F.col("label").alias("head")), "lead", "left")
+    left = left.where(F.coalesce("own", "id") != F.coalesce("head", "lead")).select(*pair).distinct().join(tested[0].select("a", "b"), ["a", "b"], "left_anti")
+    tested.append(keep(verify(left), "verified"))
+    v = tested[0].unionByName(tested[1])
+    labels = components(v.where("ok").select("a", "b"))
+    # what is left: buckets of three and more, with each member's distance to the first one if it was measured
+    v = v.select("a", "b", "dist")
+    x = m.where("n > 2 and id <> lead").withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id")).join(v, ["a", "b"], "left").drop("a", "b")
     share = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20)
     level = F.greatest(F.lit(0), F.floor(F.log(8.0, F.greatest(share * F.col("n") / group, F.lit(1.0)))).cast("int"))
     x = keep(_busy(x.withColumn("level", level), labels), "rest")
@@ -102,7 +109,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         x = x.join(alone, "id", "left").withColumn("own_features", F.coalesce("own_features", F.lit(0))).where(F.col("own_features") <= F.col("tol") * F.col("size") + 1e-9)
         x = x.join(m.where("id = lead").select("bucket", F.col("size").alias("lead_size")), "bucket")
         # features shared with the first member follow from the distance; what is neither there nor its own may be common
-        x = x.withColumn("inside", F.round((1 - F.col("dist")) * (F.col("size") + F.col("lead_size")) / (2 - F.col("dist"))))
+        inside = F.round((1 - F.col("dist")) * (F.col("size") + F.col("lead_size")) / (2 - F.col("dist")))
+        x = x.withColumn("inside", F.coalesce(inside, F.least("size", "lead_size")))
         x = x.withColumn("common", F.greatest(F.lit(0), F.col("size") - F.col("inside") - F.col("own_features"))).drop("lead_size")
         x = keep(x.join(x.where("apart").select("bucket").distinct(), "bucket", "left_semi"), "rest")
     # a pair meets in the least of its buckets only; what rules it out there does so everywhere

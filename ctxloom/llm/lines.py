@@ -7,7 +7,8 @@ votes on words of its own choice, so lines whose differences miss the words of a
 
 * five to eight words: a block for the whole line, for each word left out, and (from six words) for each two left out;
 * nine words and more: BLOCKS blocks of the three least words under an order of the block's own that favours long words
-  (lines of over FEW words have FEWER). Lines of nine words also have a block for each word left out, to meet eight.
+  (lines of over FEW words have FEWER, of the four least words, the first with two votes). Lines of FEW words have blocks
+  of both kinds, and lines of nine words a block for each word left out, to meet lines with a word less.
 
 One SimHash with a radius of 3 of 64 bits, the usual form, finds only a small part of the lines at edit similarity 0.8
 (an edited word of twelve flips about ten bits); these blocks find most (recall by length is in the README and tests).
@@ -18,8 +19,7 @@ Buckets go through link(), so a hot one costs a comparison a member. Texts of ca
 
 Null and empty texts have no lines to remove, and empty lines stay. Null ids come last. Ties: rows of equal id and text
 have one key; they are one document here, so that copies of such a row lose the same lines. Different texts under one id
-are ordered by their keys. Very long texts and lines are handled whole; a comparison of two long lines stops at a fifth
-of their length. An empty table gives an empty one. Further columns pass through stage() whatever their names.
+are ordered by their keys. Very long texts and lines are handled whole; a comparison of two lines of n letters takes n steps over n bits. An empty table gives an empty one. Further columns pass through stage() whatever their names.
 """
 
 from __future__ import annotations
@@ -100,8 +100,8 @@ def _left_out(h: np.ndarray, w0: np.ndarray, n: int, most: int) -> np.ndarray:
     return simhash(h[(w0[:, None] + at[None, :]).ravel()], np.cumsum(size) - size).reshape(len(w0), len(chosen))
 
 
-def _sampled(h: np.ndarray, length: np.ndarray, start: np.ndarray, blocks: range) -> np.ndarray:
-    """lines x blocks: the majority vote of the three least words of each line (its words from start to the next), by each block's order."""
+def _sampled(h: np.ndarray, length: np.ndarray, start: np.ndarray, blocks: range, words: int) -> np.ndarray:
+    """lines x blocks: the majority vote of the three or four least words of each line (its words from start to the next), by each block's order."""
     size = np.diff(np.append(start, len(h)))
     inverse = 1.0 / length
     out = np.empty((len(start), len(blocks)), np.uint64)
@@ -111,17 +111,52 @@ def _sampled(h: np.ndarray, length: np.ndarray, start: np.ndarray, blocks: range
         x *= np.uint64(0xBF58476D1CE4E5B9)
         rank = ((x >> np.uint64(12)) + np.uint64(1)).astype(np.float64) * inverse
         vote = []
-        for last in (False, False, True):
+        for n in range(1, words + 1):
             least = np.minimum.reduceat(rank, start)
             f = B.mix(least.view(np.uint64).copy())
             vote.append(np.where(np.isinf(least), vote[-1], f) if vote else f)  # lines of fewer different words repeat one
-            if not last:
+            if n < words:
                 rank[rank == np.repeat(least, size)] = np.inf
-        a, b, c = vote
-        out[:, column] = a & b | b & c | a & c
+        a, b, c, *d = vote
+        out[:, column] = a & (b | c | d[0]) | b & c & d[0] if d else a & b | b & c | a & c
     return out
 
 
+def distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance of two texts where it is at most `most`, else some larger number.
+
+    Common ends are cut off; the rest is one bit-parallel pass with a number of as many bits as the shorter rest has letters.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in sorted((a, b), key=len))
+    if len(y) - len(x) > most:
+        return most + 1
+    for _ in range(2):  # the common head, then the common tail
+        other = np.flatnonzero(x != y[: len(x)])
+        head = int(other[0]) if len(other) else len(x)
+        x, y = x[head:][::-1], y[head:][::-1]
+    n = len(x)
+    if not n:
+        return len(y)
+    letters = {c: int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x).tolist()}
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, left = full, 0, n, len(y)
+    for c in y.tolist():
+        eq = letters.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(h | up)), up & h
+        left -= 1
+        if more & top:
+            score += 1
+            if score - left > most:
+                return most + 1
+        elif less & top:
+            score -= 1
+        more = (more << 1 | 1) & full
+        up, down = (less << 1 & full) | (full & ~(v | more)), more & v
+    return score
+
+
 def line_table(col: pa.Array):
     """(text, line number, hash, words) of each line with a word."""
     return _line_table(col)[:4]
@@ -155,10 +190,10 @@ def _line_table(col: pa.Array, blocks: bool = False):
         value.append(x.ravel())
 
     long = np.flatnonzero(size > SHORT)
-    for these, which in ((long, range(FEWER)), (long[size[long] <= FEW], range(FEWER, BLOCKS))):
+    for these, many, words in ((long[size[long] <= FEW], BLOCKS, 3), (long[size[long] >= FEW], FEWER, 4)):
         if len(these):
             word = np.arange(int(size[these].sum())) + np.repeat(w0[these] - (np.cumsum(size[these]) - size[these]), size[these])
-            put(these, _sampled(h[word], (we - ws)[word], np.cumsum(size[these]) - size[these], which))
+            put(these, _sampled(h[word], (we - ws)[word], np.cumsum(size[these]) - size[these], range(many), words))
     for words in range(MIN_WORDS, SHORT + 2):
         these = np.flatnonzero(size == words)
         if len(these):
@@ -212,13 +247,15 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     used += [held, said]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (said.select(F.col("id").alias(c), F.col("said").alias(f"said_{c}")) for c in "ab")
-        p = pairs.join(x, "a").join(y, "b")
-        size = F.greatest(F.length("said_a"), F.length("said_b"))
-        far = F.floor(size * (1 - similarity) + 1e-9).cast("int")
-        bound = F.abs(F.length("said_a") - F.length("said_b")) <= far
-        d = F.when(bound, F.call_function("levenshtein", F.col("said_a"), F.col("said_b"), far))
-        return p.withColumn("d", d).select("a", "b", F.when(F.col("d") >= 0, F.col("d").cast("double")).alias("dist"), F.coalesce(F.col("d") >= 0, F.lit(False)).alias("ok"))
+        def run(part: pa.RecordBatch):
+            ok = []
+            for x, y in zip(part.column("text").to_pylist(), part.column("other").to_pylist()):
+                far = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+                ok.append(distance(x, y, far) <= far)
+            return pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.nulls(len(ok), pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "dist", "ok"])
+
+        p = pairs.join(said.select(F.col("id").alias("a"), F.col("said").alias("text")), "a").join(said.select(F.col("id").alias("b"), F.col("said").alias("other")), "b")
+        return B.arrow_map(p, run, "a long, b long, dist double, ok boolean")
 
     members = near.join(said.select("id", "ord", F.length("said").alias("len"), F.floor(F.length("said") * (1 - similarity) + 1e-9).cast("double").alias("tol")), "id")
     fits = lambda: F.abs(F.col("p_len") - F.col("q_len")) <= F.greatest("p_tol", "q_tol")

@@ -76,6 +76,22 @@ def test_simhash_by_plain_code():
         assert want == g
 
 
+def test_distance_by_plain_code():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        a = "".join(rng.choice(list("abé東"), int(rng.integers(0, 30))))
+        b = a if rng.random() < 0.1 else "".join(rng.choice(list("abé東"), int(rng.integers(0, 30)))) if rng.random() < 0.5 else a[:7] + "xy" + a[9:]
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            e = [i + 1]
+            for j, y in enumerate(b):
+                e.append(min(d[j] + (x != y), d[j + 1] + 1, e[j] + 1))
+            d = e
+        most = int(rng.integers(0, 20))
+        got = L.distance(a, b, most)
+        assert got == d[-1] if d[-1] <= most else got > most
+
+
 def edited(rng, word, w):
     """One of the edits that a reader would still call the same line."""
     w, at = list(w), int(rng.integers(0, len(w)))
@@ -130,7 +146,7 @@ def test_stage_equals_brute_force(spark):
                 w[int(rng.integers(0, len(w)))] += "x"
             t.append(" ".join(w).capitalize() + ".")
         rows.append((d, "\n".join(t)))
-    rows += [(60, None), (61, ""), (62, "\n\n"), (None, pool[0]), (63, "q w e r t " * 400), (64, "q w e r t " * 400 + "y"), (65, "word " * 12), (66, "other " * 12), (67, "Word  " * 12)]
+    rows += [(60, None), (61, ""), (62, "\n\n"), (None, pool[0]), (63, "q w e r t " * 4000), (64, "q w e r t " * 4000 + "y"), (65, "word " * 12), (66, "other " * 12), (67, "Word  " * 12)]
     df = spark.createDataFrame([(*r, 3, "z", 7, 1) for r in rows], "doc_id long, text string, line int, hash string, key long, gone int").repartition(4)
     want, fuzzy = set(), 0
     for g in groups([r for r in rows if r[0] not in (63, 64)]):

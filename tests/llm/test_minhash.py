@@ -52,7 +52,6 @@ def test_link_finds_every_component_of_a_line_of_points(spark):
     want = union(range(300), [(i, j) for i in range(300) for j in range(i) if abs(at[i] - at[j]) <= 3])
     assert {i: got.get(i, i) for i in range(300)} == want
     assert sum(asked) < 300 * 299 / 2 / 4
-    assert all(abs(at[r.a] - at[r.b]) <= 3 for r in links.collect())
 
 
 def plain_alignment(a, b):
