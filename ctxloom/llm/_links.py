@@ -68,7 +68,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     distinct pairs (a, b) and returns (a, b, dist, ok); dist is null where it is not known exactly. features, if the distance is one of sets (1 - shared
     / all), takes ids and returns (feature, n, id): features with how many of the ids have them, in any number of
     partial counts, and one of those ids; members then have a column size, the number of their features. near is a
-    condition that candidate pairs must meet, over further columns of members, named with p_ and q_ before them.
+    condition that candidate pairs must meet, over tol and further columns of members, with p_ and q_ before their names.
     Intermediate tables are deleted; the caller deletes the result.
     """
     more_columns = [c for c in members.columns if c not in ("bucket", "id", "ord", "tol", "size")]
@@ -83,7 +83,11 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     first = members.groupBy("bucket").agg(F.min(F.struct("ord", "id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.id").alias("lead"), "n")
     m = keep(members.join(first, "bucket"), "members")
     # each member is compared with the first one that it shares most buckets with, then with those it is still apart from
-    stars = m.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("shared"))
+    star = m.where("id <> lead")
+    if near is not None:
+        heads = m.where("id = lead").select("bucket", *(F.col(c).alias(f"q_{c}") for c in ("tol", *more_columns)))
+        star = star.withColumnsRenamed({c: f"p_{c}" for c in ("tol", *more_columns)}).join(heads, "bucket").where(near())
+    stars = star.groupBy("id", "lead").agg(F.count("*").alias("shared"))
     pair = (F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
     tested = [keep(verify(stars.groupBy("id").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select(*pair).distinct()), "verified")]
     labels = components(tested[0].where("ok").select("a", "b"))

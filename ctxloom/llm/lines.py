@@ -12,8 +12,9 @@ votes on words of its own choice, so lines whose differences miss the words of a
 
 One SimHash with a radius of 3 of 64 bits, the usual form, finds only a small part of the lines at edit similarity 0.8
 (an edited word of twelve flips about ten bits); these blocks find most (recall by length is in the README and tests).
-Every pair of a block's bucket is judged by Levenshtein distance alone: similar if 1 - distance / longer length is at
-least 0.8. Of each connected group the first occurrence (by doc_id, row key, line number) stays.
+Pairs of a block's bucket whose plain 64-bit SimHashes (of the words of LETTERS letters and more) differ in over MAX_BITS
+bits are left out; lines at 0.8 hardly ever do. All others are judged by Levenshtein distance: similar if 1 - distance /
+longer length is at least 0.8. Of each connected group the first occurrence (by doc_id, row key, line number) stays.
 
 Buckets go through link(), so a hot one costs a comparison a member. Texts of candidate lines only are looked at again.
 
@@ -29,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.llm import _base as B
@@ -40,7 +41,9 @@ SIMILARITY = 0.8
 #: Lines of up to SHORT words have a block for each word or two left out.
 SHORT = 8
 #: Blocks of longer lines; of lines of over FEW words.
-BLOCKS, FEW, FEWER = 16, 15, 12
+BLOCKS, FEW, FEWER = 16, 15, 10
+#: Pairs that differ in more bits of their plain SimHashes are not compared; words of fewer letters (bytes) have no vote in those.
+MAX_BITS, LETTERS = 21, 4
 #: Blocks are formed so many at a time, which bounds what a shuffle holds.
 AT_ONCE = 6
 _ODD = np.random.default_rng(10).integers(0, 1 << 63, BLOCKS, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
@@ -123,13 +126,17 @@ def _sampled(h: np.ndarray, length: np.ndarray, start: np.ndarray, blocks: range
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance of two texts where it is at most `most`, else some larger number.
+    """Some number from the Levenshtein distance of two texts to `most` if the distance is at most that, else a larger number.
 
     Common ends are cut off; the rest is one bit-parallel pass with a number of as many bits as the shorter rest has letters.
     """
     x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in sorted((a, b), key=len))
     if len(y) - len(x) > most:
         return most + 1
+    if (v := a.split(" ")) and len(v) == len(w := b.split(" ")):  # replaced words alone give a bound that is often enough
+        bound = sum(max(len(s), len(t)) for s, t in zip(v, w) if s != t)
+        if bound <= most:
+            return bound
     for _ in range(2):  # the common head, then the common tail
         other = np.flatnonzero(x != y[: len(x)])
         head = int(other[0]) if len(other) else len(x)
@@ -163,12 +170,12 @@ def line_table(col: pa.Array):
 
 
 def _line_table(col: pa.Array, blocks: bool = False):
-    """line_table(), and the blocks of all lines one after the other with how many each line has, if asked for."""
+    """line_table(), and if asked for the blocks of all lines one after the other, how many each line has, and SimHashes."""
     raw, off = _lowered(col)
     n = len(raw)
     none = np.zeros(0, np.int64)
     if not n:
-        return none, none, none.astype(np.uint64), none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64), none, none.astype(np.uint64)
     breaks = np.flatnonzero(raw == 10)
     start = np.union1d(off[:-1][off[:-1] < n], breaks + 1)
     start = start[start < n]
@@ -182,7 +189,7 @@ def _line_table(col: pa.Array, blocks: bool = False):
     w0, size = w0[keep], size[keep]
     found = doc[keep], number[keep], B.span_hashes(h, w0, w0 + size), size
     if not blocks:
-        return *found, none.astype(np.uint64), none
+        return *found, none.astype(np.uint64), none, none.astype(np.uint64)
     owner, value = [none], [none.astype(np.uint64)]
 
     def put(lines: np.ndarray, x: np.ndarray) -> None:
@@ -199,25 +206,38 @@ def _line_table(col: pa.Array, blocks: bool = False):
         if len(these):
             put(these, _left_out(h, w0[these], words, 2 if MIN_WORDS < words <= SHORT else 1))
     owner, value = np.concatenate(owner), np.concatenate(value)
-    return *found, value[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size))
+    return *found, value[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size)), _plain(h, we - ws, w0, size)
+
+
+def _plain(h: np.ndarray, length: np.ndarray, w0: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash of the words of LETTERS letters and more of each line of more than SHORT words; 0 for lines without any."""
+    out = np.zeros(len(size), np.uint64)
+    long = np.flatnonzero(size > SHORT)
+    w0, size = w0[long], size[long]
+    word = np.arange(int(size.sum())) + np.repeat(w0 - (np.cumsum(size) - size), size)
+    line = np.repeat(np.arange(len(long)), size)[length[word] >= LETTERS]
+    if len(line):
+        start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        out[long[line[start]]] = simhash(h[word[length[word] >= LETTERS]], start)
+    return out
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
 
     def kinds(part: pa.RecordBatch):
-        doc, number, h, _, value, n = _line_table(part.column("text"), True)
+        doc, number, h, _, value, n, sim = _line_table(part.column("text"), True)
         at = pa.array(doc)
         value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(B.signed(value)))
-        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), value], ["key", "doc_id", "line", "hash", "blocks"])
+        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), pa.array(B.signed(sim)), value], ["key", "doc_id", "line", "hash", "sim", "blocks"])
 
     def places(part: pa.RecordBatch):
         doc, number, h, _ = line_table(part.column("text"))
         return pa.RecordBatch.from_arrays([part.column("key").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(B.signed(h))], ["key", "line", "hash"])
 
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key", "line")
-    lines = B.arrow_map(docs.select("key", "doc_id", "text"), kinds, "key long, doc_id long, line int, hash long, blocks array<long>")
-    kind = B.keep(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("blocks").alias("blocks"), F.count("*").alias("n")), "kinds")
+    lines = B.arrow_map(docs.select("key", "doc_id", "text"), kinds, "key long, doc_id long, line int, hash long, sim long, blocks array<long>")
+    kind = B.keep(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("blocks").alias("blocks"), F.count("*").alias("n")), "kinds")
     used = [kind]
 
     # a bucket needs two different lines: count first, then fetch what is left
@@ -229,9 +249,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         B.forget(crowd)
         used.append(part)
         near = part if near is None else near.unionByName(part)
-    held = kind.join(near.select(F.col("id").alias("hash")).distinct(), "hash", "left_semi").select("hash", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
+    held = kind.join(near.select(F.col("id").alias("hash")).distinct(), "hash", "left_semi").select("hash", "sim", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
     held = B.keep(held, "asked")
-    per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash", "ord")).alias("asked"))
+    per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash", "ord", "sim")).alias("asked"))
 
     def fetch(part: pa.RecordBatch):
         out = {}
@@ -239,10 +259,10 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         for at, end, asked in zip(off, off[1:], part.column("asked").to_pylist()):
             rows = raw[at:end].tobytes().split(b"\n")
             for x in asked:
-                out[x["hash"]] = b" ".join(rows[x["line"]].split()).decode(), x["ord"]
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.string()), pa.array([x[1] for x in out.values()], pa.int64())], ["id", "said", "ord"])
+                out[x["hash"]] = b" ".join(rows[x["line"]].split()).decode(), x["ord"], x["sim"]
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array([x[k] for x in out.values()], ty) for k, ty in enumerate((pa.string(), pa.int64(), pa.int64())))], ["id", "said", "ord", "sim"])
 
-    said = B.arrow_map(docs.select("key", "text").join(per_doc, "key"), fetch, "id long, said string, ord long")
+    said = B.arrow_map(docs.select("key", "text").join(per_doc, "key"), fetch, "id long, said string, ord long, sim long")
     said = B.keep(said.dropDuplicates(["id"]), "candidate-lines")  # equal rows of docs give a line each
     used += [held, said]
 
@@ -257,9 +277,13 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         p = pairs.join(said.select(F.col("id").alias("a"), F.col("said").alias("text")), "a").join(said.select(F.col("id").alias("b"), F.col("said").alias("other")), "b")
         return B.arrow_map(p, run, "a long, b long, dist double, ok boolean")
 
-    members = near.join(said.select("id", "ord", F.length("said").alias("len"), F.floor(F.length("said") * (1 - similarity) + 1e-9).cast("double").alias("tol")), "id")
-    fits = lambda: F.abs(F.col("p_len") - F.col("q_len")) <= F.greatest("p_tol", "q_tol")
-    labels = link(members.select("bucket", "id", "ord", "tol", "len"), verify, near=fits)
+    members = near.join(said.select("id", "ord", "sim", F.length("said").alias("len"), F.floor(F.length("said") * (1 - similarity) + 1e-9).cast("double").alias("tol")), "id")
+
+    def fits() -> Column:
+        alike = (F.col("p_sim") == 0) | (F.col("q_sim") == 0) | (F.bit_count(F.col("p_sim").bitwiseXOR(F.col("q_sim"))) <= MAX_BITS)
+        return (F.abs(F.col("p_len") - F.col("q_len")) <= F.greatest("p_tol", "q_tol")) & alike
+
+    labels = link(members.select("bucket", "id", "ord", "tol", "len", "sim"), verify, near=fits)
     group = kind.select("hash", "first", "n").join(labels.select(F.col("id").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
     whole = group.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("label", "keep")
     # a row per kind of line that occurs twice or is in a group; lines of a hot kind split over tasks
