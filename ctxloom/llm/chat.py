@@ -27,6 +27,8 @@ HISTORY_TOKENS = 120
 #: Tokens counted for a turn's marks.
 MARK_TOKENS = 4
 END = "</turn>\n"
+#: Window starts of one page of the plan.
+PAGE = 256
 
 
 def _escaped(c: Column, role: bool = False) -> Column:
@@ -58,31 +60,37 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history_turns
         n_old, old_tok = F.when(fits, F.lit(n)).otherwise(n_old), F.when(fits, run).otherwise(old_tok)
     t = t.withColumn("n_old", n_old).withColumn("old_tok", old_tok)
 
-    # only numbers are gathered here; the texts follow window by window
+    # only numbers are gathered here; the texts follow window by window. Starts are held in pages, so that
+    # one more start copies a page and the list of pages, not all starts
     plan = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "head", "n_old", "old_tok"))).alias("turns"))
-    first = F.struct(F.array().cast("array<struct<pos:int,n_old:int>>").alias("starts"), F.lit(0).cast("long").alias("used"))
+    page = "array<struct<pos:int,n_old:int>>"
+    first = F.struct(F.array().cast(f"array<{page}>").alias("pages"), F.array().cast(page).alias("starts"), F.lit(-1).cast("long").alias("used"))
 
     def step(acc, x):
-        opened = F.size(acc.starts) == 0
         keeps = x["head"] + x["old_tok"] + x["tok"] <= budget
-        more = lambda n: F.concat(acc.starts, F.array(F.struct(x["pos"].cast("int").alias("pos"), n.cast("int").alias("n_old"))))
-        return (F.when(opened, F.struct(more(F.lit(0)).alias("starts"), x["tok"].cast("long").alias("used")))
-                .when(acc.used + x["tok"] <= budget, F.struct(acc.starts.alias("starts"), (acc.used + x["tok"]).alias("used")))
-                .otherwise(F.struct(more(F.when(keeps, x["n_old"]).otherwise(0)).alias("starts"), (x["head"] + F.when(keeps, x["old_tok"]).otherwise(0) + x["tok"]).cast("long").alias("used"))))
-
-    plan = plan.select(F.col("conv_id").alias("id"), F.aggregate("turns", first, step)["starts"].alias("starts"))
-    t = t.join(plan, F.col("conv_id").eqNullSafe(F.col("id")))
-    uses = F.filter(
-        F.transform("starts", lambda s, k: F.struct(k.alias("window"), s["pos"].alias("pos"), s["n_old"].alias("n_old"))),
-        lambda s: (F.col("pos") >= s["pos"]) & ((s["window"] + 1 == F.size("starts")) | (F.col("pos") < F.get("starts", s["window"] + 1)["pos"]))
-        | (F.col("pos") < s["pos"]) & ((F.col("sys") > 0) | (F.col("pos") >= s["pos"] - s["n_old"])),
-    )
-    t = t.withColumn("use", F.explode(uses)).withColumn("new", F.col("pos") >= F.col("use.pos"))
+        start = F.array(F.struct(x["pos"].cast("int").alias("pos"), F.when(keeps & (acc.used >= 0), x["n_old"]).otherwise(0).cast("int").alias("n_old")))
+        full = F.size(acc.starts) >= PAGE
+        used = F.when(acc.used < 0, x["tok"]).otherwise(x["head"] + F.when(keeps, x["old_tok"]).otherwise(0) + x["tok"]).cast("long")
+        opened = F.struct(F.when(full, F.concat(acc.pages, F.array(acc.starts))).otherwise(acc.pages).alias("pages"), F.when(full, start).otherwise(F.concat(acc.starts, start)).alias("starts"), used.alias("used"))
+        return F.when((acc.used >= 0) & (acc.used + x["tok"] <= budget), F.struct(acc.pages.alias("pages"), acc.starts.alias("starts"), (acc.used + x["tok"]).alias("used"))).otherwise(opened)
+
+    cuts = F.aggregate("turns", first, step, lambda acc: F.concat(F.flatten(acc.pages), acc.starts))
+    starts = plan.select("conv_id", F.posexplode(cuts).alias("window", "s")).select("conv_id", "window", F.col("s.pos").alias("pos"), F.col("s.n_old").alias("n_old"))
+    # a turn's own window is the number of starts up to it; repeated turns are looked up by their place
+    at = lambda df, *more: df.select(F.col("conv_id").alias("id"), F.col("pos").alias("place"), *more)
+    same = F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("pos") == F.col("place"))
+    own = t.join(at(starts, F.lit(1).alias("opens")), same, "left")
+    own = own.withColumn("window", F.count("opens").over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1)
+    back = starts.where("n_old > 0").select("conv_id", "window", F.explode(F.sequence(F.col("pos") - F.col("n_old"), F.col("pos") - 1)).alias("pos"))
+    old = t.join(at(back, "window"), same)
+    again = t.where("sys > 0").join(at(starts.where("window > 0").withColumn("pos", F.lit(0)), "window"), same)
+    columns = ("conv_id", "pos", "role", "text", "tok", "window")
+    t = own.select(*columns, F.lit(True).alias("new")).unionByName(old.unionByName(again).select(*columns, F.lit(False).alias("new")))
     body = _escaped(F.col("text"))
     mark = F.concat(F.lit("<turn:"), _escaped(F.col("role"), role=True), F.when(F.col("new"), ":new>").otherwise(":old>"))
-    t = t.select("conv_id", F.col("use.window").alias("window"), "pos", "tok", F.concat(mark, body, F.lit(END)).alias("turn"), F.length(mark).alias("at"), F.length(body).alias("size"), (F.col("new") & (F.col("role") == "assistant")).alias("target"))
+    t = t.select("conv_id", "window", "pos", "tok", F.concat(mark, body, F.lit(END)).alias("turn"), F.length(mark).alias("at"), F.length(body).alias("size"), (F.col("new") & (F.col("role") == "assistant")).alias("target"))
     w = t.groupBy("conv_id", "window").agg(F.sum("tok").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("pos", "turn", "at", "size", "target"))).alias("turns"))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))  # a window holds few turns: the budget bounds them
     loss = F.aggregate("turns", none, lambda acc, x: F.struct(
         (acc["at"] + F.length(x["turn"])).alias("at"),
         F.when(x["target"], F.concat(acc["loss"], F.array(F.struct((acc["at"] + x["at"]).alias("start"), x["size"].alias("length"))))).otherwise(acc["loss"]).alias("loss")))

@@ -1,8 +1,8 @@
 """Token ids of whole texts, with a public tokenizer file.
 
 A tokenizer that drops white space and never merges over it gives a text the ids of its words in
-turn. So each worker encodes a distinct word once and looks up repeats: the ids are those of
-encoding the whole text (tests compare them).
+turn. So each worker encodes a distinct word or piece once and looks up repeats, by its bytes: the
+ids are those of encoding the whole text (tests compare them, with version 0.23 of the library).
 """
 
 from __future__ import annotations
@@ -11,12 +11,20 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ctxloom.llm import _base as B
 
 #: Distinct words a worker remembers; beyond it, it starts anew.
 WORDS_KEPT = 600_000
 _CODERS: dict[str, object] = {}
+#: Of each ASCII byte: 0 white space, 1 letter, 2 digit, 3 other. And its lower case.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 
 
 def coder(path: str):
@@ -53,6 +61,8 @@ class _TextCoder:
 
 
 class _WordCoder:
+    """Splits ASCII text into the pieces of the file's pattern with byte classes; other words go through the pattern itself."""
+
     def __init__(self, tok, spec):
         import regex
 
@@ -62,52 +72,82 @@ class _WordCoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: printable bytes stand for themselves
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        # words with such bytes are split by the pattern: beyond ASCII, apostrophes, control bytes, starts of added tokens
+        self.odd = np.ones(256, bool)
+        self.odd[33:127] = False
+        self.odd[[39, *(x.encode()[0] for x in self.added)]] = True
+        self.odd[[0x20, *range(0x09, 0x0E)]] = False
         self.clear()
 
     def clear(self):
-        self.at: dict[int, int] = {}
-        self.of_piece: dict[str, list[int]] = {}
+        self.at: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = [0]
 
+    def piece(self, data: bytes) -> list[int]:
+        return [t.id for t in self.tok.model.tokenize(data.decode("latin-1").translate(self.letters))]
+
     def word(self, word: str) -> list[int]:
         if any(x in word for x in self.added):
             return self.tok.encode(word, add_special_tokens=False).ids
-        out = []
-        for piece in self.pieces(word.lower() if word.isascii() else self.tok.normalizer.normalize_str(word)):
-            ids = self.of_piece.get(piece)
-            if ids is None:
-                ids = self.of_piece[piece] = [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            out += ids
-        return out
+        return [i for piece in self.pieces(word.lower() if word.isascii() else self.tok.normalizer.normalize_str(word)) for i in self.piece(piece.encode())]
+
+    def units(self, raw: np.ndarray, off: np.ndarray):
+        """(bytes, starts, ends, whether odd, first unit of each text): odd words whole, the rest cut into runs of letters, digits and other signs."""
+        starts, ends, _ = B.word_spans(raw, off)
+        n = len(raw)
+        count = np.concatenate([[0], np.cumsum(self.odd[raw], dtype=np.int32)])
+        odd = count[ends] > count[starts]
+        inside = np.zeros(n + 1, np.int8)  # of an odd word
+        inside[starts[odd]] += 1
+        inside[ends[odd]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        kind = _KIND[raw]
+        cut = np.zeros(n + 1, bool)
+        cut[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut[:n] &= ~inside & (kind > 0)
+        cut[starts] = True
+        begin = np.flatnonzero(cut[:n])
+        last = (kind > 0) & ~inside
+        last[:-1] &= cut[1:n] | (kind[1:] == 0)
+        last[ends - 1] = True
+        data = np.where(inside, raw, _SMALL[raw])
+        return data, begin, np.flatnonzero(last) + 1, inside[begin], np.searchsorted(begin, off)
 
     def __call__(self, col: pa.Array, end_id: int | None):
         raw, off = B.text_bytes(col)
-        starts, ends, first = B.word_spans(raw, off)
-        distinct, sample, of = np.unique(B.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.at) + len(distinct) > WORDS_KEPT or len(self.of_piece) > WORDS_KEPT:
+        tail = 0 if end_id is None else 1
+        if not len(raw):
+            return np.full(tail * len(col), end_id or 0, np.uint32), np.full(len(col), tail, np.int64)
+        raw, starts, ends, odd, first = self.units(raw, off)
+        kinds = pc.dictionary_encode(pa.array(B.signed(B.word_hashes(raw, starts, ends))))
+        of = kinds.indices.to_numpy(zero_copy_only=False)
+        sample = np.zeros(len(kinds.dictionary), np.int64)
+        sample[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+        if len(self.at) + len(sample) > WORDS_KEPT:
             self.clear()
-        slots = [self.at.get(h, -1) for h in distinct.tolist()]
-        data = raw.tobytes()
-        for i, slot in enumerate(slots):
-            if slot < 0:
-                j = sample[i]
-                ids = self.word(data[starts[j]: ends[j]].decode())
-                lo = self.first[-1]
-                if lo + len(ids) > len(self.flat):
+        data, at = raw.tobytes(), self.at
+        slots = []
+        for lo, hi, whole in zip(starts[sample].tolist(), ends[sample].tolist(), odd[sample].tolist()):
+            name = data[lo:hi]
+            slot = at.get(name)
+            if slot is None:
+                ids = self.word(name.decode()) if whole else self.piece(name)
+                begin = self.first[-1]
+                if begin + len(ids) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                self.flat[lo: lo + len(ids)] = ids
-                slots[i] = self.at[int(distinct[i])] = len(self.first) - 1
-                self.first.append(lo + len(ids))
-        bounds = np.array(self.first, np.int64) if len(distinct) else np.zeros(1, np.int64)
-        slots = np.array(slots, np.int64)[of] if len(distinct) else np.zeros(0, np.int64)
-        size = bounds[slots + 1] - bounds[slots] if len(slots) else np.zeros(0, np.int64)
+                self.flat[begin: begin + len(ids)] = ids
+                slot = at[name] = len(self.first) - 1
+                self.first.append(begin + len(ids))
+            slots.append(slot)
+        bounds = np.array(self.first, np.int64)
+        slots = np.array(slots, np.int64)[of] if len(of) else np.zeros(0, np.int64)
+        size = bounds[slots + 1] - bounds[slots]
         total = np.concatenate([[0], np.cumsum(size)])
         n = total[first[1:]] - total[first[:-1]]
-        tail = 0 if end_id is None else 1
-        # each word's ids go after all earlier ids and one end id for each text before its own
+        # each unit's ids go after all earlier ids and one end id for each text before its own
         shift = total[:-1] + tail * B.doc_of(first)
         out = np.full(int(total[-1]) + tail * len(n), end_id or 0, np.uint32)
         within = np.arange(int(total[-1])) - np.repeat(total[:-1], size)
-        out[np.repeat(shift, size) + within] = self.flat[np.repeat(bounds[slots], size) + within] if len(slots) else 0
+        out[np.repeat(shift, size) + within] = self.flat[np.repeat(bounds[slots], size) + within]
         return out, n + tail

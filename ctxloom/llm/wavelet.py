@@ -27,7 +27,7 @@ from ctxloom.llm import tokens as T
 MAGIC = b"CTXWM1\0\0"
 BLOCK_BITS = 1 << 16
 #: A shard is closed once it holds so many tokens; bounds a task's memory.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 22
 
 
 def encode(tokens: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, null_ids: np.ndarray | None = None) -> bytes:
@@ -246,9 +246,13 @@ def read_documents(spark, path: str, shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(crc), pa.string()), pa.array(w.doc_ids, mask=w.nulls), pa.array(starts), pa.array(w.counts), pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     docs = files.mapInArrow(run, "shard string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    # a row per file, not per document: this window is small
-    before = shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    return docs.join(before, "shard").select("doc_id", (F.col("start") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "ids_crc32", "shard")
+    # a row per file: offsets within a range of ids come first, then those of the ranges, a row for each of Spark's partitions
+    part = F.split_part("shard", F.lit("-"), F.lit(2)).alias("part")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files_at = shards.select("shard", part, before(Window.partitionBy(part).orderBy("shard")).alias("within"))
+    parts_at = shards.groupBy(part).agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("before"))
+    at = files_at.join(parts_at, "part").select("shard", (F.col("within") + F.col("before")).alias("before"))
+    return docs.join(at, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

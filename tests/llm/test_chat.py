@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from ctxloom.llm import chat
 
 ROWS = [
@@ -51,3 +53,17 @@ def test_windows_equal_plain_loop_and_round_trip(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_windows(chat.format_windows(df)).count() == 0
+
+
+def test_long_conversations_grow_linearly(spark):
+    import time
+
+    def run(n):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("word "), F.lit(90)).alias("text"))
+        t0 = time.time()
+        w = chat.format_windows(rows).agg(F.count("*").alias("windows"), F.sum("n_tokens").alias("n")).first()
+        return time.time() - t0, w
+
+    run(500)
+    (a, _), (b, w) = run(4000), run(16000)
+    assert w["windows"] > 4000 and b < 8 * a + 2, (a, b)
