@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CJK = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}]"
@@ -48,20 +48,34 @@ def frontmatter(text: Column) -> Column:
 STOPWORDS = {"en": ("the", "of", "and", "to", "in", "is"), "de": ("der", "die", "und", "das", "von", "den"), "es": ("el", "los", "que", "del", "las", "por"), "fr": ("le", "les", "des", "est", "une", "dans")}
 
 
-def _one_of(words: tuple):
-    return lambda x: x.isin(*words)
+def language(df: DataFrame, text: str, out: str = "lang") -> DataFrame:
+    """df with the language of a text column: by script if a fifth of the letters are of one, else by the commonest
+    stop words; und if none occurs. """
+    score, kept, c = "_score", df.columns, F.col(text)
+    while score in kept:
+        score += "_"
+    every = tuple(w for v in STOPWORDS.values() for w in v)
+    # a text is split once; what is counted by language are its few stop words
+    df = df.withColumn(score, F.filter(F.split(F.lower(c), r"[^\p{L}]+"), _one_of(every)))
+    df = df.withColumn(score, _stopword_counts(F.col(score)))
+    best = F.greatest(*(F.col(f"{score}.{k}") for k in STOPWORDS))
+    n = F.greatest(F.length(c), F.lit(1))
+    script = F.when(matches(c, "[\\x{3040}-\\x{30ff}]") * 5 > n, "ja").when(matches(c, "[\\x{ac00}-\\x{d7af}]") * 5 > n, "ko").when(matches(c, CJK) * 5 > n, "zh").when(matches(c, "[\\x{0400}-\\x{04ff}]") * 5 > n, "ru").when(matches(c, "[\\x{0600}-\\x{06ff}]") * 5 > n, "ar")
+    # texts without a letter of these scripts need no counting
+    script = F.when(c.rlike("[\\x{0400}-\\x{06ff}\\x{3040}-\\x{d7af}]"), script)
+    lang = F.when(script.isNotNull(), script).when(best == 0, "und")
+    for k in STOPWORDS:
+        lang = lang.when(F.col(f"{score}.{k}") == best, k)
+    return df.select(*(F.col(x) for x in kept if x != out), lang.alias(out))
 
 
-def language(text: Column) -> Column:
-    """By script if a fifth of the letters are of one, else by the commonest stop words; und if none occurs."""
-    n = F.greatest(F.length(text), F.lit(1))
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-    score = {k: F.size(F.filter(words, _one_of(v))) for k, v in STOPWORDS.items()}
-    best = F.greatest(*score.values())
-    out = F.when(matches(text, "[\\x{3040}-\\x{30ff}]") * 5 > n, "ja").when(matches(text, "[\\x{ac00}-\\x{d7af}]") * 5 > n, "ko").when(matches(text, CJK) * 5 > n, "zh").when(matches(text, "[\\x{0400}-\\x{04ff}]") * 5 > n, "ru").when(matches(text, "[\\x{0600}-\\x{06ff}]") * 5 > n, "ar").when(best == 0, "und")
-    for k in STOPWORDS:
-        out = out.when(score[k] == best, k)
-    return out
+def _stopword_counts(words: Column) -> Column:
+    """A struct of how many of the words are stop words of each language."""
+    return F.struct(*(F.size(F.filter(words, _one_of(v))).alias(k) for k, v in STOPWORDS.items()))
+
+
+def _one_of(words: tuple):
+    return lambda x: x.isin(*words)
 
 
 def tags_normalised(tags: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ctxloom.functions import text as T
 from ctxloom.functions import uris
 
+#: Inner words of an item that join it to documents.
+INNER = 6
+
 
 def ls(df: DataFrame, root: str, recursive: bool = False, hidden: bool = False, limit: int = 1000, path: str = "uri") -> DataFrame:
     rows = df.where(uris.under(F.col(path), root, -1 if recursive else 1) & (F.col(path) != uris.absolute(root)))
@@ -20,7 +23,7 @@ def inferred_dirs(df: DataFrame, path: str = "uri") -> DataFrame:
     return df.select(F.explode(uris.ancestors(F.col(path))).alias("uri")).distinct()
 
 
-def tree(df: DataFrame, root: str, level_limit: int = 3, node_limit: int = 1000, hidden: bool = False, path: str = "uri") -> DataFrame:
+def tree(df: DataFrame, root: str, level_limit: int = 3, node_limit: int | None = 1000, hidden: bool = False, path: str = "uri") -> DataFrame:
     """(uri, is_dir, depth) below a root, depth first, directories before files of a level."""
     inside = df.where(uris.under(F.col(path), root)).select(F.col(path).alias("uri"))
     if not hidden:
@@ -31,7 +34,8 @@ def tree(df: DataFrame, root: str, level_limit: int = 3, node_limit: int = 1000,
     parts = uris.segments(F.col("uri"))
     # a file sorts after the directories beside it
     key = F.transform(parts, lambda x, i: F.concat(F.when((i == F.size(parts) - 1) & ~F.col("is_dir"), "1").otherwise("0"), x))
-    return nodes.orderBy(key).limit(node_limit)
+    nodes = nodes.orderBy(key)
+    return nodes if node_limit is None else nodes.limit(node_limit)
 
 
 def glob(df: DataFrame, pattern: str, path: str = "uri", limit: int | None = None) -> DataFrame:
@@ -72,11 +76,10 @@ def snapshot_log(spark) -> DataFrame:
 
 
 def neighbours(items: DataFrame) -> DataFrame:
-    """Similarity of each plain item to the next."""
-    a = items.select("item_id", F.substring("text", 1, 60).alias("a"))
-    b = items.select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 1, 60).alias("b"))
-    j = a.join(b, "item_id").where(F.concat("a", "b").rlike("^[ -~\\n]*$"))
-    return j.select("item_id", F.round(T.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    """Similarity of each item to the next."""
+    a = items.select("item_id", F.col("text").alias("a"))
+    b = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
+    return a.join(b, "item_id").select("item_id", F.round(T.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
 def reply_f1(m: DataFrame) -> DataFrame:
@@ -88,17 +91,34 @@ def reply_f1(m: DataFrame) -> DataFrame:
 
 
 def evidence(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that contain each item's whole text: joined on its first eight words, then checked."""
-    start = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 8), " ")
-    short = items.where(F.size(F.split("text", " ")) < 8)
-    long = items.where(F.size(F.split("text", " ")) >= 8).select("item_id", F.col("text").alias("item"), start("text").alias("k"))
+    """Documents that contain each item's whole text.
+
+    An item may start and end inside a word, so its inner words decide: items with INNER of them and more are joined on
+    the first INNER, others on as many as they have, and the text confirms. Items of one or two words have no inner word;
+    they are compared with each distinct word or pair of words of the corpus, not with each document.
+    """
     words = F.split("text", " ")
-    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 7, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 8), " ")))).alias("g"))
-    # an item may start inside a word or line: its second to eighth words decide, the text confirms
-    hit = grams.withColumn("k2", F.array_join(F.slice(F.split("g", " "), 1, 7), " ")).join(long.withColumn("k2", F.array_join(F.slice(F.split("k", " "), 2, 7), " ")), "k2")
-    hit = hit.where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
-    rest = short.select("item_id", F.col("text").alias("item"))
-    if not rest.isEmpty():
-        few = docs.join(F.broadcast(rest.limit(10_000)), F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
-        hit = hit.unionByName(few)
-    return hit.groupBy("item_id").agg(F.count("*").alias("docs"))
+    item = items.select("item_id", F.col("text").alias("item"), words.alias("w"), F.least(F.greatest(F.size(words) - 2, F.lit(0)), F.lit(INNER)).alias("n"))
+    docs = docs.select("doc_id", "text")
+    split = docs.select("doc_id", words.alias("w"))  # once a document, not once a run
+
+    def runs(size: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.size("w") - size + 1)
+        return split.where(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, size), " ")))).alias("key"))
+
+    hits = None
+    for n in [r.n for r in item.select("n").distinct().collect()]:  # at most INNER + 1 numbers
+        some = item.where(F.col("n") == n).select("item_id", "item", F.size("w").alias("size"), F.array_join(F.slice("w", 2, n), " ").alias("key"))
+        if n:
+            inner = runs(n).join(some, "key")
+        else:
+            inner = None
+            for size in (1, 2):
+                spread, few = runs(size), some.where(F.col("size") == size).select("item_id", "item")
+                kinds = spread.select("key").distinct().join(few, F.col("key").contains(F.col("item"))).select("item_id", "item", "key")
+                part = spread.join(kinds, "key").select("item_id", "doc_id", "item")
+                inner = part if inner is None else inner.unionByName(part)
+        inner = inner.select("item_id", "doc_id", "item").distinct().join(docs, "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+        hits = inner if hits is None else hits.unionByName(inner)
+    hits = docs.select(F.lit(0).alias("item_id"), "doc_id").limit(0) if hits is None else hits
+    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"))

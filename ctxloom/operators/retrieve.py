@@ -49,19 +49,20 @@ def children_top(df: DataFrame, n: int, parent: str = "parent_uri", score: str =
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(parent).orderBy(F.desc(score), F.desc(tie)))).where(F.col("rank") <= n)
 
 
-def find_hierarchical(nodes: DataFrame, limit: int, threshold: float = 0.0, alpha: float = 1.0, max_depth: int = 16) -> DataFrame:
+def find_hierarchical(nodes: DataFrame, limit: int, threshold: float = 0.0, alpha: float = 1.0) -> DataFrame:
     """(uri, score, hops): leaves reached from the roots over directories whose score passes.
 
     nodes: uri, parent_uri, is_dir, score. Level by level: the max(2 * limit, 20) best children of each
     directory on the frontier are kept, with the parent's score mixed in, and its directories that pass
-    form the next frontier. With no early stop this is the full best-first search. One join a level.
+    form the next frontier, down to the last level (paths must have no cycle). With no early stop this is the full best-first search. One join a level.
     """
     from pyspark.sql.types import DoubleType
 
     per = max(2 * limit, 20)
     frontier = nodes.where("is_dir and parent_uri is null").select("uri", F.lit(0.0).cast(DoubleType()).alias("mixed"))
-    found = None
-    for hop in range(1, max_depth + 1):
+    found, hop = None, 0
+    while True:
+        hop += 1
         kids = nodes.select("uri", "parent_uri", "is_dir", "score").join(frontier.select(F.col("uri").alias("parent_uri"), F.col("mixed").alias("parent_score")), "parent_uri")
         kids = kids.withColumn("mixed", propagated(F.col("score"), F.col("parent_score"), alpha)).where(F.col("mixed") > threshold)
         kids = kids.withColumn("rank", F.row_number().over(Window.partitionBy("parent_uri").orderBy(F.desc("mixed"), "uri"))).where(F.col("rank") <= per)

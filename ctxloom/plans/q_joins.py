@@ -55,9 +55,9 @@ def scope_roots_join(t):
 
 
 @query("asof_join", """SELECT o_orderkey, event_id FROM (SELECT o_orderkey, event_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY ts DESC, event_id DESC) AS r
-  FROM (SELECT o_orderkey, o_custkey % 50 AS k, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(o_orderkey % 720 AS INT) AS at FROM orders WHERE o_orderkey % 10 = 0) o JOIN (SELECT user_id % 50 AS k, ts, event_id FROM events) e ON o.k = e.k AND e.ts <= o.at) WHERE r = 1""")
+  FROM (SELECT o_orderkey, o_custkey % 50 AS k, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(o_orderkey % 720 AS INT) AS at FROM orders) o JOIN (SELECT user_id % 50 AS k, ts, event_id FROM events) e ON o.k = e.k AND e.ts <= o.at) WHERE r = 1""")
 def asof_join(t):
-    o = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=(F.col("o_orderkey") % 720).cast("int"))).alias("at"))
+    o = t.orders.select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=(F.col("o_orderkey") % 720).cast("int"))).alias("at"))
     e = t.events.select((F.col("user_id") % 50).alias("k"), F.col("ts").alias("at"), F.col("event_id"))
     return R.as_of(o, e, "k", "at", "event_id").where(F.col("event_id").isNotNull()).select("o_orderkey", "event_id")
 
@@ -101,7 +101,7 @@ _c("link_normalize", "SELECT src, CASE WHEN regexp_matches(link_type || CASE WHE
 _c("graph_backlinks", "SELECT dst AS id, count(*) AS n, min(src) AS first FROM edges GROUP BY dst", lambda t: R.backlinks(t.edges).select("id", F.size("sources").cast("long").alias("n"), F.array_min("sources").alias("first")))
 _c("graph_build", "SELECT d.doc_id AS id, substr(text, 1, 600) AS preview, (SELECT count(*) FROM (SELECT DISTINCT src, dst, link_type FROM edges WHERE dst IN (SELECT doc_id FROM documents)) x WHERE x.src = d.doc_id) AS links FROM documents d", lambda t: R.graph(t.documents.select(F.col("doc_id").alias("id"), "text"), t.edges))
 _c("memory_diff", ", a AS (SELECT doc_id, lang AS v FROM ctx WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS v FROM ctx WHERE doc_id % 4 <> 0) SELECT CASE WHEN a.doc_id IS NULL THEN 'add' WHEN b.doc_id IS NULL THEN 'delete' WHEN a.v <> b.v THEN 'update' ELSE 'same' END AS kind, count(*) AS n FROM a FULL JOIN b USING (doc_id) GROUP BY 1", lambda t: R.change_kinds(t.ctx.where("doc_id % 3 <> 0").select("doc_id", F.col("lang").alias("v")), t.ctx.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("lang")).alias("v")), "doc_id", "v").groupBy("kind").agg(F.count("*").alias("n")))
-_c("relations", "SELECT src, count(*) AS n FROM (SELECT src, dst FROM edges WHERE src < 100 UNION ALL SELECT dst, src FROM edges WHERE src < 100) GROUP BY src", lambda t: R.both_ways(t.edges.where("src < 100").select("src", "dst")).groupBy("src").agg(F.count("*").alias("n")))
+_c("relations", "SELECT src, count(*) AS n FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY src", lambda t: R.both_ways(t.edges.select("src", "dst")).groupBy("src").agg(F.count("*").alias("n")))
 
 
 # ---------------------------------------------------------------- directory passes, tasks

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +13,11 @@ from ctxloom.streaming import stream as ST
 
 
 def _place(t, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/ctxloom-stream"
+    base = t.spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="ctxloom-stream-")
     return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 

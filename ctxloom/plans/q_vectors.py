@@ -43,14 +43,14 @@ def knn_int8(t):
     return V.top(d.select("vec_id", V.int8_dot(V.int8_codes(_e(), F.col("sa")), F.col("sa"), V.int8_codes(_q(), F.col("sb")), F.col("sb")).alias("score")), 10)
 
 
-# sparse vectors: counts of the first eight words
+# sparse vectors: counts of all words of a text
 def _sparse(t):
-    w = t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("p", "term"))
+    w = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("term"))
     m = w.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("v"))
     return m.crossJoin(F.broadcast(m.where("doc_id = 0").select(F.col("v").alias("query"))))
 
 
-TERMS = """, w AS (SELECT doc_id, unnest(list_slice(string_split(text, ' '), 1, 8)) AS term FROM documents),
+TERMS = """, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents),
 sv AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM w GROUP BY ALL), q AS (SELECT term, n AS m FROM sv WHERE doc_id = 0)"""
 SPARSE = TERMS + """, s AS (SELECT doc_id, coalesce(sum(n * m), 0.0) AS sparse FROM sv LEFT JOIN q USING (term) GROUP BY doc_id)"""
 
@@ -128,9 +128,9 @@ def keyword_match(t):
 
 
 @query("knn_batch", """SELECT query_id, rank, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) AS rank
-  FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 5""")
+  FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 5""")
 def knn_batch(t):
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), _e().alias("query"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), _e().alias("query"))
     return V.batch_knn(t.embeddings, q, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 

@@ -19,7 +19,7 @@ def test_headings_skip_fences_comments_and_indents():
 def test_chunks_lose_nothing_and_keep_the_limit():
     t = "\n\n".join(f"para {i} " + "word " * (i * 13 % 90) for i in range(60)) + "x" * 3000
     parts = D.split_text(t, 100, 25)
-    assert "".join("".join(parts).split()) == "".join(t.split()) and all(len(p) <= 400 for p in parts)
+    assert "".join("".join(parts).split()) == "".join(t.split()) and all(D._tokens(p) <= 100 for p in parts)
     assert D.split_text("") == [] and D.split_text(None) == []
 
 
@@ -69,3 +69,39 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("漢字ab🙂",)], "t string")
     r = df.select(T.token_estimate(F.col("t")).alias("n"), T.markdown_tokens(F.col("t")).alias("m")).first()
     assert r.n == 6 and r.m == 2
+
+
+def test_evidence_and_neighbours_by_plain_code(spark):
+    from ctxloom.operators import fsq
+
+    docs = ["the cat sat on the mat and then went home again", "a cathedral", "went home", "on the mat", "xcat sat on the mat and then went homey", "", None, "é ü naïve co-op"]
+    items = ["cat", "the", "cat sat", "went home", "on the mat", "cat sat on the mat and then went home", "t on the mat an", "naïve", "zzz", "sat on the mat and then went home again"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {k: n for k, x in enumerate(items) if (n := sum(x in t for t in docs if t is not None))}
+    assert {r.item_id: r.docs for r in fsq.evidence(d, i).collect()} == want
+    assert fsq.evidence(d, i.limit(0)).count() == 0
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for k, x in enumerate(a):
+            new = [k + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    got = {r.item_id: r.sim for r in fsq.neighbours(i).collect()}
+    assert got == {k: round(1 - lev(a, b) / max(len(a), len(b)), 6) for k, (a, b) in enumerate(zip(items, items[1:]))}
+
+
+def test_token_aware_chunks_and_packed_messages():
+    from ctxloom.functions import documents as D
+
+    text = "\u6f22\u5b57" * 400 + "\n\n" + "plain words here. " * 60
+    parts = D.split_text(text, 100, 25)
+    assert all(D._tokens(x) <= 100 for x in parts) and "".join("".join(parts).split()) == "".join(text.split())
+    said = "One two. Three four! " + "long " * 40 + "end. Five? six"
+    got = D.packed_sentences(said, 30)
+    assert got[0] == "One two. Three four!" and got[-1] == "Five? six" and " ".join(got).split() == said.split()
+    assert D.packed_sentences(None) == [] and D.packed_sentences("  ") == []

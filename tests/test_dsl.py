@@ -17,31 +17,38 @@ def ids(df, node, schema=dsl.DEFAULT):
 
 @pytest.fixture(scope="module")
 def basic(spark):
-    return spark.createDataFrame([(1, 10, 1.5, "apple"), (2, 20, 2.5, "banana"), (3, 30, 3.5, "cherry"), (4, 40, 4.5, "date"), (5, 50, 5.5, "elderberry")], "id int, n int, x double, s string").cache()
+    """Seven stations: id, platforms, kilometres from the first, name."""
+    return spark.createDataFrame([(11, 3, 0.0, "quay"), (12, 7, 4.25, "mill lane"), (13, 7, 9.0, "north mill"), (14, 12, 17.75, "tower"), (15, 1, 21.0, "lower end"), (16, 16, 30.5, "quarry"), (17, 5, 44.0, "terminus")], "id int, n int, x double, s string").cache()
 
 
 def test_scalar_ops(basic):
-    assert ids(basic, {"op": "must", "field": "n", "conds": [20]}) == {2}
-    assert ids(basic, {"op": "range", "field": "n", "gt": 30}) == {4, 5}
-    assert ids(basic, {"op": "prefix", "field": "s", "prefix": "ap"}) == {1}
-    assert ids(basic, {"op": "contains", "field": "s", "substring": "er"}) == {3, 5}
-    assert ids(basic, {"op": "range_out", "field": "n", "gte": 20, "lte": 40}) == {1, 5}
-    assert ids(basic, {"op": "range_out", "field": "n", "gte": 40, "lte": 20}) == {1, 5}
-    assert ids(basic, {"op": "range_out", "field": "n", "gt": 20, "lt": 40}) == {1, 2, 4, 5}
-    assert ids(basic, {"op": "range", "field": "n", "center": [30], "radius": 10}) == {2, 3, 4}
-    assert ids(basic, {"op": "regex", "field": "s", "pattern": "^(a|d)"}) == {1, 4}
-    assert ids(basic, {"op": "regex", "field": "s", "pattern": "(a"}) == set()
-    assert ids(basic, {"op": "and", "conds": []}) == set() and len(ids(basic, None)) == 5
+    assert ids(basic, {"op": "must", "field": "n", "conds": [7]}) == {12, 13}
+    assert ids(basic, {"op": "range", "field": "n", "gt": 7}) == {14, 16}
+    assert ids(basic, {"op": "prefix", "field": "s", "prefix": "qua"}) == {11, 16}
+    assert ids(basic, {"op": "contains", "field": "s", "substring": "mill"}) == {12, 13}
+    assert ids(basic, {"op": "range_out", "field": "n", "gte": 3, "lte": 12}) == {15, 16}
+    assert ids(basic, {"op": "range_out", "field": "n", "gte": 12, "lte": 3}) == {15, 16}
+    assert ids(basic, {"op": "range_out", "field": "n", "gt": 3, "lt": 12}) == {11, 14, 15, 16}
+    assert ids(basic, {"op": "range", "field": "x", "center": [13.0], "radius": 5.0}) == {13, 14}
+    assert ids(basic, {"op": "regex", "field": "s", "pattern": "(er|us)$"}) == {14, 17}
+    assert ids(basic, {"op": "regex", "field": "s", "pattern": "(er"}) == set()
+    assert ids(basic, {"op": "and", "conds": []}) == set() and len(ids(basic, None)) == 7
 
 
 def test_paths(spark):
-    df = spark.createDataFrame(list(enumerate(["/a/b/c", "/a/b/d", "/a/e", "/f/g", "/f/h/i", "a/b/c", "f/h/i", "a"], 1)), "id int, uri string")
+    paths = {21: "/zoo", 22: "/zoo/cats/lion.md", 23: "/zoo/cats/cubs/one.md", 24: "/zoo/birds/owl.md", 25: "/zoology/notes.md", 26: "zoo/map.md", 27: "park"}
+    df = spark.createDataFrame(list(paths.items()), "id int, uri string")
     must = lambda p, **k: {"op": "must", "field": "uri", "conds": [p], **k}
-    assert ids(df, must("/a")) == {1, 2, 3, 6, 8}
-    assert ids(df, must("/a", para="-d=1")) == {3, 8} and ids(df, must("/a", para="-d=2")) == {1, 2, 3, 6, 8} and ids(df, must("a", para="-d=0")) == {8}
-    assert ids(df, {"op": "must_not", "field": "uri", "conds": ["/a/b"]}) == {3, 4, 5, 7, 8}
-    assert len(ids(df, must("/"))) == 8 and ids(df, must("/", para="-d=1")) == {8}
-    assert ids(df, {"op": "prefix", "field": "uri", "prefix": "a/b"}) == {1, 2}
+    depth = lambda p: len([x for x in p.split("/") if x])
+    inside = lambda p, root: ("/" + p.strip("/") + "/").startswith("/" + root.strip("/") + "/")
+    for root in ("/zoo", "zoo", "/zoo/cats", "/none"):
+        under = {k for k, p in paths.items() if inside(p, root)}
+        assert ids(df, must(root)) == under
+        for d in (0, 1, 2):
+            assert ids(df, must(root, para=f"-d={d}")) == {k for k in under if depth(paths[k]) - depth(root) <= d}
+        assert ids(df, {"op": "must_not", "field": "uri", "conds": [root]}) == set(paths) - under
+    assert ids(df, must("/")) == set(paths) and ids(df, must("/", para="-d=1")) == {21, 27}
+    assert ids(df, {"op": "prefix", "field": "uri", "prefix": "zoo"}) == {21, 22, 23, 24, 25}
 
 
 def test_missing_values_have_two_valued_logic(spark):
@@ -110,9 +117,9 @@ def test_random_trees(spark):
 
 
 def test_count_and_sort(spark, basic):
-    assert {(r.key, r.n) for r in dsl.count_rows(basic.withColumn("g", F.col("n") % 20), "g", {"op": "range", "field": "n", "gte": 20}, keep_zero=True).collect()} == {("0", 2), ("10", 2)}
-    assert [r.id for r in dsl.sort_rows(basic, "n", center=25, topk=3).collect()] == [2, 3, 1]
-    assert [r.id for r in dsl.sort_rows(basic, "x", topk=2).collect()] == [5, 4]
+    assert {(r.key, r.n) for r in dsl.count_rows(basic.withColumn("g", F.col("n") % 4), "g", {"op": "range", "field": "n", "gte": 5}, keep_zero=True).collect()} == {("3", 2), ("0", 2), ("1", 1)}
+    assert [r.id for r in dsl.sort_rows(basic, "n", center=14, topk=2).collect()] == [14, 16]
+    assert [r.id for r in dsl.sort_rows(basic, "x", topk=2).collect()] == [17, 16]
 
 
 def test_uris(spark):
