@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +142,30 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b".,;:!?'\"()[]{}<>*#%$&|-_")] = True
+
+
+def lower_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """text_bytes() in lower case, letters beyond ASCII too."""
+    raw, off = text_bytes(col)
+    if (raw > 127).any():
+        raw, off = text_bytes(pc.utf8_lower(col.fill_null("")))
+    return _LOWER[raw], off
+
+
+def edges_off(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the ASCII punctuation at their edges, however much there is; a span of nothing else gets empty."""
+    plain = np.flatnonzero(~_EDGE[raw])
+    if not len(plain):
+        return starts, starts
+    a, b = np.searchsorted(plain, starts), np.searchsorted(plain, ends)
+    some = b > a
+    return np.where(some, plain[np.minimum(a, len(plain) - 1)], starts), np.where(some, plain[np.maximum(b - 1, 0)] + 1, starts)
+
+
 # ---------------------------------------------------------------- hashing
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)

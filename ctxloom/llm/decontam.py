@@ -17,7 +17,8 @@ postings, one shard after the other, so a benchmark of any size works; the corpu
 
 Words are [^\\x20\\x09-\\x0D]+, lower-cased, edge punctuation off. Null and empty texts hit nothing;
 items without words match nothing; repeated items are items of their own; equal rows of documents
-give one row per document id and item.
+give one row per document id and item. Ties of score go to the first passage; very long texts are searched passage by
+passage, whole; empty tables give no rows; stage() passes further columns through whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.llm import _base as B
-from ctxloom.llm.toxicity import _EDGE, _LOWER
 
 K1, BIAS = 1.2, 0.75
 THRESHOLD = 0.7
@@ -44,13 +44,9 @@ SHARD_POSTINGS = 1_000_000
 
 def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, first word of each text)."""
-    raw, off = B.text_bytes(col)
-    raw = _LOWER[raw]
+    raw, off = B.lower_bytes(col)
     starts, ends, first = B.word_spans(raw, off)
-    for _ in range(3):
-        if len(starts):
-            starts = starts + (_EDGE[raw[np.minimum(starts, len(raw) - 1)]] & (starts < ends))
-            ends = ends - (_EDGE[raw[np.maximum(ends - 1, 0)]] & (starts < ends))
+    starts, ends = B.edges_off(raw, starts, ends)
     full = starts < ends
     before = np.concatenate([[0], np.cumsum(full)])
     return B.word_hashes(raw, starts[full], ends[full]), before[first]
@@ -286,8 +282,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a test item go."""
-    columns = docs.columns
-    key = B.row_key(F.col("doc_id"), F.col("text"))
-    keyed = docs.withColumn("_key", key)
-    bad = find(keyed.select(F.col("_key").alias("doc_id"), "text"), B.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*columns)
+    (key,) = B.private(docs, "key")
+    keyed = docs.withColumn(key, B.row_key(F.col("doc_id"), F.col("text")))
+    bad = find(keyed.select(F.col(key).alias("doc_id"), "text"), B.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)

@@ -44,6 +44,8 @@ SHORT = 8
 BLOCKS, FEW, FEWER = 16, 15, 10
 #: Pairs that differ in more bits of their plain SimHashes are not compared; words of fewer letters (bytes) have no vote in those.
 MAX_BITS, LETTERS = 21, 4
+#: Lines with so many words of LETTERS letters and more draw their blocks from those alone.
+ENOUGH = 10
 #: Blocks are formed so many at a time, which bounds what a shuffle holds.
 AT_ONCE = 6
 _ODD = np.random.default_rng(10).integers(0, 1 << 63, BLOCKS, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
@@ -200,7 +202,12 @@ def _line_table(col: pa.Array, blocks: bool = False):
     for these, many, words in ((long[size[long] <= FEW], BLOCKS, 3), (long[size[long] >= FEW], FEWER, 4)):
         if len(these):
             word = np.arange(int(size[these].sum())) + np.repeat(w0[these] - (np.cumsum(size[these]) - size[these]), size[these])
-            put(these, _sampled(h[word], (we - ws)[word], np.cumsum(size[these]) - size[these], range(many), words))
+            line = np.repeat(np.arange(len(these)), size[these])
+            # where there are enough longer words the others are hardly ever among the least
+            longer = (we - ws)[word] >= LETTERS
+            enough = np.bincount(line[longer], minlength=len(these)) >= ENOUGH
+            word, line = word[longer | ~enough[line]], line[longer | ~enough[line]]
+            put(these, _sampled(h[word], (we - ws)[word], np.searchsorted(line, np.arange(len(these))), range(many), words))
     for words in range(MIN_WORDS, SHORT + 2):
         these = np.flatnonzero(size == words)
         if len(these):

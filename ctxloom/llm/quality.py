@@ -237,19 +237,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = FIT_DOCS, label_col:
     return fit_lines(x, first, np.concatenate(size), np.array([r["label"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, quality_score and quality_good of every row."""
+def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("quality_score", "quality_good")) -> DataFrame:
+    """The columns in keep, and score and decision under names that no such column has, of every row."""
     said = json.dumps(model.__dict__)
 
     def run(piece: pa.RecordBatch):
         got = Model(**json.loads(said)).score(piece.column("text"))
         out = [piece.column(c) for c in keep] + [pa.array(got), pa.array((got >= CUT).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(out, [*keep, "quality_score", "quality_good"])
+        return pa.RecordBatch.from_arrays(out, [*keep, *names])
 
     rows = docs if "text" in docs.columns else docs.withColumn("text", F.lit(None).cast("string"))
     rows = rows.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep)
-    return B.arrow_map(rows, run, f"{schema}, quality_score double, quality_good int")
+    return B.arrow_map(rows, run, f"{schema}, `{names[0]}` double, `{names[1]}` int")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -262,5 +262,6 @@ def op2(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier calls bad go."""
     columns = docs.columns
+    names = B.private(docs, "quality_score", "quality_good")
     model = fit(docs, B.table(spark, sf_dir, "labels"))
-    return score(docs, model, columns).where(F.col("quality_good") == 1).select(*columns)
+    return score(docs, model, columns, tuple(names)).where(F.col(names[1]) == 1).select(*columns)

@@ -86,7 +86,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         take = pa.array(doc)
         return pa.RecordBatch.from_arrays([part.column("d").take(take), part.column("tag").take(take), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(B.signed(least)), pa.array(B.signed(whole))], ["d", "tag", "pos", "size", "least", "piece"])
 
-    pieces = B.keep(B.arrow_map(keyed, cut, "d long, tag int, pos int, size int, least long, piece long"), "pieces")
+    pieces = B.keep(B.arrow_map(keyed, cut, "d long, tag long, pos int, size int, least long, piece long"), "pieces")
     shared = pieces.groupBy("least").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("least")
     pieces_ = pieces
     pieces = B.keep(pieces.join(shared, "least"), "shared-pieces")
@@ -146,7 +146,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): every row without the windows that an earlier document has."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.hash("text").alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spans = find_spans(keyed, window).groupBy("d", "tag").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
     def strip(part: pa.RecordBatch):

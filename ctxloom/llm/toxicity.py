@@ -32,21 +32,12 @@ GRADES = 3
 MIN_Z, MIN_DOCS = 5.0, 4
 PREFIXES = (4, 5, 6)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_EDGE = np.zeros(256, bool)
-_EDGE[list(b".,;:!?'\"()[]{}<>*#%$&|-_")] = True
-
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature hashes, text index, word index) of all words and prefixes."""
-    raw, off = B.text_bytes(col)
-    raw = _LOWER[raw]
+    raw, off = B.lower_bytes(col)
     starts, ends, first = B.word_spans(raw, off)
-    for _ in range(4):  # marks at either end of a word
-        if len(starts):
-            starts = starts + (_EDGE[raw[np.minimum(starts, len(raw) - 1)]] & (starts < ends))
-            ends = ends - (_EDGE[raw[np.maximum(ends - 1, 0)]] & (starts < ends))
+    starts, ends = B.edges_off(raw, starts, ends)
     doc = B.doc_of(first)
     word = np.arange(len(starts))
     full = starts < ends

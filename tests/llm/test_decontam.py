@@ -85,3 +85,15 @@ def test_items_with_edited_words_are_found(spark):
     got = {(r.doc_id, r.item_id) for r in D.find(spark.createDataFrame(docs + halves, "doc_id long, text string"), bench).collect()}
     assert got == {(k, k) for k in range(40)}
     assert D.aligned(np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 7, 4, 5, 9])) == 0.8
+
+
+def test_stage_edges_case_and_column_names(spark, tmp_path):
+    from ctxloom.llm import decontam
+
+    item = "Où était le premier château de la ville ancienne en hiver\nÀ côté du grand ÉTANG près de la forêt"
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hidden = " ".join(f"((((«{w}" if k % 5 == 9 else f"[[[[{w}]]]]." for k, w in enumerate(item.upper().split()))
+    docs = spark.createDataFrame([(1, "x y z " * 30 + hidden + " a b c", "k", 1), (2, "x y z " * 50, "k", 1), (3, None, "k", 1), (3, None, "k", 1), (4, "", "k", 1)], "doc_id long, text string, key string, _key int")
+    out = decontam.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 3, 3, 4]
+    assert all(r.key == "k" and r._key == 1 for r in out.collect()) and decontam.stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -75,3 +75,14 @@ def test_stage_keeps_good_rows_whole(spark, tmp_path):
     assert out.columns == docs.columns
     kept = {r.doc_id: r.text for r in out.collect()}
     assert all((i in kept) == (i % 3 != 0) for i in range(4, 400))
+
+
+def test_stage_keeps_columns_of_any_name(spark, tmp_path):
+    from ctxloom.llm import quality
+
+    rows = [(i, ("good line of words here. " if i % 2 else "BUY!!! $$$ 999 ") * 5, 7, 0.5) for i in range(12)] + [(20, None, 7, 0.5), (20, None, 7, 0.5), (21, "", 7, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality_good int, quality_score double")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = quality.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and all(r.quality_good == 7 and r.quality_score == 0.5 for r in out.collect())
+    assert quality.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
