@@ -60,6 +60,11 @@ def keep(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     return out
 
 
+def moved(df: DataFrame) -> DataFrame:
+    """A frame that grows with the corpus, to be joined by a shuffle (which splits hot keys) in a small run too: one plan at every size."""
+    return df.hint("merge")
+
+
 def forget(df: DataFrame) -> None:
     """Delete what keep() wrote, once nothing reads it any more."""
     at = getattr(df, "_ctxloom_path", None)

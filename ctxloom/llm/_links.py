@@ -18,6 +18,7 @@ bucket with one side filtered, and run as Spark joins that split hot keys.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +54,20 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes
 
 
-def _busy(x: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that are not all in their first member's component, each with its label and whether it is apart."""
+def _labelled(ends: DataFrame, labels: DataFrame) -> DataFrame:
+    """ends (id, lead) with the label of id (own) and whether the two are in different components (apart)."""
     own = labels.select("id", F.col("label").alias("own"))
     head = labels.select(F.col("id").alias("lead"), F.col("label").alias("head"))
-    cur = x.join(own, "id", "left").join(head, "lead", "left").withColumn("own", F.coalesce("own", "id")).withColumn("apart", F.col("own") != F.coalesce("head", "lead"))
-    return cur.join(cur.where("apart").select("bucket").distinct(), "bucket", "left_semi")
+    return ends.join(own, "id", "left").join(head, "lead", "left").select("id", "lead", F.coalesce("own", "id").alias("own"), (F.coalesce("own", "id") != F.coalesce("head", "lead")).alias("apart"))
+
+
+def _busy(x: DataFrame, state: DataFrame) -> DataFrame:
+    """Members of buckets that are not all in their first member's component, each with its label and whether it is apart.
+
+    state: _labelled() of the distinct (id, lead) of x. Whole buckets go before any of their members is looked up.
+    """
+    open_ = x.join(state.where("apart").select("id", "lead"), ["id", "lead"], "left_semi").select("bucket").distinct()
+    return x.join(open_, "bucket", "left_semi").join(state, ["id", "lead"])
 
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: int = GROUP, features: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[], Column] | None = None) -> DataFrame:
@@ -92,17 +101,19 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     tested = [keep(verify(stars.groupBy("id").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select(*pair).distinct()), "verified")]
     labels = components(tested[0].where("ok").select("a", "b"))
     made.append(labels)
-    left = stars.join(labels.select("id", F.col("label").alias("own")), "id", "left").join(labels.select(F.col("id").alias("lead"), F.col("label").alias("head")), "lead", "left")
-    left = left.where(F.coalesce("own", "id") != F.coalesce("head", "lead")).select(*pair).distinct().join(tested[0].select("a", "b"), ["a", "b"], "left_anti")
+    left = _labelled(stars.select("id", "lead"), labels).where("apart")
+    left = left.select(*pair).distinct().join(tested[0].select("a", "b"), ["a", "b"], "left_anti")
     tested.append(keep(verify(left), "verified"))
     v = tested[0].unionByName(tested[1])
     labels = components(v.where("ok").select("a", "b"))
     # what is left: buckets of three and more, with each member's distance to the first one if it was measured
     v = v.select("a", "b", "dist")
-    x = m.where("n > 2 and id <> lead").withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id")).join(v, ["a", "b"], "left").drop("a", "b")
+    ends = keep(m.where("n > 2 and id <> lead").select("id", "lead").distinct(), "ends", SHARE)
+    x = _busy(m.where("n > 2 and id <> lead"), keep(_labelled(ends, labels), "state", SHARE))
+    x = x.withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id")).join(v, ["a", "b"], "left").drop("a", "b")
     share = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20)
     level = F.greatest(F.lit(0), F.floor(F.log(8.0, F.greatest(share * F.col("n") / group, F.lit(1.0)))).cast("int"))
-    x = keep(_busy(x.withColumn("level", level), labels), "rest")
+    x = keep(x.withColumn("level", level), "rest")
     if features is None:
         x = x.withColumn("own_features", F.lit(0)).withColumn("inside", F.lit(0)).withColumn("common", F.lit(0))
     else:
@@ -115,7 +126,9 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         # features shared with the first member follow from the distance; what is neither there nor its own may be common
         inside = F.round((1 - F.col("dist")) * (F.col("size") + F.col("lead_size")) / (2 - F.col("dist")))
         x = x.withColumn("inside", F.coalesce(inside, F.least("size", "lead_size")))
-        x = x.withColumn("common", F.greatest(F.lit(0), F.col("size") - F.col("inside") - F.col("own_features"))).drop("lead_size")
+        # where the distance was not measured, any feature may be of either kind
+        rest = F.col("size") - F.col("own_features") - F.coalesce(inside, F.lit(0))
+        x = x.withColumn("common", F.greatest(F.lit(0), rest)).drop("lead_size")
         x = keep(x.join(x.where("apart").select("bucket").distinct(), "bucket", "left_semi"), "rest")
     # a pair meets in the least of its buckets only; what rules it out there does so everywhere
     mine = x.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
@@ -124,7 +137,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     top = x.agg(F.max("level")).first()[0]
     for r in range(0 if top is None else top + 1):
         if not fresh:
-            cur, fresh = keep(_busy(x.drop("own", "head", "apart").where(F.col("level") >= r), labels), "round"), True
+            cur, fresh = keep(_busy(x.drop("own", "apart").where(F.col("level") >= r), keep(_labelled(ends, labels), "state", SHARE)), "round"), True
         p, q = (cur.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tol", "dist", "level", "size", "own_features", "inside", "common", "own", "apart", "buckets", *more_columns))) for s in "pq")
         lead = p.where(F.col("p_level") == r)
         q = q.where(F.col("q_level") >= r)
@@ -140,9 +153,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         some = lead.join(q.where("q_apart"), "bucket").where(may).select("p_id", "q_id")
         some = some.unionByName(lead.where("p_apart").join(q.where("not q_apart"), "bucket").where(may).select("p_id", "q_id"))
         pairs = some.select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b")).distinct()
-        for t in tested:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs", SHARE)
+        known = reduce(DataFrame.unionByName, (t.select("a", "b") for t in tested))
+        pairs = keep(pairs.join(known, ["a", "b"], "left_anti"), "pairs", SHARE)
         if pairs.isEmpty():
             continue
         tested.append(keep(verify(pairs), "verified"))

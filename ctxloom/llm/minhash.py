@@ -196,15 +196,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key")).alias("first")
     text = B.keep(rows.groupBy("text_id").agg(first, F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "texts")
     size = F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
-    member = text.select(F.explode("bands").alias("bucket"), F.col("text_id").alias("id"), F.col("first.d").alias("ord"), F.lit(1 - similarity).alias("tol"), size.alias("size"), F.col("first.key").alias("key"))
-    crowd = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    member = B.keep(member.join(crowd, "bucket"), "candidates")
+    # only buckets and ids move to find buckets of two and more; the rest is fetched for what is left
+    spread = text.select(F.explode("bands").alias("bucket"), F.col("text_id").alias("id"))
+    crowd = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    found = B.keep(spread.join(B.moved(crowd), "bucket"), "buckets")
+    asked = text.select(F.col("text_id").alias("id"), F.col("first.d").alias("ord"), size.alias("size"), F.col("first.key").alias("key")).join(B.moved(found.select("id").distinct()), "id", "left_semi")
+    asked = B.keep(asked, "asked")
     B.forget(text)
-    asked = B.keep(member.select("id", "key").distinct(), "asked")
-    held = B.keep(docs.select("key", "text").join(asked, "key").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
+    member = B.keep(found.join(asked, "id").withColumn("tol", F.lit(1 - similarity)), "candidates")
+    B.forget(found)
+    held = B.keep(docs.select("key", "text").join(B.moved(asked.select("id", "key")), "key").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+        p = B.moved(pairs).join(held.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
 
         def run(part: pa.RecordBatch):
             dist, ok = _verify(part.column("text").to_pylist(), part.column("other").to_pylist(), similarity)

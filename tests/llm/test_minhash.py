@@ -54,6 +54,32 @@ def test_link_finds_every_component_of_a_line_of_points(spark):
     assert sum(asked) < 300 * 299 / 2 / 4
 
 
+def test_link_of_sets_with_and_without_measured_distances(spark):
+    # sets that drift apart by small steps, all in one bucket; a third of the distances is not measured
+    rng = np.random.default_rng(5)
+    sets, at = [], set(range(40))
+    for i in range(160):
+        if i % 8 == 0:
+            at = set(rng.integers(0, 60, 45).tolist()) if rng.random() < 0.5 else set(range(i * 10, i * 10 + 40)) | set(range(10))
+        at = (at - set(rng.choice(sorted(at), 2, replace=False).tolist())) | set(rng.integers(0, 2000, 2).tolist())
+        sets.append(frozenset(at))
+    order = rng.permutation(len(sets)).tolist()
+    m = spark.createDataFrame([(1, i, order[i], 0.2, len(s)) for i, s in enumerate(sets)], "bucket long, id long, ord long, tol double, size long")
+    held = spark.createDataFrame([(i, sorted(int(x) for x in s)) for i, s in enumerate(sets)], "id long, s array<int>")
+
+    def verify(pairs):
+        d = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+        far = 1 - F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+        return d.select("a", "b", F.when((F.col("a") + F.col("b")) % 3 > 0, far).alias("dist"), (far <= 0.2).alias("ok"))
+
+    def features(ids):
+        return held.join(ids, "id").select(F.explode(F.col("s").cast("array<long>")).alias("feature"), F.lit(1).cast("long").alias("n"), "id")
+
+    got = {r.id: r.label for r in link(m, verify, group=4, features=features).collect()}
+    want = union(range(len(sets)), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)])
+    assert {i: got.get(i, i) for i in range(len(sets))} == want and 20 <= len(set(want.values())) < 140
+
+
 def plain_alignment(a, b):
     """Edit distance by the textbook table."""
     d = list(range(len(b) + 1))
