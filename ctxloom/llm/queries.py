@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, decontam, hamming, lines, minhash, packing, periods, quality, substrings, toxicity, wavelet
+from ctxloom.llm import chat, decontam, exact, hamming, lines, minhash, packing, periods, quality, substrings, toxicity, wavelet
 
 QUERIES = {
     "op1_bm25_decontamination": decontam.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_debruijn_substrings": substrings.op8,
     "op9_chat_windows": chat.op9,
     "op10_fuzzy_lines": lines.op10,
+    "op12_perfect_hash_dedup": exact.op12,
     "op13_periodic_runs": periods.op13,
 }
 
 ORACLE: dict[str, str] = {
     "op3_multi_index_hamming": hamming.SQL,
     "op9_chat_windows": chat.SQL,
+    "op12_perfect_hash_dedup": exact.SQL,
 }
