@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import chat, decontam, exact, hamming, lines, minhash, packing, periods, quality, substrings, toxicity, wavelet
+from ctxloom.llm import chat, decontam, exact, hamming, lines, minhash, packing, periods, quality, substrings, toxicity, wavelet, whitening
 
 QUERIES = {
     "op1_bm25_decontamination": decontam.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_debruijn_substrings": substrings.op8,
     "op9_chat_windows": chat.op9,
     "op10_fuzzy_lines": lines.op10,
+    "op11_exact_whitening": whitening.op11,
     "op12_perfect_hash_dedup": exact.op12,
     "op13_periodic_runs": periods.op13,
 }
