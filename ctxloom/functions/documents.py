@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctxloom.functions import patching
+
 MAX_TOKENS, MIN_TOKENS = 2048, 512
 MESSAGE_CHARS = 100
 
@@ -229,6 +231,16 @@ def patched(df: DataFrame) -> DataFrame:
     return _rows(df, "uri string, text string, applied boolean", lambda r: [(r.uri, r.text if (x := apply_patch(r.text, r.find, r.put)) is None else x, x is not None)])
 
 
+def patched_blocks(df: DataFrame) -> DataFrame:
+    """Texts after their search-and-replace blocks, with the score of each block (see patching)."""
+
+    def one(r):
+        text, scores = patching.apply_blocks(r.text or "", [(b["search"], b["replace"]) for b in r.blocks])
+        return [(r.uri, text, [round(s, 6) for s in scores])]
+
+    return _rows(df, "uri string, text string, scores array<double>", one)
+
+
 def render_links(text: str | None, spans, targets) -> str:
     """The first occurrence of each span at word bounds becomes a link; spans do not overlap."""
     text, taken = text or "", []
