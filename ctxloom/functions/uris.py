@@ -72,7 +72,7 @@ def leaf(path: Column) -> Column:
 def relative(path: Column, root: str) -> Column:
     """The path below a root; '.' for the root itself."""
     root = absolute(root)
-    return F.when(path == root, ".").when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20))
+    return F.when(path == root, ".").when(path.startswith(root.rstrip("/") + "/"), path.substr(F.lit(len(root.rstrip("/")) + 2), F.length(path)))
 
 
 def extension(path: Column) -> Column:
@@ -103,7 +103,7 @@ def glob_regex(pattern: str) -> str:
 def rewritten(path: Column, old: str, new: str) -> Column:
     """A path moved from one root to another; others stay."""
     old, new = absolute(old), absolute(new)
-    return F.when(under(path, old), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 20))).otherwise(path)
+    return F.when(under(path, old), F.concat(F.lit(new), path.substr(F.lit(len(old) + 1), F.length(path)))).otherwise(path)
 
 
 def record_id(account: Column, uri: Column, level: Column) -> Column:

@@ -88,24 +88,33 @@ def one_query(rows: DataFrame, query: DataFrame, vector: str = "embedding") -> D
 
 
 def top(df: DataFrame, k: int, id_col: str = "vec_id", score_col: str = "score") -> DataFrame:
-    return df.orderBy(F.round(score_col, 6).desc(), F.col(id_col).desc()).limit(k).withColumn(score_col, F.round(score_col, 6))
+    """The k best rows; scores that are missing or not finite count as 0."""
+    return df.withColumn(score_col, F.round(finite(F.col(score_col)), 6)).orderBy(F.desc(score_col), F.desc(id_col)).limit(k)
 
 
-def batch_knn(rows: DataFrame, queries: DataFrame, k: int, kind: str = "ip", id_col: str = "vec_id", vector: str = "embedding", max_broadcast: int = 20_000) -> DataFrame:
-    """(query_id, rank, id, score) for a stated query set. Queries are broadcast in blocks of a checked size, one pass a block."""
-    n = queries.count()
-    blocks = max(1, -(-n // max_broadcast))
+#: Bytes of query vectors that are broadcast at once.
+BLOCK_BYTES = 8 << 20
+
+
+def against(rows: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All rows beside all queries (query_id, query) of a stated set, which is broadcast in blocks of a checked size, a pass over the rows a block."""
+    size = queries.agg(F.sum(F.coalesce(F.size("query"), F.lit(0)) * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = rows.select(id_col, vector).crossJoin(F.broadcast(part.select("query_id", F.col("query").alias("query"))))
-        s = F.round(score(kind, F.col(vector), F.col("query")), 6)
-        ranked = pairs.select("query_id", id_col, s.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(id_col))))
-        part_out = ranked.where(F.col("rank") <= k)  # ranks are limited before the shuffle
-        out = part_out if out is None else out.unionByName(part_out)
+        pairs = rows.crossJoin(F.broadcast(part.select("query_id", F.col("query").alias("query"))))
+        out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
+def batch_knn(rows: DataFrame, queries: DataFrame, k: int, kind: str = "ip", id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, rank, id, score) for a stated query set; ranks are limited before the shuffle."""
+    s = F.round(finite(score(kind, F.col(vector), F.col("query"))), 6)
+    scored = against(rows.select(id_col, vector), queries, block_bytes).select("query_id", id_col, s.alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(id_col)))).where(F.col("rank") <= k)
+
+
 def rrf(a: DataFrame, b: DataFrame, id_col: str, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (id, rank)."""
     j = a.select(id_col, F.col("rank").alias("ra")).join(b.select(id_col, F.col("rank").alias("rb")), id_col, "full_outer")

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ctxloom.functions import uris
-from ctxloom.operators import dsl
+from ctxloom.operators import dsl, frontier
 from ctxloom.operators import retrieve as R
+from ctxloom.operators import vectors as V
 from ctxloom.plans.registry import query
 
 NOW = "2024-02-01 00:00:00"
@@ -41,6 +42,21 @@ def find_hier(t):
     return R.find_hierarchical(_tree(t), 10, 0.4)
 
 
+def directory_vectors(t):
+    """(uri, parent_uri, level, embedding) of all files, with the embedding of their id, and of all directories, with the mean of what is below."""
+    files = t.ctx.select("doc_id", "uri", "parent_uri").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), V.doubles(F.col("embedding")).alias("embedding")), "doc_id", "left")
+    parts = files.where("embedding IS NOT NULL").select(F.explode(uris.ancestors(F.col("uri"))).alias("uri"), "embedding").select("uri", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("uri", "i").agg(F.avg("x").alias("x")).groupBy("uri").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
+    dirs = means.select("uri", uris.parent(F.col("uri")).alias("parent_uri"), F.when(uris.depth(F.col("uri")) <= 2, 0).otherwise(1).alias("level"), "embedding")
+    return dirs.unionByName(files.select("uri", "parent_uri", F.lit(2).alias("level"), "embedding"))
+
+
+@query("find_thinking")
+def find_thinking(t):
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), V.doubles(F.col("embedding")).alias("query"))
+    return frontier.find_thinking(directory_vectors(t), queries, ["/resources"], 10, 0.05, alpha=0.7)
+
+
 @query("children_topn", S_SQL + " SELECT parent_uri, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY parent_uri ORDER BY score DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 3")
 def children_topn(t):
     return R.children_top(_scored(t), 3).select("parent_uri", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
