@@ -98,8 +98,8 @@ BLOCK_BYTES = 8 << 20
 
 def against(rows: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows beside all queries (query_id, query) of a stated set, which is broadcast in blocks of a checked size, a pass over the rows a block."""
-    size = queries.agg(F.sum(F.coalesce(F.size("query"), F.lit(0)) * 8 + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.size("query"), F.lit(0)) * 8 + 64), F.lit(0))).first()
+    blocks = max(1, min(n, -(-size // block_bytes)))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
