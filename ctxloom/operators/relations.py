@@ -38,16 +38,6 @@ def under_roots(df: DataFrame, roots: DataFrame, path: str = "uri") -> DataFrame
     return df.withColumn("root", F.explode(uris.scope_roots(F.col(path)))).join(roots, "root")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Each left row with the latest right value of its key not after it: one union, one sort, no pair join."""
-    cols = left.columns
-    a = left.select(F.struct(*cols).alias("_row"), F.col(key), F.col(at), F.lit(None).alias(value), F.lit(1).alias("_side"))
-    b = right.select(F.lit(None).alias("_row"), F.col(key), F.col(at), F.col(value), F.lit(0).alias("_side"))
-    u = a.unionByName(b)
-    w = Window.partitionBy(key).orderBy(at, "_side", value).rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("_v", F.last(value, ignorenulls=True).over(w)).where("_side = 1").select("_row.*", F.col("_v").alias(value))
-
-
 def xor(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     j = a.distinct().select(key, F.lit(1).alias("_a")).join(b.distinct().select(key, F.lit(1).alias("_b")), key, "full_outer")
     return j.where(F.col("_a").isNull() | F.col("_b").isNull()).select(key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxloom.operators import ranges
+
 #: Upper bounds of the latency histogram, in seconds.
 BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -58,11 +60,13 @@ def outcomes(m: DataFrame, minutes: int = 10) -> DataFrame:
 
 
 def latency(df: DataFrame, keys: list[str], ms: str = "duration_ms") -> DataFrame:
+    """Counts, rates, mean, worst and exact percentiles of each group (of all rows without keys)."""
     d = F.col(ms)
-    p = F.percentile(d, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
     g = df.groupBy(*keys) if keys else df.groupBy()
-    out = g.agg(F.count("*").alias("n"), F.round(F.avg(F.when(success(F.col("status_code")), 1.0).otherwise(0.0)), 6).alias("success_rate"), F.round(F.avg(d), 6).alias("mean"), F.round(F.max(d), 6).alias("worst"), F.count_if(d > 100).alias("slow"), p.alias("p"))
-    return out.select("*", *[F.round(F.get("p", i), 6).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))]).drop("p")
+    out = g.agg(F.count("*").alias("n"), F.round(F.avg(F.when(success(F.col("status_code")), 1.0).otherwise(0.0)), 6).alias("success_rate"), F.round(F.avg(d), 6).alias("mean"), F.round(F.max(d), 6).alias("worst"), F.count_if(d > 100).alias("slow")).alias("g")
+    p = ranges.percentiles(df, keys, ms, [0.5, 0.9, 0.95, 0.99]).alias("p")
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys] or [F.lit(True)]
+    return out.join(p, same, "left").select("g.*", *[F.round(F.get("p.p", i), 6).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))])
 
 
 def histogram(df: DataFrame, seconds: Column, bounds: tuple = BOUNDS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ctxloom.functions import uris
+from ctxloom.operators import ranges
 from ctxloom.operators import relations as R
 from ctxloom.plans.registry import query
 
@@ -59,7 +60,7 @@ def scope_roots_join(t):
 def asof_join(t):
     o = t.orders.select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=(F.col("o_orderkey") % 720).cast("int"))).alias("at"))
     e = t.events.select((F.col("user_id") % 50).alias("k"), F.col("ts").alias("at"), F.col("event_id"))
-    return R.as_of(o, e, "k", "at", "event_id").where(F.col("event_id").isNotNull()).select("o_orderkey", "event_id")
+    return ranges.as_of(o, e, "k", "at", "event_id").where(F.col("event_id").isNotNull()).select("o_orderkey", "event_id")
 
 
 EN, HOT = "SELECT doc_id FROM ctx WHERE lang = 'en'", "SELECT doc_id FROM ctx WHERE active_count > 60"

@@ -46,7 +46,10 @@ def stream_late(t):
     return t.spark.read.schema("hour timestamp, event_type string, n long").parquet(at + "/out")
 
 
-@query("stream_dedupe")
+@query("stream_dedupe", """, RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY user_id, ts),
+n AS MATERIALIZED (SELECT e.user_id, e.event_id, f.event_id AS later FROM e ASOF LEFT JOIN e f ON e.user_id = f.user_id AND e.ts + INTERVAL 1 HOUR <= f.ts),
+c AS (SELECT user_id, arg_min(event_id, ts) AS event_id FROM e GROUP BY user_id UNION ALL SELECT c.user_id, n.later FROM c JOIN n ON n.event_id = c.event_id WHERE n.later IS NOT NULL)
+SELECT event_id FROM c""")
 def stream_dedupe(t):
     return ST.accepted(t.events.select("event_id", "ts", "user_id"), "user_id", seconds=3600).select("event_id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ctxloom.operators import dsl
+from ctxloom.operators import ranges
 from ctxloom.operators import usage as U
 from ctxloom.plans.registry import query
 
@@ -178,7 +179,7 @@ LAT = "count(*) AS n, round(avg(CASE WHEN status_code BETWEEN 200 AND 399 THEN 1
 _c("latency_summary", f"SELECT operation, {LAT} FROM usage GROUP BY operation", lambda t: U.latency(t.usage, ["operation"]))
 _c("latency_all", f"SELECT {LAT} FROM usage", lambda t: U.latency(t.usage, []))
 _c("latency_windows", f"SELECT w, {LAT} FROM (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS w FROM usage) GROUP BY w", lambda t: U.latency(t.usage.withColumn("w", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)), ["w"]))
-_c("pctl", "SELECT round(quantile_cont(o_totalprice, 0.25), 6) AS p25, round(quantile_cont(o_totalprice, 0.75), 6) AS p75 FROM orders", lambda t: t.orders.agg(F.round(F.percentile("o_totalprice", 0.25), 6).alias("p25"), F.round(F.percentile("o_totalprice", 0.75), 6).alias("p75")))
+_c("pctl", "SELECT round(quantile_cont(o_totalprice, 0.25), 6) AS p25, round(quantile_cont(o_totalprice, 0.75), 6) AS p75 FROM orders", lambda t: ranges.percentiles(t.orders, [], "o_totalprice", [0.25, 0.75]).select(F.round(F.get("p", 0), 6).alias("p25"), F.round(F.get("p", 1), 6).alias("p75")))
 _c("task_summary", "SELECT operation, count(*) AS total, count(*) FILTER (status_code < 400) AS done, count(*) FILTER (status_code >= 400) AS failed FROM usage GROUP BY operation", lambda t: t.usage.groupBy("operation").agg(F.count("*").alias("total"), F.count_if(F.col("status_code") < 400).alias("done"), F.count_if(F.col("status_code") >= 400).alias("failed")))
 _c("error_top", "SELECT operation, status_code, count(*) AS n FROM usage WHERE status_code >= 400 GROUP BY ALL ORDER BY n DESC, operation, status_code LIMIT 5", lambda t: t.usage.where("status_code >= 400").groupBy("operation", "status_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "operation", "status_code").limit(5))
 _c("oplog_stats", "SELECT event_type, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type", lambda t: t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))

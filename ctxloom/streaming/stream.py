@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxloom.operators import ranges
+
 #: Late events count as long as they are not older than the retention.
 RETENTION = "30 days"
 DEDUPE_SECONDS = 45
@@ -36,17 +37,7 @@ def deduped(events: DataFrame, keys: list[str], ts: str = "ts", seconds: int = D
 
 def accepted(events: DataFrame, key: str, ts: str = "ts", seconds: int = DEDUPE_SECONDS, order: str = "event_id") -> DataFrame:
     """Batch form, exact: an event counts if the last accepted one of its key is at least that long ago."""
-    cols = events.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        keep, last = [], None
-        for t in pdf[ts]:
-            keep.append(last is None or (t - last).total_seconds() >= seconds)
-            last = t if keep[-1] else last
-        return pdf[keep]
-
-    return events.groupBy(key).applyInPandas(run, events.schema).select(*cols)
+    return ranges.chain(events, key, ts, seconds, order)
 
 
 def once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> None:
