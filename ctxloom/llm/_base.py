@@ -202,12 +202,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Values that one polynomial covers. Sequences of 1,024 and more can be made that differ and agree under every base.
+_CHUNK = 128
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial 64-bit hash of values[start:end] (uint64) for each span, equal wherever the spans' values are equal."""
+    """64-bit hash of values[start:end] (uint64) for each span, equal wherever the spans' values are equal.
+
+    Short spans: a polynomial modulo 2**64 and a finaliser. Longer ones: the same over the hashes of their chunks, counted from the span's start.
+    """
     n = len(values)
     acc = np.zeros(n + 1, U64)
     np.cumsum(values * _powers(_BASE, n), out=acc[1:])
-    return mix((acc[ends] - acc[starts]) * _powers(_INV, n + 1)[starts] + (ends - starts).astype(U64))
+    inverse = _powers(_INV, n + 1)
+
+    def plain(a, b):
+        return mix((acc[b] - acc[a]) * inverse[a] + (b - a).astype(U64))
+
+    size = ends - starts
+    out = plain(starts, ends)
+    long = np.flatnonzero(size > _CHUNK)
+    if len(long):
+        chunks = -(-size[long] // _CHUNK)
+        first = np.cumsum(chunks) - chunks
+        lo = np.repeat(starts[long], chunks) + (np.arange(int(chunks.sum())) - np.repeat(first, chunks)) * _CHUNK
+        parts = plain(lo, np.minimum(lo + _CHUNK, np.repeat(ends[long], chunks)))
+        out[long] = mix(span_hashes(parts, first, first + chunks) + size[long].astype(U64))
+    return out
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

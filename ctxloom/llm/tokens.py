@@ -60,6 +60,26 @@ class _TextCoder:
         return np.fromiter((i for x in out for i in (*x, *tail)), np.uint32, int(n.sum())), n
 
 
+def _same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units that have their kind's hash but not its bytes become kinds of their own."""
+    size = ends - starts
+    like = sample[of]
+    other = size != size[like]
+    rows = np.flatnonzero(~other & (like != np.arange(len(of))))
+    n = size[rows]
+    if len(rows):
+        at = np.repeat((starts[rows] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)
+        differs = raw[at] != raw[at + np.repeat((starts[like[rows]] - starts[rows]).astype(np.int32), n)]
+        if differs.any():
+            other[np.repeat(rows, n)[differs]] = True
+    alone = np.flatnonzero(other)
+    if not len(alone):
+        return of, sample
+    of = of.copy()
+    of[alone] = len(sample) + np.arange(len(alone))
+    return of, np.concatenate([sample, alone])
+
+
 class _WordCoder:
     """Splits ASCII text into the pieces of the file's pattern with byte classes; other words go through the pattern itself."""
 
@@ -124,6 +144,7 @@ class _WordCoder:
         of = kinds.indices.to_numpy(zero_copy_only=False)
         sample = np.zeros(len(kinds.dictionary), np.int64)
         sample[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+        of, sample = _same_bytes(raw, starts, ends, of, sample)
         if len(self.at) + len(sample) > WORDS_KEPT:
             self.clear()
         data, at = raw.tobytes(), self.at

@@ -177,3 +177,8 @@ def test_equal_rows_and_empty(spark):
 def test_equal_short_lines_go_and_different_ones_stay(spark):
     rows = [(1, "Chapter one\n\n..."), (2, "chapter ONE.\nchapter two\n\n..."), (3, "word"), (4, "Word!\nchapter one"), (5, "words"), (6, "ÉTÉ 1"), (7, "été 2")]
     assert removed(spark, rows) == {(2, 0), (4, 0), (4, 1), (7, 0)}
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    one = "".join("zq"[bin(i).count("1") % 2] for i in range(2048))
+    assert removed(spark, [(1, one), (2, one.translate(str.maketrans("qz", "zq"))), (3, one)]) == {(3, 0)}

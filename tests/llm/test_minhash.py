@@ -152,3 +152,11 @@ def test_classes_equal_brute_force(spark):
 
 def test_empty(spark):
     assert M.classes(spark.createDataFrame([], "key long, doc_id long, text string")).count() == 0
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    one = "".join("zq"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, one), (2, one.translate(str.maketrans("qz", "zq"))), (3, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in M.classes(df.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))).collect()}
+    assert got[1] == got[3] and got[2] != got[1]

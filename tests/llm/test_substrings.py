@@ -3,6 +3,12 @@ import numpy as np
 from ctxloom.llm import substrings as S
 
 
+def turns(n, a, b):
+    """Two sequences of n (a power of two) that every polynomial modulo 2**64 takes for equal from 2,048 on."""
+    one = [bin(i).count("1") % 2 for i in range(n)]
+    return [b if x else a for x in one], [a if x else b for x in one]
+
+
 def brute(rows, window):
     """(n_words, n_removed, kept) of each row by a dictionary of all windows."""
     first = {}
@@ -59,3 +65,12 @@ def test_repetitive_texts_ties_and_odd_rows(spark):
 
 def test_empty(spark):
     assert got(spark, [], 5) == []
+
+
+def test_words_and_passages_that_a_polynomial_cannot_tell_apart(spark):
+    one, two = ("".join(x) for x in turns(2048, "q", "z"))
+    passage = [f"p{i}" for i in range(45)]
+    rows = [(1, " ".join([*passage, one, *passage])), (2, " ".join([*passage, two, *passage]))]
+    rows += [(k + 3, " ".join(x)) for k, x in enumerate(turns(4096, "left", "right"))]
+    assert got(spark, rows, 50) == brute(rows, 50)
+    assert brute(rows[:2], 50)[1][2] == 0

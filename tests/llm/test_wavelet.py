@@ -12,6 +12,12 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Hello  World's\tend.", None, "", "don't 12,5 é ñandú ÀÉ ß", "é x y <|endoftext|>z a<|endoftext|> b", "ΣΑΣ İstanbul ﬁ Ⅷ", "x" * 3000, "a　b\u0085c ﻿d", "🙂🙂 don’t ''s 's"]
 
 
+def turns(n, a, b):
+    """Two sequences of n (a power of two) that every polynomial modulo 2**64 takes for equal from 2,048 on."""
+    one = [bin(i).count("1") % 2 for i in range(n)]
+    return [b if x else a for x in one], [a if x else b for x in one]
+
+
 def direct(text):
     from tokenizers import Tokenizer
 
@@ -71,3 +77,19 @@ def test_documents_round_trip(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert wavelet.write_shards(df, B.new_path(spark, "t"), PATH).count() == 0
+
+
+def test_words_that_a_polynomial_cannot_tell_apart():
+    assert len({int(x) for x in B.span_hashes(np.array(sum(turns(4096, 3, 5), []), np.uint64), np.array([0, 4096]), np.array([4096, 8192]))}) == 2
+    one, two = ("".join(x) for x in turns(2048, "q", "z"))
+    for words in ([one, two], [two, one], [one + "7", two + "7", one + "7"]):
+        text = " ".join(words)
+        got = tokens.coder(PATH)(pa.array([text, *words]), 2)
+        assert got[0].tolist() == [i for t in (text, *words) for i in (*direct(t), 2)]
+
+
+def test_equal_hashes_with_other_bytes(monkeypatch):
+    monkeypatch.setattr(B, "word_hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+    fresh = tokens.coder(PATH)
+    texts = ["the cat sat on the mat, the dog did not", "abc abd abc 12 13 !? ?! don't won't", ""]
+    assert fresh(pa.array(texts), 2)[0].tolist() == [i for t in texts for i in (*direct(t), 2)]
