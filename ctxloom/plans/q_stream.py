@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ctxloom.operators import store as S
 from ctxloom.plans.registry import query
+from ctxloom.sources import scratch
+from ctxloom.streaming import stateful
 from ctxloom.streaming import stream as ST
 
 
 def _place(t, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ctxloom-stream-")
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return scratch.new_path(t.spark, f"stream-{name}")
 
 
 @query("stream_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -76,3 +70,24 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def win_session(t):
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("stream_ttl", """SELECT user_id, event_id, ts + INTERVAL 6 HOUR AS expire_at FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events)
+WHERE later >= ts + INTERVAL 6 HOUR OR (later IS NULL AND ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))""")
+def stream_ttl(t):
+    """Each event is a version of its user's record, which lives for six hours."""
+    at, spark = _place(t, "ttl"), stateful.stateful_session(t.spark)
+    src = ST.source(spark, f"{t.dir}/events.parquet").select("user_id", "event_id", "ts", (F.col("ts") + F.make_interval(hours=F.lit(6))).alias("expire_at"))
+    ST.once(stateful.expirations(src, "user_id", "event_id", "ts", "expire_at", "1 hour"), at + "/out", at + "/checkpoint")
+    return t.spark.read.schema("user_id long, event_id long, expire_at timestamp").parquet(at + "/out").withColumn("expire_at", F.col("expire_at").cast("timestamp_ntz"))
+
+
+@query("stream_countdown", "SELECT concat(operation, '/', user_id) AS task, count(*) AS total FROM usage GROUP BY operation, user_id HAVING count(*) = count(*) FILTER (status_code < 400)")
+def stream_countdown(t):
+    """A task for each operation of a user, registered with its number of calls; calls that succeed count it down."""
+    at, spark = _place(t, "countdown"), stateful.stateful_session(t.spark)
+    u = t.usage.select(F.concat_ws("/", "operation", "user_id").alias("task"), F.col("event_id").alias("seq"), "status_code")
+    start = u.groupBy("task").agg(F.lit(-1).cast("long").alias("seq"), F.count("*").alias("total"))
+    start.unionByName(u.where("status_code < 400").select("task", "seq", F.lit(None).cast("long").alias("total"))).write.parquet(at + "/log")
+    ST.once(stateful.completions(ST.source(spark, at + "/log", 1 << 30), "task", "seq", "total"), at + "/out", at + "/checkpoint")
+    return t.spark.read.schema("task string, total long").parquet(at + "/out")
