@@ -70,11 +70,6 @@ def written(old: Column, new: Column, mode: Column) -> Column:
     return F.when(mode == "replace", new).when(mode == "append", F.concat(F.coalesce(old, F.lit("")), new)).when(old.isNull(), new).otherwise("conflict")
 
 
-def snapshot_log(spark) -> DataFrame:
-    """Versions from the head back along parents, by a recursive query: here every second of ten, and the head."""
-    return spark.sql("""WITH RECURSIVE log(version, age) AS (SELECT 10, 0 UNION ALL SELECT version - 2, age + 2 FROM log WHERE version > 2) SELECT CAST(version AS BIGINT) AS version, CAST(age AS BIGINT) AS age FROM log""")
-
-
 def neighbours(items: DataFrame) -> DataFrame:
     """Similarity of each item to the next."""
     a = items.select("item_id", F.col("text").alias("a"))

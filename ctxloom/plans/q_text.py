@@ -32,7 +32,6 @@ _c("tool_read", "SELECT doc_id, substr(content, 11, 40) AS part, length(content)
 _c("tool_search", "SELECT doc_id, instr(lower(content), 'the ') AS at, substr(content, greatest(1, instr(lower(content), 'the ') - 10), 24) AS around FROM ctx WHERE instr(lower(content), 'the ') > 0", lambda t: fsq.search_text(t.ctx, "the ", 10).select("doc_id", F.col("at").cast("long").alias("at"), "around"))
 _c("write_modes", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN content || 'new' ELSE 'conflict' END AS out FROM ctx", lambda t: t.ctx.select("doc_id", fsq.written(F.col("content"), F.lit("new"), F.when(F.col("doc_id") % 3 == 0, "replace").when(F.col("doc_id") % 3 == 1, "append").otherwise("create")).alias("out")))
 _c("tier_read", "SELECT level, count(*) AS n, min(uri) AS first FROM ctx GROUP BY level", lambda t: t.ctx.groupBy("level").agg(F.count("*").alias("n"), F.min("uri").alias("first")))
-_c("snapshot_log", "SELECT k AS version, 10 - k AS age FROM (SELECT unnest(generate_series(1, 10)) AS k) WHERE k % 2 = 0 OR k = 10", lambda t: fsq.snapshot_log(t.spark))
 _c("read_route", "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN 'backup' END, CASE WHEN doc_id % 3 = 0 THEN 'primary' END, CASE WHEN doc_id % 5 = 0 THEN 'redirect' END, 'miss') AS route FROM ctx", lambda t: t.ctx.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 4 == 0, "backup"), F.when(F.col("doc_id") % 3 == 0, "primary"), F.when(F.col("doc_id") % 5 == 0, "redirect"), F.lit("miss")).alias("route")))
 
 _c("md_frontmatter", "SELECT doc_id, lang || '!' AS lang, source FROM ctx", lambda t: t.ctx.select("doc_id", T.frontmatter(F.concat(F.lit("---\nlang: "), "lang", F.lit("!\nsource: "), "source", F.lit("\n---\n"), "content")).alias("m")).select("doc_id", F.col("m")["lang"].alias("lang"), F.col("m")["source"].alias("source")))
