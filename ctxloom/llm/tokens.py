@@ -60,24 +60,16 @@ class _TextCoder:
         return np.fromiter((i for x in out for i in (*x, *tail)), np.uint32, int(n.sum())), n
 
 
-def _same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Units that have their kind's hash but not its bytes become kinds of their own."""
-    size = ends - starts
-    like = sample[of]
-    other = size != size[like]
-    rows = np.flatnonzero(~other & (like != np.arange(len(of))))
-    n = size[rows]
-    if len(rows):
-        at = np.repeat((starts[rows] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)
-        differs = raw[at] != raw[at + np.repeat((starts[like[rows]] - starts[rows]).astype(np.int32), n)]
-        if differs.any():
-            other[np.repeat(rows, n)[differs]] = True
-    alone = np.flatnonzero(other)
-    if not len(alone):
-        return of, sample
-    of = of.copy()
-    of[alone] = len(sample) + np.arange(len(alone))
-    return of, np.concatenate([sample, alone])
+def _alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(kind of each unit, bytes of each kind): units are of one kind if all their bytes are equal."""
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    data = raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    kinds = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+    return kinds.indices.to_numpy(zero_copy_only=False), kinds.dictionary.to_pylist()
 
 
 class _WordCoder:
@@ -140,17 +132,14 @@ class _WordCoder:
         if not len(raw):
             return np.full(tail * len(col), end_id or 0, np.uint32), np.full(len(col), tail, np.int64)
         raw, starts, ends, odd, first = self.units(raw, off)
-        kinds = pc.dictionary_encode(pa.array(B.signed(B.word_hashes(raw, starts, ends))))
-        of = kinds.indices.to_numpy(zero_copy_only=False)
-        sample = np.zeros(len(kinds.dictionary), np.int64)
-        sample[of[::-1]] = np.arange(len(of) - 1, -1, -1)
-        of, sample = _same_bytes(raw, starts, ends, of, sample)
-        if len(self.at) + len(sample) > WORDS_KEPT:
+        of, names = _alike(raw, starts, ends)
+        uncut = np.zeros(len(names), bool)
+        uncut[of] = odd  # words with odd bytes are whole, and nothing else has such bytes
+        if len(self.at) + len(names) > WORDS_KEPT:
             self.clear()
-        data, at = raw.tobytes(), self.at
+        at = self.at
         slots = []
-        for lo, hi, whole in zip(starts[sample].tolist(), ends[sample].tolist(), odd[sample].tolist()):
-            name = data[lo:hi]
+        for name, whole in zip(names, uncut.tolist()):
             slot = at.get(name)
             if slot is None:
                 ids = self.word(name.decode()) if whole else self.piece(name)
