@@ -17,18 +17,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.functions import patching
+from ctxloom.functions import encodings, jsons, markup, patching
+from ctxloom.functions.registry import PARSER, find, names, register
 
 MAX_TOKENS, MIN_TOKENS = 2048, 512
 MESSAGE_CHARS = 100
+#: Rows whose results are Python objects at once.
+STEP_ROWS = 200
 
 
 def _rows(df: DataFrame, schema: str, f: Callable[..., Iterable[tuple]]) -> DataFrame:
-    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
+    columns = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([x for r in pdf.itertuples(index=False) for x in f(r)], columns=names)
+            for lo in range(0, len(pdf), STEP_ROWS):  # what is handed back stays small, whatever a batch holds
+                yield pd.DataFrame([x for r in pdf[lo: lo + STEP_ROWS].itertuples(index=False) for x in f(r)], columns=columns)
 
     return df.mapInPandas(run, schema)
 
@@ -282,28 +286,59 @@ def restored(df: DataFrame) -> DataFrame:
     return df.select("uri", out.alias("text"))
 
 
-def repair_json(text: str | None) -> str | None:
-    """A JSON value out of a fenced or slightly broken answer: trailing commas, single quotes, missing closers."""
-    t = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", text or "").strip()
-    for s in (t, re.sub(r",\s*([}\]])", r"\1", t), re.sub(r",\s*([}\]])", r"\1", t.replace("'", '"'))):
-        for close in ("", "}", "]", "]}", '"}'):
-            try:
-                return json.dumps(json.loads(s + close), sort_keys=True)
-            except ValueError:
-                continue
-    return None
+def repaired(df: DataFrame) -> DataFrame:
+    """JSON of each text, null where there is none (see jsons)."""
+    return _rows(df, "uri string, json string", lambda r: [(r.uri, jsons.repair(r.text))])
 
 
-def repaired(df: DataFrame) -> DataFrame:
-    return _rows(df, "uri string, json string", lambda r: [(r.uri, repair_json(r.text))])
+def as_markdown(df: DataFrame) -> DataFrame:
+    """Pages (uri, html) as markdown (see markup)."""
+    return _rows(df, "uri string, text string", lambda r: [(r.uri, markup.markdown(r.html))])
+
+
+def decoded(df: DataFrame) -> DataFrame:
+    """Bytes (uri, content) as text, with the encoding they are in (see encodings); null for bytes that are no text."""
+    return _rows(df, "uri string, encoding string, text string", lambda r: [(r.uri, *encodings.detect(r.content))])
+
+
+@register(PARSER, "html", "htm", "xhtml")
+def _html(text: str) -> str:
+    return markup.markdown(text)
+
+
+@register(PARSER, "json")
+def _json(text: str) -> str:
+    return jsons.repair(text) or ""
+
+
+@register(PARSER, "md", "markdown", "txt", "log", "rst", "")
+def _plain(text: str) -> str:
+    return text
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Files (path, content) as text: decoded, then through the parser registered for their suffix; other suffixes stay as they are.
+
+    Bytes that are no text give null.
+    """
+    parsers = {n: find(PARSER, n) for n in names(PARSER)}  # those of the caller; a worker's own registry may be empty
+
+    def one(r):
+        encoding, text = encodings.detect(r.content)
+        suffix = re.search(r"\.([A-Za-z0-9]+)$", r.path or "")
+        name = suffix[1].lower() if suffix else ""
+        return [(r.path, encoding, text if text is None or name not in parsers else parsers[name](text))]
+
+    return _rows(files.select("path", "content"), "path string, encoding string, text string", one)
 
 
 def child_counts(text: str | None) -> list[tuple[str, int]]:
+    """Tags of the children of an XML document's root and how many there are, most first."""
     try:
         root = ElementTree.fromstring(text or "")
     except ElementTree.ParseError:
         return []
-    return Counter(x.tag for x in root).most_common(30)
+    return Counter(x.tag for x in root).most_common()
 
 
 def xml_children(df: DataFrame) -> DataFrame:

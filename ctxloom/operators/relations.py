@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.functions import uris
+from ctxloom.functions.registry import MERGE, find, register
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -49,18 +50,32 @@ def islands(df: DataFrame, key: str, day: str) -> DataFrame:
     return df.withColumn("_run", run).groupBy(key, "_run").agg(F.min(day).alias("first_day"), F.count("*").alias("days")).drop("_run")
 
 
+@register(MERGE, "sum")
+def _sum(v: Column, seq: Column) -> Column:
+    return F.sum(v)
+
+
+@register(MERGE, "max")
+def _max(v: Column, seq: Column) -> Column:
+    return F.max(v)
+
+
+@register(MERGE, "immutable")
+def _immutable(v: Column, seq: Column) -> Column:
+    """The first value."""
+    return F.min_by(v, F.when(v.isNotNull(), seq))
+
+
+@register(MERGE, "replace")
+def _replace(v: Column, seq: Column) -> Column:
+    """The last value that is not empty."""
+    some = v.isNotNull() & (v.cast("string") != "")
+    return F.max_by(F.when(some, v), F.when(some, seq))
+
+
 def merge_expression(op: str, c: str, seq: str) -> Column:
-    v = F.col(c)
-    if op == "sum":
-        return F.sum(v).alias(c)
-    if op == "immutable":
-        return F.min_by(v, F.when(v.isNotNull(), F.col(seq))).alias(c)
-    if op == "replace":
-        some = v.isNotNull() & (v.cast("string") != "")
-        return F.max_by(F.when(some, v), F.when(some, F.col(seq))).alias(c)
-    if op == "max":
-        return F.max(v).alias(c)
-    raise ValueError(f"unknown merge op {op!r}")
+    """The aggregate of a registered merge operation; patches fold in order instead (folds.merge_patch)."""
+    return find(MERGE, op)(F.col(c), F.col(seq)).alias(c)
 
 
 def merge(updates: DataFrame, key: str, seq: str, ops: dict[str, str]) -> DataFrame:
