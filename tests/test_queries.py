@@ -57,3 +57,9 @@ def test_the_rest_works_without_the_training_data_part(tmp_path):
     code = "import sys; sys.modules['ctxloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1_') for k in q) and 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_the_rest_works_where_the_training_data_part_lacks_a_library():
+    code = "import sys; sys.modules['zstandard'] = None; sys.modules['ctxloom.llm.wavelet'] = None; import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert out.returncode == 0 and "left out" in out.stderr, out.stderr
