@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.functions import encodings, jsons, markup, patching
@@ -148,22 +148,26 @@ def sections(df: DataFrame) -> DataFrame:
     return _rows(df, "uri string, name string, merged int, text string", lambda r: [(r.uri, *x) for x in section_list(r.text)])
 
 
-def is_binary(data: bytes | None) -> bool:
-    head = (data or b"")[:4096]
-    control = sum(b < 9 or 13 < b < 32 for b in head)
-    return b"\0" in head or bool(head) and control / len(head) > 0.3
+def is_binary(content: Column) -> Column:
+    """Whether bytes are no text: a zero, or over 30 % control signs, in the first 4,096."""
+    head = F.decode(F.substring(F.coalesce(content, F.lit(b"")), 1, 4096), "ISO-8859-1")
+    control = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0e-\x1f]", ""))
+    return F.contains(head, F.lit("\0")) | (control / F.greatest(F.length(head), F.lit(1)) > 0.3)
 
 
 def sniffed(df: DataFrame) -> DataFrame:
-    return _rows(df, "uri string, is_binary boolean", lambda r: [(r.uri, is_binary(r.content))])
+    return df.select("uri", is_binary(F.col("content")).alias("is_binary"))
 
 
-def cut_bytes(text: str | None, most: int) -> str:
-    return (text or "").encode()[:most].decode(errors="ignore")
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest start of a text of at most so many UTF-8 bytes: bytes are cut, then an unfinished letter at the end goes."""
+    bytes_ = F.decode(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, most), "ISO-8859-1")
+    whole = F.regexp_replace(bytes_, r"(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})$", "")
+    return F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8")
 
 
 def byte_limited(df: DataFrame, most: int) -> DataFrame:
-    return _rows(df, "uri string, text string", lambda r: [(r.uri, cut_bytes(r.text, most))])
+    return df.select("uri", cut_bytes(F.col("text"), most).alias("text"))
 
 
 def kind_of(text: str | None) -> str:

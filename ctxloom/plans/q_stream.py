@@ -32,12 +32,12 @@ def stream_upsert(t):
     return S.latest(versions, "user_id", "event_id")
 
 
-@query("stream_late")
+@query("stream_late", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_late(t):
     at = _place(t, "late")
     src = ST.source(t.spark, f"{t.dir}/events.parquet")
     ST.once(ST.hourly(src, ["event_type"], delay="1 hour"), at + "/out", at + "/checkpoint")
-    return t.spark.read.schema("hour timestamp, event_type string, n long").parquet(at + "/out")
+    return t.spark.read.schema("hour timestamp, event_type string, n long").parquet(at + "/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query("stream_dedupe", """, RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY user_id, ts),

@@ -68,19 +68,25 @@ j AS (SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS s, len(a.w) AS
 _c("evidence_recall", "SELECT i.item_id, count(*) AS docs FROM benchmark i JOIN documents d ON contains(d.text, i.text) GROUP BY i.item_id", lambda t: fsq.evidence(t.documents, t.benchmark))
 _c("refusal_flag", "SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), '(cannot|unable|not able|no information)') AS refused FROM messages WHERE role = 'assistant'", lambda t: t.messages.where("role = 'assistant'").select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).rlike("(cannot|unable|not able|no information)").alias("refused")))
 
-# document processors without SQL: Arrow batches, one row in, rows out
-_c("md_headings", lambda t: D.headings(t.ctx.select("uri", F.concat(F.lit("# "), "uri", F.lit("\n\n"), "content", F.lit("\n\n## End\n")).alias("text"))))
+def _order_sheets(t):
+    """An XML sheet of each customer with orders: a child for each order, named by whether it is done."""
+    o = t.orders.groupBy(F.col("o_custkey").alias("uri")).agg(*[F.collect_list(F.when((F.col("o_orderstatus") == "F") == done, F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price")))).alias(tag) for tag, done in (("done", True), ("open", False))])
+    return o.select(F.col("uri").cast("string").alias("uri"), F.to_xml(F.struct("done", "open"), {"rowTag": "orders"}).alias("text"))
+
+
+# document processors: Arrow batches, one row in, rows out
+_c("md_headings", "SELECT uri, CAST(1 AS INT) AS line, CAST(1 AS INT) AS level, uri AS title FROM ctx UNION ALL SELECT uri, CAST(len(string_split(content, chr(10))) + 4 AS INT), 2, 'End' FROM ctx UNION ALL SELECT uri, CAST(n + 2 AS INT), length(regexp_extract(l, '^(#{1,6})[ ]', 1)), trim(regexp_extract(l, '^#+[ ]+(.*)', 1), ' #') FROM (SELECT uri, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM ctx) WHERE regexp_matches(l, '^#{1,6}[ ]')", lambda t: D.headings(t.ctx.select("uri", F.concat(F.lit("# "), "uri", F.lit("\n\n"), "content", F.lit("\n\n## End\n")).alias("text"))))
 _c("doc_chunks", lambda t: D.chunks(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text")))
 _c("md_sections", lambda t: D.sections(t.ctx.select("uri", F.concat(F.lit("# A\n"), "content", F.lit("\n# B\nshort\n")).alias("text"))))
 _c("message_chunks", lambda t: D.message_chunks(t.messages.select(F.concat_ws("-", "conv_id", "turn").alias("uri"), "text")))
-_c("binary_sniff", lambda t: D.sniffed(t.documents.select(F.col("doc_id").cast("string").alias("uri"), F.col("text").cast("binary").alias("content"))))
-_c("utf8_truncate", lambda t: D.byte_limited(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text"), 100))
-_c("synopsis_kind", lambda t: D.kinds(t.events.select(F.col("event_id").cast("string").alias("uri"), F.col("props").alias("text"))))
+_c("binary_sniff", "SELECT CAST(doc_id AS VARCHAR) AS uri, length(substr(text, 1, 4096)) - length(regexp_replace(substr(text, 1, 4096), '[\\x01-\\x08\\x0E-\\x1F]', '', 'g')) > 0.3 * greatest(length(substr(text, 1, 4096)), 1) OR contains(substr(text, 1, 4096), chr(0)) AS is_binary FROM documents", lambda t: D.sniffed(t.documents.select(F.col("doc_id").cast("string").alias("uri"), F.col("text").cast("binary").alias("content"))))
+_c("utf8_truncate", 'SELECT CAST(doc_id AS VARCHAR) AS uri, substr(text, 1, list_max(list_filter(range(0, 101), lambda k: strlen(substr(text, 1, k)) <= 100))) AS text FROM documents', lambda t: D.byte_limited(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text"), 100))
+_c("synopsis_kind", "SELECT CAST(event_id AS VARCHAR) AS uri, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END AS kind FROM events", lambda t: D.kinds(t.events.select(F.col("event_id").cast("string").alias("uri"), F.col("props").alias("text"))))
 _c("code_symbols", lambda t: D.code_symbols(t.documents.select(F.col("doc_id").cast("string").alias("uri"), F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("(x):\n    return x\n\nclass A:\n    def m(self): ...\n")).alias("text"))))
 _c("patch_apply", lambda t: D.patched(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text", F.element_at(F.split("text", "\n"), -1).alias("find"), F.lit("PATCHED").alias("put"))))
 _c("link_render", lambda t: D.linked(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^(\w+)"), F.lit(1))).alias("spans"), F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^(\w+)"), F.lit(1))), lambda x: F.concat(F.lit("ctx://"), x)).alias("targets"))))
 _c("redact", lambda t: D.redacted(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text")))
-_c("redact_restore", lambda t: D.restored(D.redacted(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text"))))
+_c("redact_restore", "SELECT CAST(doc_id AS VARCHAR) AS uri, coalesce(text, '') AS text FROM documents", lambda t: D.restored(D.redacted(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text"))))
 _c("json_repair", lambda t: D.repaired(t.events.select(F.col("event_id").cast("string").alias("uri"), F.concat(F.lit("```json\n"), F.regexp_replace("props", "\\}$", ",}"), F.lit("\n```")).alias("text"))))
-_c("xml_children", lambda t: D.xml_children(t.pages.select(F.col("url").alias("uri"), F.lit("<a><b/><b/><c/></a>").alias("text"))))
-_c("sheet_to_markdown", lambda t: D.sheet_markdown(t.customer.select("c_custkey", "c_mktsegment"), ["c_custkey", "c_mktsegment"]))
+_c("xml_children", "SELECT CAST(c_custkey AS VARCHAR) AS uri, tag, CAST(n AS INT) AS n FROM (SELECT o_custkey AS c_custkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS tag, count(*) AS n FROM orders GROUP BY ALL)", lambda t: D.xml_children(_order_sheets(t)))
+_c("sheet_to_markdown", "SELECT '| ' || c_custkey || ' | ' || replace(c_mktsegment, '|', chr(92) || '|') || ' |' AS line FROM customer", lambda t: D.sheet_markdown(t.customer.select("c_custkey", "c_mktsegment"), ["c_custkey", "c_mktsegment"]))

@@ -32,8 +32,7 @@ def test_sections_and_kinds():
 
 
 def test_small_helpers():
-    assert D.is_binary(b"a\0b") and not D.is_binary("é text".encode()) and not D.is_binary(b"") and D.is_binary(bytes([1, 2, 3, 65]))
-    assert D.cut_bytes("ééé", 3) == "é" and D.symbols("class A:\n def m(self): pass\n") == [("A", "class", 1), ("A.m", "function", 2)] and D.symbols("def (") == []
+    assert D.symbols("class A:\n def m(self): pass\n") == [("A", "class", 1), ("A.m", "function", 2)] and D.symbols("def (") == []
     assert D.apply_patch("a  b c", "a b", "X") == "X c" and D.apply_patch("abc", "z", "X") is None
     assert D.render_links("cat catalog cat", ["cat", "catalog"], ["u", "v"]) == "[cat](u) [catalog](v) cat"
     red, names = D.redact('token = "abcdef123456" and token: abcdef123456')
@@ -106,3 +105,14 @@ def test_token_aware_chunks_and_packed_messages():
     got = D.packed_sentences(said, 30)
     assert got[0] == "One two. Three four!" and got[-1] == "Five? six" and " ".join(got).split() == said.split()
     assert D.packed_sentences(None) == [] and D.packed_sentences("  ") == []
+
+
+def test_bytes(spark):
+    rows = [(b"a\0b", True), ("é text".encode(), False), (b"", False), (bytes([1, 2, 3, 65]), True), (bytes([1]) + b"text", False), (None, False), (b"x" * 5000 + b"\0", False)]
+    df = spark.createDataFrame([(str(i), c) for i, (c, _) in enumerate(rows)], "uri string, content binary")
+    assert [r.is_binary for r in D.sniffed(df).orderBy(F.col("uri").cast("int")).collect()] == [x for _, x in rows]
+    texts = ["ééé", "a€b", "𝄞𝄞", "", None, "plain", "x�y"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "uri string, text string")
+    for most in range(1, 9):
+        got = [r.text for r in D.byte_limited(df, most).orderBy("uri").collect()]
+        assert got == [(t or "").encode()[:most].decode(errors="ignore") for t in texts]
