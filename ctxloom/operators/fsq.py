@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ def grep(df: DataFrame, pattern: str, root: str = "/", exclude: str | None = Non
     rows = df.where(uris.under(F.col(path), root, level_limit))
     if exclude:
         rows = rows.where(~uris.under(F.col(path), exclude))
-    lines = rows.where(F.col(content).rlike(pattern)).select(F.col(path).alias("uri"), F.posexplode(F.split(content, "\n", -1)).alias("at", "line"))
+    if not re.search(r"\\[AGZz]|\(\?[!=<]", pattern):  # such parts look beyond a line
+        rows = rows.where(F.col(content).rlike("(?m)" + pattern))
+    lines = rows.select(F.col(path).alias("uri"), F.posexplode(F.split(content, "\n", -1)).alias("at", "line"))
     out = lines.where(F.col("line").rlike(pattern)).select("uri", (F.col("at") + 1).alias("line_no"), "line")
     return out if limit is None else out.orderBy("uri", "line_no").limit(limit)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ctxloom.functions import documents as D
 from ctxloom.functions import registry
 from ctxloom.plans.registry import query
+from ctxloom.sources import files
 
 
 @query("html_markdown")
@@ -72,3 +73,27 @@ def udtf_headings(t):
 @query("udtf_chunks")
 def udtf_chunks(t):
     return _sql(t, "SELECT d.doc_id, c.chunk, c.text FROM {documents} d, LATERAL ctx_chunks(d.text, 256) c")
+
+
+def feeds(t):
+    """(host, feed, xml): RSS documents of at most a hundred pages of a host."""
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1))
+    item = F.struct(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("url").alias("link"))
+    group = t.pages.where(F.col("url").isNotNull()).groupBy(host.alias("host"), F.floor(F.col("page_id") / 100).alias("feed")).agg(F.collect_list(item).alias("item"))
+    return group.select("host", "feed", F.to_xml(F.struct(F.struct(F.col("host").alias("title"), "item").alias("channel")), {"rowTag": "rss"}).alias("xml"))
+
+
+@query("feed_parse", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) AS host, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, url AS link FROM pages WHERE url IS NOT NULL")
+def feed_parse(t):
+    items = feeds(t).select("host", F.explode(files.feed_items(F.col("xml"))).alias("i"))
+    return items.select("host", F.coalesce("i.title", F.lit("")).alias("title"), "i.link")
+
+
+@query("sort_nulls_last", "SELECT page, k, event_id FROM (SELECT event_id // 1000 AS page, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY k DESC NULLS LAST, event_id) AS r FROM events) WHERE r <= 5 OR r > 995")
+def sort_nulls_last(t):
+    """The first and last rows of each thousand, values from high to low and missing ones at the end."""
+    from pyspark.sql import Window
+
+    e = t.events.select(F.floor(F.col("event_id") / 1000).alias("page"), "event_id", F.when(F.col("event_id") % 3 != 0, F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    r = e.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy(F.desc_nulls_last("k"), "event_id")))
+    return r.where("r <= 5 OR r > 995").select("page", "k", "event_id")

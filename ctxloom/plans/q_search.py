@@ -137,9 +137,10 @@ def trace_stats(t):
     return t.usage.groupBy("operation").agg(F.count("*").alias("n"), F.round(F.min(d), 6).alias("low"), F.round(F.max(d), 6).alias("high"), F.round(F.avg(d), 6).alias("mean"))
 
 
-@query("active_increment", ", h AS (SELECT event_id % 1000 AS doc_id, count(*) AS n FROM usage WHERE operation = 'find' GROUP BY 1) SELECT doc_id, active_count + coalesce(n, 0) AS active_count FROM ctx LEFT JOIN h USING (doc_id)")
+@query("active_increment", ", h AS (SELECT event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, count(*) AS n FROM usage WHERE operation = 'find' GROUP BY 1) SELECT doc_id, active_count + coalesce(n, 0) AS active_count FROM ctx LEFT JOIN h USING (doc_id)")
 def active_increment(t):
-    hits = t.usage.where("operation = 'find'").groupBy((F.col("event_id") % 1000).alias("doc_id")).agg(F.count("*").alias("n"))
+    last = t.documents.agg((F.max("doc_id") + 1).alias("all"))  # one row
+    hits = t.usage.where("operation = 'find'").crossJoin(F.broadcast(last)).groupBy((F.col("event_id") % F.col("all")).alias("doc_id")).agg(F.count("*").alias("n"))
     return t.ctx.join(hits, "doc_id", "left").select("doc_id", (F.col("active_count") + F.coalesce("n", F.lit(0))).alias("active_count"))
 
 

@@ -44,10 +44,18 @@ def knn_int8(t):
 
 
 # sparse vectors: counts of all words of a text
-def _sparse(t):
-    w = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("term"))
-    m = w.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("v"))
-    return m.crossJoin(F.broadcast(m.where("doc_id = 0").select(F.col("v").alias("query"))))
+def _terms(t):
+    return t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("term"))
+
+
+def _asked(t):
+    """(term, m): the query's terms, here those of document 0."""
+    return _terms(t).where("doc_id = 0").groupBy("term").agg(F.count("*").cast("double").alias("m"))
+
+
+def _dots(t):
+    """(doc_id, sparse): each occurrence of a query's term adds the term's weight; no document becomes a vector of its own."""
+    return _terms(t).join(_asked(t), "term", "left").groupBy("doc_id").agg(F.sum(F.coalesce("m", F.lit(0.0))).alias("sparse"))
 
 
 TERMS = """, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents),
@@ -57,22 +65,27 @@ SPARSE = TERMS + """, s AS (SELECT doc_id, coalesce(sum(n * m), 0.0) AS sparse F
 
 @query("knn_sparse", SPARSE + " SELECT doc_id, round(sparse, 6) AS score FROM s ORDER BY score DESC, doc_id DESC LIMIT 10")
 def knn_sparse(t):
-    return V.top(_sparse(t).select("doc_id", V.sparse_dot(F.col("v"), _q()).alias("score")), 10, "doc_id")
+    return V.top(_dots(t).withColumnRenamed("sparse", "score"), 10, "doc_id")
 
 
 @query("knn_sparse_l2", SPARSE + """, n2 AS (SELECT doc_id, sum(n * n) AS nn FROM sv GROUP BY doc_id), q2 AS (SELECT sum(m * m) AS qq FROM q)
 SELECT doc_id, round(1 - (nn + qq - 2 * sparse), 6) AS score FROM s JOIN n2 USING (doc_id), q2 ORDER BY score DESC, doc_id DESC LIMIT 10""")
 def knn_sparse_l2(t):
-    return V.top(_sparse(t).select("doc_id", (1 - V.sparse_l2(F.col("v"), _q())).alias("score")), 10, "doc_id")
+    n, m = F.col("n"), F.coalesce("m", F.lit(0.0))
+    counts = _terms(t).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("n")).join(_asked(t), "term", "left")
+    # over a text's own terms the squared distance is less than the query's square by what those terms hold of it
+    near = counts.groupBy("doc_id").agg(F.sum((n - m) * (n - m) - m * m).alias("own"))
+    whole = _asked(t).agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("qq"))
+    return V.top(near.crossJoin(F.broadcast(whole)).select("doc_id", (1 - F.col("own") - F.col("qq")).alias("score")), 10, "doc_id")  # one row
 
 
 @query("knn_sparse_only", SPARSE + " SELECT doc_id, round(sparse, 6) AS score FROM s WHERE sparse > 0 ORDER BY score DESC, doc_id DESC LIMIT 15")
 def knn_sparse_only(t):
-    return V.top(_sparse(t).select("doc_id", V.sparse_dot(F.col("v"), _q()).alias("score")).where("score > 0"), 15, "doc_id")
+    return V.top(_terms(t).join(_asked(t), "term").groupBy("doc_id").agg(F.sum("m").alias("score")), 15, "doc_id")
 
 
 def _both(t):
-    s = _sparse(t).select("doc_id", V.sparse_dot(F.col("v"), _q()).alias("sparse"))
+    s = _dots(t)
     d = _q0(t).select(F.col("vec_id").alias("doc_id"), V.dot(_e(), _q()).alias("dense"))
     return d.join(s, "doc_id")
 
