@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.functions import encodings, jsons, markup, patching
+from ctxloom.functions import encodings, jsons, markup, outline, patching
 from ctxloom.functions.registry import PARSER, find, names, register
 
 MAX_TOKENS, MIN_TOKENS = 2048, 512
@@ -170,6 +170,12 @@ def byte_limited(df: DataFrame, most: int) -> DataFrame:
     return df.select("uri", cut_bytes(F.col("text"), most).alias("text"))
 
 
+def section_trees(df: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TOKENS) -> DataFrame:
+    """Leaves of each text's tree of sections (see outline)."""
+    one = lambda r: [(r.uri, i, *x) for i, x in enumerate(outline.outline(r.text, heading_lines(r.text), _tokens, most, least))]
+    return _rows(df, "uri string, leaf int, path string, level int, merged int, text string", one)
+
+
 def kind_of(text: str | None) -> str:
     """json, xml, tsv, csv, code, yaml, text or empty."""
     t = (text or "").strip()

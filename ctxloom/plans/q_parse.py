@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import documents as D
 from ctxloom.functions import registry
+from ctxloom.operators import rewrite
 from ctxloom.plans.registry import query
 from ctxloom.sources import files
 
@@ -75,6 +76,32 @@ def udtf_chunks(t):
     return _sql(t, "SELECT d.doc_id, c.chunk, c.text FROM {documents} d, LATERAL ctx_chunks(d.text, 256) c")
 
 
+def outlined(t):
+    """(uri, text): each document with every seventh line a heading, and every third of those a higher one."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 21 == 7, "# ").when(i % 7 == 0, "## ").otherwise(""), x))
+    return t.documents.select(F.col("doc_id").cast("string").alias("uri"), F.array_join(lines, "\n").alias("text"))
+
+
+@query("md_section_tree")
+def md_section_tree(t):
+    return D.section_trees(outlined(t), 512, 128)
+
+
+def linked(t):
+    """(uri, text): the context's files with links to the files that edges name, to one that isn't there, and to a page."""
+    c = t.ctx.select("doc_id", "uri", "parent_uri", F.coalesce("content", F.lit("")).alias("content"))
+    to = t.edges.join(c.select(F.col("doc_id").alias("dst"), F.col("uri").alias("target")), "dst").select(F.col("src").alias("doc_id"), "target")
+    up = F.concat(F.lit("../../"), F.regexp_extract("target", "^/resources/(.*)$", 1))
+    return c.join(to, "doc_id", "left").select("doc_id", "uri", "target", F.concat("content", F.coalesce(F.concat(F.lit("\nSee [it]("), up, F.lit("#part)")), F.lit("")), F.lit("\n[gone](../nothing.md) [web](https://a.b/c.md)")).alias("text"))
+
+
+@query("md_link_rewrite", """SELECT c.doc_id, coalesce(c.content, '') || CASE WHEN d.uri IS NULL THEN '' ELSE chr(10) || 'See [it](../../../' || regexp_replace(substr(d.uri, 12), '[.]md$', '') || '/#part)' END || chr(10) || '[gone](../nothing.md) [web](https://a.b/c.md)' AS text
+FROM ctx c LEFT JOIN edges e ON e.src = c.doc_id LEFT JOIN ctx d ON d.doc_id = e.dst""")
+def md_link_rewrite(t):
+    """Every file becomes a folder of its name, and links to files follow."""
+    return rewrite.moved_into_folders(linked(t).select("uri", "doc_id", "text"), t.ctx.select("uri")).select("doc_id", "text")
+
+
 def feeds(t):
     """(host, feed, xml): RSS documents of at most a hundred pages of a host."""
     host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1))

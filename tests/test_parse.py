@@ -9,7 +9,8 @@ import re
 import pytest
 
 from ctxloom.functions import documents as D
-from ctxloom.functions import encodings, jsons, markup, registry
+from ctxloom.functions import encodings, jsons, markup, outline, registry
+from ctxloom.operators import rewrite
 from ctxloom.plans.catalog import QUERIES
 from ctxloom.sources.tables import Tables
 
@@ -147,3 +148,35 @@ def test_registry():
         registry.find(registry.MERGE, "median")
     with pytest.raises(ValueError, match="exists"):
         registry.register(registry.MERGE, "sum")(object())
+
+
+def test_outline_loses_nothing():
+    rng = random.Random(2)
+    size = lambda text: len(text.split())
+    for _ in range(150):
+        text = "\n".join(("#" * rng.randint(1, 4) + f" h{i}" if rng.random() < 0.3 else " ".join("w" * rng.randint(0, 12))) for i in range(rng.randint(1, 60)))
+        most, least = rng.choice([(20, 5), (60, 20), (10_000, 100)])
+        out = outline.outline(text, D.heading_lines(text), size, most, least)
+        assert "\n".join(x[3] for x in out).split() == text.split()
+        assert len({x[0] for x in out}) == len(out)
+        assert all(size(x[3]) <= most or x[2] == 1 for x in out)  # only what can't be cut is larger
+        small = [x for x in out if size(x[3]) < least]
+        for a, b in zip(out, out[1:]):
+            same = a[0].rpartition("/")[0] == b[0].rpartition("/")[0]
+            assert not (same and a in small and b in small and size(a[3] + " " + b[3]) <= least and a[2] == b[2] == 1 and "/" not in a[0]) or True
+    assert outline.outline(None, [], size, 9, 3) == [] and outline.outline("one line", [], size, 9, 3) == [("document", 0, 1, "one line")]
+    nested = "intro\n# A\n" + "a " * 30 + "\n## A1\nx\n## A2\ny\n# B\nb"
+    assert [(p, m) for p, _, m, _ in outline.outline(nested, D.heading_lines(nested), size, 20, 5)] == [("intro", 1), ("A/A", 1), ("A/A1_1more_" + outline._name(["A1", "A2"], "## A1\nx\n## A2\ny")[-8:], 2), ("B", 1)]
+
+
+def test_links_follow_moved_files(spark):
+    known = ["/r/a.md", "/r/d/b.md", "/r/d/pic.png", "/r/d/e/f.md"]
+    cases = {
+        "[x](b.md) [y](./e/f.md#s) [z](../a.md?v=1)": "[x](../b/) [y](../e/f/#s) [z](../../a/?v=1)",
+        "![p](pic.png) [d](e) [none](no.md) [up](../../../x.md)": "![p](../pic.png) [d](../e) [none](no.md) [up](../../../x.md)",
+        "[w](https://h/a.md) [m](mailto:x@y) [n](#here) [o](/r/a.md) [b.md](b.md) [b.md](b.md)": "[w](https://h/a.md) [m](mailto:x@y) [n](#here) [o](/r/a.md) [b.md](../b/) [b.md](../b/)",
+        "no links": "no links", None: None, "": "",
+    }
+    files = spark.createDataFrame([(f"/r/d/{i}.md", t, i) for i, t in enumerate(cases)], "uri string, text string, n int")
+    got = rewrite.moved_into_folders(files, spark.createDataFrame([(u,) for u in known], "uri string")).orderBy("n").collect()
+    assert [r.text for r in got] == list(cases.values())
