@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
 from ctxloom.functions import uris
 
-#: Inner words of an item that join it to documents.
-INNER = 6
+#: Bytes of texts that are searched for at once.
+SHARD_BYTES = 8 << 20
 
 
 def ls(df: DataFrame, root: str, recursive: bool = False, hidden: bool = False, limit: int = 1000, path: str = "uri") -> DataFrame:
@@ -89,35 +91,47 @@ def reply_f1(m: DataFrame) -> DataFrame:
     return j.select("conv_id", "turn", F.round(F.when(n == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect("w", "v")) / n), 6).alias("f1"))
 
 
-def evidence(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that contain each item's whole text.
+def evidence(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(item_id, docs): how many documents contain each item's whole text, for items that any contains.
 
-    An item may start and end inside a word, so its inner words decide: items with INNER of them and more are joined on
-    the first INNER, others on as many as they have, and the text confirms. Items of one or two words have no inner word;
-    they are compared with each distinct word or pair of words of the corpus, not with each document.
+    The items' texts are dealt into shards of a checked size. A task searches its documents for all texts of a shard at once, with one
+    automaton, and hands in a count a text: the documents are read once a shard and never shuffled. Null texts match nothing, an
+    empty item is in every text.
     """
-    words = F.split("text", " ")
-    item = items.select("item_id", F.col("text").alias("item"), words.alias("w"), F.least(F.greatest(F.size(words) - 2, F.lit(0)), F.lit(INNER)).alias("n"))
-    docs = docs.select("doc_id", "text")
-    split = docs.select("doc_id", words.alias("w"))  # once a document, not once a run
-
-    def runs(size: int) -> DataFrame:
-        at = F.sequence(F.lit(1), F.size("w") - size + 1)
-        return split.where(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, size), " ")))).alias("key"))
-
-    hits = None
-    for n in [r.n for r in item.select("n").distinct().collect()]:  # at most INNER + 1 numbers
-        some = item.where(F.col("n") == n).select("item_id", "item", F.size("w").alias("size"), F.array_join(F.slice("w", 2, n), " ").alias("key"))
-        if n:
-            inner = runs(n).join(some, "key")
-        else:
-            inner = None
-            for size in (1, 2):
-                spread, few = runs(size), some.where(F.col("size") == size).select("item_id", "item")
-                kinds = spread.select("key").distinct().join(few, F.col("key").contains(F.col("item"))).select("item_id", "item", "key")
-                part = spread.join(kinds, "key").select("item_id", "doc_id", "item")
-                inner = part if inner is None else inner.unionByName(part)
-        inner = inner.select("item_id", "doc_id", "item").distinct().join(docs, "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-        hits = inner if hits is None else hits.unionByName(inner)
-    hits = docs.select(F.lit(0).alias("item_id"), "doc_id").limit(0) if hits is None else hits
-    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"))
+    texts = items.where("text IS NOT NULL").select("text").distinct()
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    shards = -(-size // shard_bytes)
+    found = None
+    for k in range(shards):
+        some = sorted(r.text for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).collect())  # about shard_bytes
+        part = docs.where("text IS NOT NULL").select("text").mapInArrow(_searched(some), "text string, docs long").groupBy("text").agg(F.sum("docs").alias("docs"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return items.select("item_id", F.lit(0).cast("long").alias("docs")).limit(0)
+    return items.select("item_id", "text").join(found, "text").groupBy("item_id").agg(F.sum("docs").alias("docs"))
+
+
+def _searched(texts: list[str]):
+    """Counts, for the texts of a task's batches, how many contain each of some texts."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t in texts:
+            if t:
+                automaton.add_word(t, t)
+        if len(automaton):
+            automaton.make_automaton()
+        counts: Counter = Counter()
+        for batch in batches:
+            if "" in texts:
+                counts[""] += batch.num_rows
+            if len(automaton):
+                for lo in range(0, batch.num_rows, 100):
+                    for text in batch.column(0).slice(lo, 100).to_pylist():
+                        counts.update({t for _, t in automaton.iter(text)})
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["text", "docs"])
+
+    return run
