@@ -19,12 +19,16 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: A conditional random field, SimHash and aligned sketches have no SQL; tests compare run() with plain code.
+#: A conditional random field, SimHash and aligned sketches have no SQL; tests hold each stage against a brute force of its own and run() against the stages in turn.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed sequences. A stage's table is deleted once the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = _base.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            _base.forget(before)
+        before = docs
     return docs
