@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import uris
 from ctxloom.operators import dsl
+from ctxloom.sources import scratch
 
 HALF_LIFE_DAYS = 7.0
 
@@ -66,8 +67,7 @@ def find_hierarchical(nodes: DataFrame, limit: int, threshold: float = 0.0, alph
         kids = nodes.select("uri", "parent_uri", "is_dir", "score").join(frontier.select(F.col("uri").alias("parent_uri"), F.col("mixed").alias("parent_score")), "parent_uri")
         kids = kids.withColumn("mixed", propagated(F.col("score"), F.col("parent_score"), alpha)).where(F.col("mixed") > threshold)
         kids = kids.withColumn("rank", F.row_number().over(Window.partitionBy("parent_uri").orderBy(F.desc("mixed"), "uri"))).where(F.col("rank") <= per)
-        if nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            kids = kids.checkpoint()  # the next level starts from here
+        kids = scratch.written(kids, "level")  # the next level starts from here
         leaves = kids.where("not is_dir").select("uri", F.col("mixed").alias("score"), F.lit(hop).alias("hops"))
         found = leaves if found is None else found.unionByName(leaves)
         frontier = kids.where("is_dir").select("uri", "mixed")

@@ -14,6 +14,12 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("row")).select("row.*")
 
 
+def known_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, record): the fields that a schema knows and a row has, as JSON; unknown columns and null values are left out."""
+    known = [c for c in fields if c in df.columns]
+    return df.select(key, F.to_json(F.struct(*known), {"ignoreNullFields": "true"}).alias("record"))
+
+
 def fetch(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of the keys, with found = false for keys that have none."""
     return keys.join(df.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

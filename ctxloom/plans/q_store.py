@@ -172,3 +172,11 @@ def feed_filter(t):
     from ctxloom.sources.files import feed_entries
 
     return feed_entries(t.pages.select("page_id", "url"))
+
+
+@query("project_known", "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 <> 0 THEN 'level' END, CASE WHEN doc_id % 7 <> 0 THEN 'lang' END, 'source') AS fields, CASE WHEN doc_id % 7 <> 0 THEN lang END AS lang FROM ctx")
+def project_known(t):
+    """Records with the fields of a schema; some values are missing, one field isn't in the table and several columns are in no schema."""
+    c = t.ctx.withColumn("level", F.when(F.col("doc_id") % 5 != 0, F.col("level"))).withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang")))
+    r = S.known_fields(c, "doc_id", ["level", "lang", "source", "nothing"])
+    return r.select("doc_id", F.array_join(F.json_object_keys("record"), ",").alias("fields"), F.get_json_object("record", "$.lang").alias("lang"))
