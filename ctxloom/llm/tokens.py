@@ -8,6 +8,7 @@ ids are those of encoding the whole text (tests compare them, with version 0.23
 from __future__ import annotations
 
 import json
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,8 @@ class _TextCoder:
 
 def _alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """(kind of each unit, bytes of each kind): units are of one kind if all their bytes are equal."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
     inside = np.zeros(len(raw) + 1, np.int8)
     inside[starts] += 1
     inside[ends] -= 1
@@ -69,7 +72,10 @@ def _alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     kinds = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
-    return kinds.indices.to_numpy(zero_copy_only=False), kinds.dictionary.to_pylist()
+    names = kinds.dictionary
+    bounds = np.frombuffer(names.buffers()[1], np.int32)[: len(names) + 1].tolist()
+    text = names.buffers()[2].to_pybytes()
+    return kinds.indices.to_numpy(zero_copy_only=False), [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 class _WordCoder:
@@ -94,7 +100,7 @@ class _WordCoder:
     def clear(self):
         self.at: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.first = [0]
+        self.bounds = np.zeros(1 << 16, np.int64)  # of each slot's ids in flat
 
     def piece(self, data: bytes) -> list[int]:
         return [t.id for t in self.tok.model.tokenize(data.decode("latin-1").translate(self.letters))]
@@ -138,20 +144,21 @@ class _WordCoder:
         if len(self.at) + len(names) > WORDS_KEPT:
             self.clear()
         at = self.at
-        slots = []
-        for name, whole in zip(names, uncut.tolist()):
-            slot = at.get(name)
-            if slot is None:
-                ids = self.word(name.decode()) if whole else self.piece(name)
-                begin = self.first[-1]
-                if begin + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                self.flat[begin: begin + len(ids)] = ids
-                slot = at[name] = len(self.first) - 1
-                self.first.append(begin + len(ids))
-            slots.append(slot)
-        bounds = np.array(self.first, np.int64)
-        slots = np.array(slots, np.int64)[of] if len(of) else np.zeros(0, np.int64)
+        slots = np.fromiter(map(at.get, names, repeat(-1)), np.int64, len(names))
+        for k in np.flatnonzero(slots < 0).tolist():
+            name = names[k]
+            ids = self.word(name.decode()) if uncut[k] else self.piece(name)
+            slot = len(at)
+            begin = int(self.bounds[slot])
+            if begin + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            if slot + 1 >= len(self.bounds):
+                self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds), np.int64)])
+            self.flat[begin: begin + len(ids)] = ids
+            self.bounds[slot + 1] = begin + len(ids)
+            slots[k] = at[name] = slot
+        bounds = self.bounds
+        slots = slots[of]
         size = bounds[slots + 1] - bounds[slots]
         total = np.concatenate([[0], np.cumsum(size)])
         n = total[first[1:]] - total[first[:-1]]

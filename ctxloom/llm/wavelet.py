@@ -172,6 +172,10 @@ class Shard:
         return self.alphabet[s] if self.n else np.zeros(0, "<u4")
 
 
+#: Text bytes that a task encodes at once; more of them share more words.
+SLICE = 4 << 20
+
+
 def _put(path: str, name: str, data: bytes) -> None:
     """Write to the shared folder under another name, then move: a second attempt of a task replaces whole files only."""
     import uuid
@@ -215,7 +219,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             return out
 
         for batch in batches:
-            for piece in B.slices(batch):
+            for piece in B.slices(batch, limit=SLICE):
                 toks, n = coder(piece.column("text"), end_id)
                 col = piece.column("doc_id")
                 held.append(toks)
