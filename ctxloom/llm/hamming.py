@@ -9,7 +9,7 @@ found too and break by id. Until then its k-th distance so far bounds the candid
 passes on, so a hot bucket yields little. The first bound comes from k codes of each bucket.
 
 Rows with a null vector have no code and are not found; repeated ids are rows of their own; k beyond
-the table's rows gives all rows; extra columns are ignored.
+the table's rows gives all rows; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ floor(token_budget / limit) sequences; a batch number needs the count of all ear
 bucket, which is a prefix sum over per-partition counts, so no bucket meets in one task.
 
 Null or empty texts have no tokens: they are sequences of length 0 in the first bucket. Null ids come
-first; repeated rows are sequences of their own; an empty table gives no rows.
+first; repeated rows are sequences of their own; an empty table gives no rows. Ties: sequences of one id and chunk are ordered by
+length, and equal ones may change places. Texts of any length are counted whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every kept document's sequences with their places, each joined to its words once."""
+    """Pipeline stage: every kept document's sequences with their places; only ids and lengths move. Columns but doc_id and text are not read."""
     key = B.row_key(F.col("doc_id"), F.col("text"))
     seqs = docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), n_words(F.col("text")).alias("n"))
     placed = pack(sequences(seqs, F.col("n")))

@@ -8,7 +8,9 @@ logistic curve fitted on the training documents maps it to a score whose 0.7 mar
 
 Fitting uses a bounded sample of labelled documents (FIT_DOCS, half of each class where there are
 enough; chosen by a hash of the id); scoring reads every whole text once and shuffles nothing. A
-null or empty text is one empty line. Rows repeat and ids may be null: each row gets its score.
+null or empty text is one empty line. Rows repeat and ids may be null: each row gets its score. Texts of any length
+are scored whole. A score of exactly the cut counts as good. An empty table gives no rows; where labels of one class are missing,
+a model without weights scores by nothing but its constants. stage() passes columns of any name through.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ graph. Removed is each word covered by a window that also starts in a document w
 All joins are on hashes or ids with one row a key on one side, so hot passages split. Null texts have
 no words; null ids count as larger than any; rows of one id are told apart by a tag of their text
 (equal rows repeat their result and never remove each other's words); texts under `window` words stay.
+Texts of any length are handled whole; an empty table gives no rows; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ those probabilities, the expected severity (their sum) and toxic = P(grade >= 1)
 
 The fit reads a bounded sample (FIT_DOCS labelled documents that are not held out, half toxic where
 there are enough) and keeps at most MAX_FEATURES features; scoring reads every whole text and
-shuffles nothing. Null and empty texts have no features; each row gets its score.
+shuffles nothing. Null and empty texts have no features; each row gets its score. Texts of any length are read whole.
+Ties: of features with one ratio those of the smaller hash enter first; P(grade >= 1) of exactly 0.5 is toxic. An empty table gives
+no rows; without labels or clear features every text has the same score. Columns that are not asked for are not read.
 """
 
 from __future__ import annotations

@@ -50,3 +50,17 @@ def test_batches(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.sequences(df, packing.n_words(F.col("text")))).count() == 0
+
+
+def test_stage_with_odd_rows_and_clashing_columns(spark):
+    from ctxloom.llm import packing as P
+
+    rows = [(1, "a b c", "x", 5), (1, "a b c", "x", 5), (1, "other words of that id", "y", 6), (None, "no id", None, None), (2, None, "z", 7), (3, "", "z", 7), (4, "w " * 5000, "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string, length int")
+    got = P.stage(spark, docs, "").collect()
+    total = {}
+    for r in got:
+        total.setdefault(r.doc_id, []).append(r.length)
+    assert {k: sum(v) for k, v in total.items()} == {1: 3 + 3 + 5, None: 2, 2: 0, 3: 0, 4: 5000}
+    assert len({(r.bucket, r.batch, r.slot) for r in got}) == len(got) and all(r.length <= r.padded_len for r in got)
+    assert P.stage(spark, docs.limit(0), "").collect() == []

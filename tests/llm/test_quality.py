@@ -86,3 +86,14 @@ def test_stage_keeps_columns_of_any_name(spark, tmp_path):
     out = quality.stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and all(r.quality_good == 7 and r.quality_score == 0.5 for r in out.collect())
     assert quality.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_empty_tables_and_missing_classes(spark):
+    from ctxloom.llm import quality
+
+    docs = spark.createDataFrame([(1, "a line"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = quality.score(docs, model, ["doc_id"]).collect()
+    assert len(got) == 2 and all(0 <= r.quality_score <= 1 for r in got)
+    assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0)), ["doc_id"]).collect() == []

@@ -54,3 +54,13 @@ def test_nothing_to_learn_from(spark):
     docs, labels = corpus(spark, 8)
     assert {r.toxic for r in T.score(docs, T.fit(docs, labels.limit(0)), ["doc_id"]).collect()} == {0}
     assert T.score(docs.limit(0), T.Model(), ["doc_id"]).count() == 0
+
+
+def test_empty_tables_and_missing_labels(spark):
+    from ctxloom.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "a line"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()
+    assert len(got) == 2 and len({r.expected_severity for r in got}) == 1
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0)), ["doc_id"]).collect() == []
