@@ -54,6 +54,18 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labels once further edges (a, b) are added, and a table to forget with the old ones.
+
+    Only labels meet in it, so that edges which are known already are not gone through again.
+    """
+    lab = lambda c, df: df.join(labels.select(F.col("id").alias(c), F.col("label").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    merged = components(lab("b", lab("a", more)))
+    ids = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
+    to = merged.select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return B.keep(ids.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels", SHARE), merged
+
+
 def _labelled(ends: DataFrame, labels: DataFrame) -> DataFrame:
     """ends (id, lead) with the label of id (own) and whether the two are in different components (apart)."""
     own = labels.select("id", F.col("label").alias("own"))
@@ -78,9 +90,10 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     / all), takes ids and returns (feature, n, id): features with how many of the ids have them, in any number of
     partial counts, and one of those ids; members then have a column size, the number of their features. near is a
     condition that candidate pairs must meet, over tol and further columns of members, with p_ and q_ before their names.
+    members may have a column times: how many buckets with the same ids a row's bucket stands for.
     Intermediate tables are deleted; the caller deletes the result.
     """
-    more_columns = [c for c in members.columns if c not in ("bucket", "id", "ord", "tol", "size")]
+    more_columns = [c for c in members.columns if c not in ("bucket", "id", "ord", "tol", "size", "times")]
     made = []
 
     def keep(df: DataFrame, name: str, share: int = 1) -> DataFrame:
@@ -96,7 +109,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     if near is not None:
         heads = m.where("id = lead").select("bucket", *(F.col(c).alias(f"q_{c}") for c in ("tol", *more_columns)))
         star = star.withColumnsRenamed({c: f"p_{c}" for c in ("tol", *more_columns)}).join(heads, "bucket").where(near())
-    stars = star.groupBy("id", "lead").agg(F.count("*").alias("shared"))
+    stars = star.groupBy("id", "lead").agg((F.sum("times") if "times" in members.columns else F.count("*")).alias("shared"))
     pair = (F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
     tested = [keep(verify(stars.groupBy("id").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select(*pair).distinct()), "verified")]
     labels = components(tested[0].where("ok").select("a", "b"))
@@ -105,7 +118,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     left = left.select(*pair).distinct().join(tested[0].select("a", "b"), ["a", "b"], "left_anti")
     tested.append(keep(verify(left), "verified"))
     v = tested[0].unionByName(tested[1])
-    labels = components(v.where("ok").select("a", "b"))
+    labels, merged = _joined(labels, tested[1].where("ok").select("a", "b"))
+    made += [merged]
     # what is left: buckets of three and more, with each member's distance to the first one if it was measured
     v = v.select("a", "b", "dist")
     ends = keep(m.where("n > 2 and id <> lead").select("id", "lead").distinct(), "ends", SHARE)
@@ -162,12 +176,9 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         if more.isEmpty():
             continue
         fresh = False
-        # only labels meet: the new links' components are few
-        lab = lambda c, df: df.join(labels.select(F.col("id").alias(c), F.col("label").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
-        merged = components(lab("b", lab("a", more)))
-        made += [merged, labels]
-        ids = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
-        labels = B.keep(ids.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels", SHARE)
+        made.append(labels)
+        labels, merged = _joined(labels, more)
+        made.append(merged)
     for x in made:
         B.forget(x)
     return labels

@@ -46,8 +46,12 @@ BLOCKS, FEW, FEWER = 16, 15, 10
 MAX_BITS, LETTERS = 21, 4
 #: Lines with so many words of LETTERS letters and more draw their blocks from those alone.
 ENOUGH = 10
-#: Blocks are formed so many at a time, which bounds what a shuffle holds.
-AT_ONCE = 6
+#: Blocks are dealt into buckets in so many parts, which bounds what a shuffle holds.
+PARTS = 3
+#: Pairs that are compared together; texts of more letters are compared one pair at a time.
+PAIRS, LONG = 256, 4000
+#: Words left out on either side, few first.
+_AHEAD = sorted(((p, q) for p in range(5) for q in range(5) if p or q), key=lambda x: (max(x), sum(x)))
 _ODD = np.random.default_rng(10).integers(0, 1 << 63, BLOCKS, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
@@ -166,18 +170,108 @@ def distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def _banded(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of pairs, x the shorter texts, where they are at most `most`, else larger numbers.
+
+    All pairs advance together by antidiagonals of the table, over the diagonals that a distance of `most` can reach.
+    """
+    n, m = (np.fromiter(map(len, t), np.int64, len(t)) for t in (x, y))
+    half = (most - (m - n)) // 2
+    low, high = -int(half.max()), int((m - n + half).max())
+    high += (high - low) % 2
+    width, pairs = high - low + 1, len(x)
+    raw = np.frombuffer("".join((*x, *y)).encode("utf-32-le"), np.uint32)
+    letters = raw if int(raw.max(initial=0)) < 0xFFFE else np.unique(raw, return_inverse=True)[1]
+    if int(letters.max(initial=0)) >= 0xFFFE:
+        return np.array([distance(s, t, k) for s, t, k in zip(x, y, most.tolist())])
+    edge = width + 1
+
+    def table(part: np.ndarray, size: np.ndarray, pad: int) -> np.ndarray:
+        out = np.full((int(size.max()) + 2 * edge, pairs), pad, np.uint16)
+        at = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size)
+        out[edge + at, np.repeat(np.arange(pairs), size)] = part
+        return out
+
+    back = np.ascontiguousarray(table(letters[: int(n.sum())], n, 0xFFFE)[::-1])
+    on = table(letters[int(n.sum()):], m, 0xFFFF)
+    # diagonals of either parity, counted from the lowest; a cell outside the table keeps a large number
+    rows = (width + 1) // 2
+    even, odd = np.full((rows, pairs), 1 << 14, np.uint16), np.full((rows + 1, pairs), 1 << 14, np.uint16)
+    inner = odd[1:-1]
+    (inner if low % 2 else even)[-low // 2] = 0
+    other, least, ones = np.empty_like(even), np.empty_like(even), np.ones_like(even)  # an array of ones is faster than a number
+    last, column = n + m, m - n - low
+    out = np.where(last == 0, 0, 1 << 14)
+    ends = np.argsort(last, kind="stable")
+    ended = np.searchsorted(last[ends], np.arange(int(last.max()) + 2))
+    for s in range(1, int(last.max()) + 1):
+        p = (s - low) % 2
+        here, count = (inner, rows - 1) if p else (even, rows)
+        i, j = (s - low - p) // 2, (s + low + p) // 2
+        a, b = other[:count], least[:count]
+        x0 = len(back) - edge - i
+        np.bitwise_xor(back[x0: x0 + count], on[edge + j - 1: edge + j - 1 + count], out=a)
+        np.minimum(a, ones[:count], out=a)
+        np.add(a, here, out=a)
+        np.minimum(*((even[:-1], even[1:]) if p else (odd[:-1], odd[1:])), out=b)
+        np.add(b, ones[:count], out=b)
+        np.minimum(a, b, out=here)
+        if ended[s + 1] > ended[s]:
+            done = ends[ended[s]: ended[s + 1]]
+            out[done] = here[column[done] // 2, done]
+    return out
+
+
+def _words_apart(a: str, b: str, most: int) -> int:
+    """At least the Levenshtein distance of two texts, or more than `most`: what lies between the words that both have in the same order counts whole."""
+    v, w = a.split(" "), b.split(" ")
+    i, j, n, m, cost = 0, 0, len(v), len(w), 0
+    while i < n or j < m:
+        if i < n and j < m and v[i] == w[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _AHEAD:  # the nearest place where two words in turn, or the last ones, agree again
+            if i + p < n and j + q < m and v[i + p] == w[j + q] and v[i + p + 1: i + p + 2] == w[j + q + 1: j + q + 2]:
+                break
+        else:
+            p, q = n - i, m - j
+        cost += max(sum(map(len, v[i: i + p])) + p, sum(map(len, w[j: j + q])) + q)
+        if cost > most:
+            break
+        i, j = i + p, j + q
+    return cost
+
+
+def similar(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the Levenshtein distance of each pair of texts is at most `most`."""
+    n = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    long = n.max(axis=1)
+    ok, may = np.zeros(len(a), bool), long - n.min(axis=1) <= most
+    for i in np.flatnonzero(may & (long > LONG)):
+        ok[i] = distance(a[i], b[i], int(most[i])) <= most[i]
+    some = np.flatnonzero(may & (long <= LONG))
+    ok[some] = [_words_apart(a[i], b[i], most[i]) <= most[i] for i in some]
+    some = some[~ok[some]]
+    some = some[np.argsort(long[some], kind="stable")]
+    for at in range(0, len(some), PAIRS):
+        these = some[at: at + PAIRS]
+        x, y = zip(*(sorted((a[i], b[i]), key=len) for i in these))
+        ok[these] = _banded(x, y, most[these]) <= most[these]
+    return ok
+
+
 def line_table(col: pa.Array):
     """(text, line number, hash, words) of each line with a word."""
-    return _line_table(col)[:4]
+    return _lines(col)[:4]
 
 
-def _line_table(col: pa.Array, blocks: bool = False):
-    """line_table(), and if asked for the blocks of all lines one after the other, how many each line has, and SimHashes."""
+def _lines(col: pa.Array):
+    """line_table(), and the first word of each line, and hashes and lengths of all words."""
     raw, off = _lowered(col)
     n = len(raw)
     none = np.zeros(0, np.int64)
     if not n:
-        return none, none, none.astype(np.uint64), none, none.astype(np.uint64), none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none, none, none.astype(np.uint64), none
     breaks = np.flatnonzero(raw == 10)
     start = np.union1d(off[:-1][off[:-1] < n], breaks + 1)
     start = start[start < n]
@@ -189,9 +283,12 @@ def _line_table(col: pa.Array, blocks: bool = False):
     doc = np.searchsorted(off, start, side="right") - 1  # empty texts before it may share its offset; the last such text owns the line
     number = np.arange(len(start)) - np.searchsorted(start, off[doc])
     w0, size = w0[keep], size[keep]
-    found = doc[keep], number[keep], B.span_hashes(h, w0, w0 + size), size
-    if not blocks:
-        return *found, none.astype(np.uint64), none, none.astype(np.uint64)
+    return doc[keep], number[keep], B.span_hashes(h, w0, w0 + size), size, w0, h, we - ws
+
+
+def _blocks(size: np.ndarray, w0: np.ndarray, h: np.ndarray, length: np.ndarray):
+    """The blocks of lines (of so many words, from w0) one line after the other, how many each line has, and plain SimHashes."""
+    none = np.zeros(0, np.int64)
     owner, value = [none], [none.astype(np.uint64)]
 
     def put(lines: np.ndarray, x: np.ndarray) -> None:
@@ -204,16 +301,16 @@ def _line_table(col: pa.Array, blocks: bool = False):
             word = np.arange(int(size[these].sum())) + np.repeat(w0[these] - (np.cumsum(size[these]) - size[these]), size[these])
             line = np.repeat(np.arange(len(these)), size[these])
             # where there are enough longer words the others are hardly ever among the least
-            longer = (we - ws)[word] >= LETTERS
+            longer = length[word] >= LETTERS
             enough = np.bincount(line[longer], minlength=len(these)) >= ENOUGH
             word, line = word[longer | ~enough[line]], line[longer | ~enough[line]]
-            put(these, _sampled(h[word], (we - ws)[word], np.searchsorted(line, np.arange(len(these))), range(many), words))
+            put(these, _sampled(h[word], length[word], np.searchsorted(line, np.arange(len(these))), range(many), words))
     for words in range(MIN_WORDS, SHORT + 2):
         these = np.flatnonzero(size == words)
         if len(these):
             put(these, _left_out(h, w0[these], words, 2 if MIN_WORDS < words <= SHORT else 1))
     owner, value = np.concatenate(owner), np.concatenate(value)
-    return *found, value[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size)), _plain(h, we - ws, w0, size)
+    return value[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size)), _plain(h, length, w0, size)
 
 
 def _plain(h: np.ndarray, length: np.ndarray, w0: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -229,33 +326,49 @@ def _plain(h: np.ndarray, length: np.ndarray, w0: np.ndarray, size: np.ndarray)
     return out
 
 
+def alike_once(near: DataFrame) -> DataFrame:
+    """(bucket, id, times): one of all buckets with the same ids stands for them, and how many they are. near: distinct (bucket, id) of each of its parts.
+
+    Buckets are told apart by their number of ids, the least and largest of them and two checksums.
+    """
+    of = near.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("x"), F.sum(F.shiftright(F.xxhash64("id"), 32)).alias("y"))
+    some = of.groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")).select("bucket", "times")
+    return B.keep(near.join(some, "bucket"), "members")
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
 
     def kinds(part: pa.RecordBatch):
-        doc, number, h, _, value, n, sim = _line_table(part.column("text"), True)
-        at = pa.array(doc)
-        value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(B.signed(value)))
-        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(B.signed(h)), pa.array(B.signed(sim)), value], ["key", "doc_id", "line", "hash", "sim", "blocks"])
-
-    def places(part: pa.RecordBatch):
-        doc, number, h, _ = line_table(part.column("text"))
-        return pa.RecordBatch.from_arrays([part.column("key").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(B.signed(h))], ["key", "line", "hash"])
-
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key", "line")
-    lines = B.arrow_map(docs.select("key", "doc_id", "text"), kinds, "key long, doc_id long, line int, hash long, sim long, blocks array<long>")
-    kind = B.keep(lines.groupBy("hash").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("blocks").alias("blocks"), F.count("*").alias("n")), "kinds")
+        doc, number, h, size, w0, words, length = _lines(part.column("text"))
+        key = part.column("key").to_numpy()[doc]
+        d = part.column("doc_id").fill_null((1 << 63) - 1).to_numpy()[doc]
+        order = np.lexsort((number, key, d, h))
+        new = np.append(True, h[order][1:] != h[order][:-1])[: len(order)]
+        first, again = order[new], order[~new]
+        n = np.diff(np.append(np.flatnonzero(new), len(order)))
+        value, many, sim = _blocks(size[first], w0[first], words, length)
+
+        def lists(counts: np.ndarray, x: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(x))
+
+        return pa.RecordBatch.from_arrays([pa.array(B.signed(h)[first]), pa.array(d[first]), pa.array(key[first]), pa.array(number[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(B.signed(sim)), lists(many, B.signed(value)), lists(n - 1, key[again]), lists(n - 1, number[again].astype(np.int32))], ["hash", "d", "key", "line", "n", "sim", "blocks", "more_keys", "more_lines"])
+
+    # a row for each different line of a batch of texts: its first place, its other places, and its blocks
+    lines = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), kinds, "hash long, d long, key long, line int, n int, sim long, blocks array<long>, more_keys array<long>, more_lines array<int>"), "lines")
+    kind = B.keep(lines.groupBy("hash").agg(F.min(F.struct("d", "key", "line")).alias("first"), F.max("sim").alias("sim"), F.sum("n").alias("n")), "kinds")
     used = [kind]
 
-    # a bucket needs two different lines: count first, then fetch what is left
-    near, long = None, kind.where(F.size("blocks") > 0)
-    for at, many in ((1, AT_ONCE), (1 + AT_ONCE, AT_ONCE), (1 + 2 * AT_ONCE, 1 << 20)):
-        spread = long.select("hash", F.explode(F.slice("blocks", at, many)).alias("bucket"))
-        crowd = B.keep(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "crowded")
-        part = B.keep(spread.join(crowd, "bucket").select("bucket", F.col("hash").alias("id")), "candidates")
-        B.forget(crowd)
+    # a bucket needs two different lines: its least and largest are found first, then those of it are fetched from the same shuffle
+    near, long = None, lines.where(F.size("blocks") > 0)
+    for k in range(PARTS):  # by value: equal blocks of two lines need not be in the same place
+        spread = long.select(F.col("hash").alias("id"), F.explode("blocks").alias("bucket")).where(F.pmod("bucket", F.lit(PARTS)) == k).repartition("bucket")
+        crowd = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
+        part = B.keep(spread.join(crowd.hint("shuffle_hash"), "bucket").select("bucket", "id").distinct(), "candidates")
         used.append(part)
         near = part if near is None else near.unionByName(part)
+    near = alike_once(near)
+    used.append(near)
     held = kind.join(near.select(F.col("id").alias("hash")).distinct(), "hash", "left_semi").select("hash", "sim", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
     held = B.keep(held, "asked")
     per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash", "ord", "sim")).alias("asked"))
@@ -275,11 +388,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     def verify(pairs: DataFrame) -> DataFrame:
         def run(part: pa.RecordBatch):
-            ok = []
-            for x, y in zip(part.column("text").to_pylist(), part.column("other").to_pylist()):
-                far = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
-                ok.append(distance(x, y, far) <= far)
-            return pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.nulls(len(ok), pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "dist", "ok"])
+            x, y = part.column("text").to_pylist(), part.column("other").to_pylist()
+            far = np.array([int(max(len(s), len(t)) * (1 - similarity) + 1e-9) for s, t in zip(x, y)], np.int64)
+            return pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.nulls(len(x), pa.float64()), pa.array(similar(x, y, far))], ["a", "b", "dist", "ok"])
 
         p = pairs.join(said.select(F.col("id").alias("a"), F.col("said").alias("text")), "a").join(said.select(F.col("id").alias("b"), F.col("said").alias("other")), "b")
         return B.arrow_map(p, run, "a long, b long, dist double, ok boolean")
@@ -290,15 +401,16 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         alike = (F.col("p_sim") == 0) | (F.col("q_sim") == 0) | (F.bit_count(F.col("p_sim").bitwiseXOR(F.col("q_sim"))) <= MAX_BITS)
         return (F.abs(F.col("p_len") - F.col("q_len")) <= F.greatest("p_tol", "q_tol")) & alike
 
-    labels = link(members.select("bucket", "id", "ord", "tol", "len", "sim"), verify, near=fits)
+    labels = link(members.select("bucket", "id", "ord", "tol", "times", "len", "sim"), verify, near=fits)
     group = kind.select("hash", "first", "n").join(labels.select(F.col("id").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
     whole = group.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("label", "keep")
     # a row per kind of line that occurs twice or is in a group; lines of a hot kind split over tasks
     keep = B.keep(group.join(whole, "label").select("hash", F.col("keep.key").alias("first_key"), F.col("keep.line").alias("first_line")), "repeated")
     for x in (*used, labels):
         B.forget(x)
-    lines = B.arrow_map(docs.select("key", "text"), places, "key long, line int, hash long")
-    gone = B.keep(lines.join(keep, "hash").where("key <> first_key OR line <> first_line").select("key", "line").distinct(), "removed")
+    places = lines.join(keep, "hash").select("first_key", "first_line", F.explode(F.concat(F.array(F.struct("key", "line")), F.arrays_zip(F.col("more_keys").alias("key"), F.col("more_lines").alias("line")))).alias("at"))
+    gone = B.keep(places.select("first_key", "first_line", "at.key", "at.line").where("key <> first_key OR line <> first_line").select("key", "line").distinct(), "removed")
+    B.forget(lines)
     B.forget(keep)
     return gone
 
@@ -318,7 +430,7 @@ def kept_text(text, gone):
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))
-    n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
+    n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     counted = docs.select("doc_id", "key", n.cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
     return counted.join(remove_lines(docs), "key", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", none).alias("removed_lines"))

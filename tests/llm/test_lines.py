@@ -182,3 +182,28 @@ def test_equal_short_lines_go_and_different_ones_stay(spark):
 def test_words_that_a_polynomial_cannot_tell_apart(spark):
     one = "".join("zq"[bin(i).count("1") % 2] for i in range(2048))
     assert removed(spark, [(1, one), (2, one.translate(str.maketrans("qz", "zq"))), (3, one)]) == {(3, 0)}
+
+
+def test_equal_blocks_of_any_place_meet(spark):
+    # a dropped word and a letter: the block that both share is an early one of one line and a late one of the other
+    assert removed(spark, [(1, "dhk gbmljfbk eli ghbd ikjgdfc aealifke ejahd cfaghjfd"), (2, "dhk eli ghbd ikjgdfc aealifke ejahd cfaghjfdx")]) == {(2, 0)}
+
+
+def test_similar_by_one_pair_at_a_time():
+    rng = np.random.default_rng(7)
+    a, b = [], []
+    for _ in range(700):
+        s = "".join(rng.choice(list("ab é東𐍈"), int(rng.integers(0, 90))))
+        a.append(s)
+        b.append(s[:9] + "".join(rng.choice(list("ab 東"), int(rng.integers(0, 9)))) + s[12:] if rng.random() < 0.7 else "".join(rng.choice(list("ab é"), int(rng.integers(0, 90)))))
+    a += ["x y" * 1500, "q" * 5000, "", "one two three four"]
+    b += ["x y" * 1400 + "z", "q" * 4990 + "z", "", "one two six four"]
+    most = np.append(rng.integers(0, 40, 700), [301, 10, 0, 4])
+    want = [L.distance(s, t, k) <= k for s, t, k in zip(a, b, most.tolist())]
+    assert L.similar(a, b, most).tolist() == want and 100 < sum(want) < 600
+
+
+def test_one_bucket_stands_for_those_of_the_same_lines(spark):
+    rows = [(1, 5), (1, 6), (2, 5), (2, 6), (3, 5), (3, 6), (3, 7), (4, 5), (4, 7)]
+    got = sorted(map(tuple, L.alike_once(spark.createDataFrame(rows, "bucket long, id long")).collect()))
+    assert got == [(1, 5, 2), (1, 6, 2), (3, 5, 1), (3, 6, 1), (3, 7, 1), (4, 5, 1), (4, 7, 1)]
