@@ -160,3 +160,14 @@ def test_words_that_a_polynomial_cannot_tell_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in M.classes(df.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))).collect()}
     assert got[1] == got[3] and got[2] != got[1]
+
+
+def test_known_links_are_not_gone_through_again(spark, monkeypatch):
+    from ctxloom.llm import _links
+
+    seen, plain = [], _links.components
+    monkeypatch.setattr(_links, "components", lambda e: (seen.append(e.count()), plain(e))[1])
+    m = spark.createDataFrame([(1, i, i, 0.5) for i in range(10)], "bucket long, id long, ord long, tol double")
+    labels = _links.link(m, lambda pairs: pairs.withColumns({"dist": F.lit(0.0), "ok": F.lit(True)}))
+    assert {tuple(r) for r in labels.select("id", "label").collect()} == {(i, 0) for i in range(10)}
+    assert seen[0] == 9 and not any(seen[1:])
