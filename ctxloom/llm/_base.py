@@ -44,7 +44,7 @@ def keep(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     """
     spark = df.sparkSession
     if share > 1:
-        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+        df = df.coalesce(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))) // share)
     at = new_path(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")

@@ -29,6 +29,8 @@ from ctxloom.llm import _base as B
 GROUP = 16
 #: Links and labels are few beside the rows they come from: so many times fewer tasks write them.
 SHARE = 16
+#: Verified pairs are a few columns, made in Python, where a batch of pairs takes as many steps as its longest text: so many times fewer tasks write them.
+FEWER = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,6 +68,14 @@ def _joined(labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     return B.keep(ids.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels", SHARE), merged
 
 
+def _followed(up: DataFrame) -> DataFrame:
+    """up (id, label), a row an id, with the label's label in its place, and that one's: most of a component then has one label, in one job."""
+    to = up.select(F.col("id").alias("label"), F.col("label").alias("to"))
+    for _ in range(2):
+        up = up.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return up
+
+
 def _labelled(ends: DataFrame, labels: DataFrame) -> DataFrame:
     """ends (id, lead) with the label of id (own) and whether the two are in different components (apart)."""
     own = labels.select("id", F.col("label").alias("own"))
@@ -85,8 +95,8 @@ def _busy(x: DataFrame, state: DataFrame) -> DataFrame:
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: int = GROUP, features: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[], Column] | None = None) -> DataFrame:
     """(id, label) of each linked id of members (bucket, id, ord, tol): ids with one label are connected by verified pairs.
 
-    ord orders a bucket's members; tol is the largest distance at which the id may link. verify takes
-    distinct pairs (a, b) and returns (a, b, dist, ok); dist is null where it is not known exactly. features, if the distance is one of sets (1 - shared
+    ord orders a bucket's members, and is one for all rows of an id; tol is the largest distance at which the id may link. verify takes
+    distinct pairs (a, b), in either order, and returns (a, b, dist, ok); dist is null where it is not known exactly. features, if the distance is one of sets (1 - shared
     / all), takes ids and returns (feature, n, id): features with how many of the ids have them, in any number of
     partial counts, and one of those ids; members then have a column size, the number of their features. near is a
     condition that candidate pairs must meet, over tol and further columns of members, with p_ and q_ before their names.
@@ -109,17 +119,19 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
     if near is not None:
         heads = m.where("id = lead").select("bucket", *(F.col(c).alias(f"q_{c}") for c in ("tol", *more_columns)))
         star = star.withColumnsRenamed({c: f"p_{c}" for c in ("tol", *more_columns)}).join(heads, "bucket").where(near())
-    stars = star.groupBy("id", "lead").agg((F.sum("times") if "times" in members.columns else F.count("*")).alias("shared"))
-    pair = (F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-    tested = [keep(verify(stars.groupBy("id").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select(*pair).distinct()), "verified")]
-    labels = components(tested[0].where("ok").select("a", "b"))
-    made.append(labels)
-    left = _labelled(stars.select("id", "lead"), labels).where("apart")
-    left = left.select(*pair).distinct().join(tested[0].select("a", "b"), ["a", "b"], "left_anti")
-    tested.append(keep(verify(left), "verified"))
-    v = tested[0].unionByName(tested[1])
-    labels, merged = _joined(labels, tested[1].where("ok").select("a", "b"))
-    made += [merged]
+    # a row an id; its first ones are as many as its buckets at most
+    times = F.col("times") if "times" in members.columns else F.lit(1)
+    stars = star.select("id", "lead", times.alias("times")).repartition("id").groupBy("id", "lead").agg(F.sum("times").alias("shared"))
+    stars = keep(stars.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("shared", "lead"))).alias("leads")), "stars", SHARE)
+    # pairs are (id, lead): a first one comes before all others of its bucket, so no pair is met the other way round
+    tested = [keep(verify(stars.select(F.col("id").alias("a"), F.element_at("leads", -1)["lead"].alias("b"))), "verified", FEWER)]
+    near_by = keep(_followed(tested[0].where("ok").select(F.col("a").alias("id"), F.col("b").alias("label"))), "labels", SHARE)
+    left = stars.select("id", F.explode(F.slice("leads", 1, F.size("leads") - 1)).alias("x")).select("id", "x.lead")
+    left = _labelled(left, near_by).where("apart").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    tested.append(keep(verify(left), "verified", FEWER))
+    v = tested[0].unionByName(tested[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist", "ok")
+    labels = components(v.where("ok").select("a", "b"))
+    tested = [v]
     # what is left: buckets of three and more, with each member's distance to the first one if it was measured
     v = v.select("a", "b", "dist")
     ends = keep(m.where("n > 2 and id <> lead").select("id", "lead").distinct(), "ends", SHARE)
@@ -171,7 +183,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], group: in
         pairs = keep(pairs.join(known, ["a", "b"], "left_anti"), "pairs", SHARE)
         if pairs.isEmpty():
             continue
-        tested.append(keep(verify(pairs), "verified"))
+        tested.append(keep(verify(pairs), "verified", FEWER))
         more = tested[-1].where("ok").select("a", "b")
         if more.isEmpty():
             continue

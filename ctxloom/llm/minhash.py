@@ -90,30 +90,40 @@ def _align(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, width:
     """
     big = np.int64(1 << 32)
     p, w = len(a), 2 * width + 1
-    off = np.arange(w) - width
+    off = np.arange(w)[:, None] - width
     far = np.int64(1 << 60)
-    cost = np.where(off >= 0, off * big, far)[None, :].repeat(p, axis=0)
-    run = np.zeros((p, w), np.int32)
-    end = np.full(p, far)
+    cost = np.where(off >= 0, off * big, far).repeat(p, axis=1)
+    run = np.zeros((w, p), np.int64)
     last = np.clip(nb - na, -width, width) + width
-    end[na == 0] = cost[na == 0, last[na == 0]]
-    pad = np.full((p, width), -2, b.dtype)
-    rows = np.concatenate([pad, b, np.full((p, width + max(0, a.shape[1] - b.shape[1]) + 1), -2, b.dtype)], axis=1)
-    step = np.arange(w) * big
+    end = np.where(na == 0, cost[last, np.arange(p)], far)
+    left = np.ascontiguousarray(a.T)
+    rows = np.full((width + max(a.shape[1], b.shape[1]) + width + 1, p), -2, b.dtype)
+    rows[width: width + b.shape[1]] = b.T
+    step = np.arange(w)[:, None] * big
+    diag, more, same, long = np.empty_like(cost), np.empty_like(cost), np.empty((w, p), bool), np.empty((w, p), bool)
+    ends = np.argsort(na, kind="stable")
+    ended = np.searchsorted(na[ends], np.arange(a.shape[1] + 2))
     for i in range(a.shape[1]):
-        # column j of the band at row i + 1 stands for b position i + 1 + off[j]
-        eq = rows[:, i: i + w] == a[:, i: i + 1]
-        diag = np.where(eq, cost - (run >= SHINGLE - 1), cost + big)
-        gone = np.full((p, w), far)
-        gone[:, :-1] = cost[:, 1:] + big
-        best = np.minimum(diag, gone)
-        new = np.minimum.accumulate(best - step, axis=1) + step
-        run = np.where(eq & (new == diag), run + 1, 0).astype(np.int32)
-        new[:, off + i + 1 < 0] = far
-        cost = new
-        done = na == i + 1
-        if done.any():
-            end[done] = cost[done, last[done]]
+        # row j of the band at step i + 1 stands for b position i + 1 + off[j]
+        eq = rows[i: i + w] == left[i]
+        np.add(cost, big, out=more)
+        np.greater_equal(run, SHINGLE - 1, out=long)
+        np.subtract(cost, long, out=diag)
+        np.copyto(diag, more, where=~eq)
+        np.minimum(diag[:-1], more[1:], out=cost[:-1])
+        cost[-1] = diag[-1]
+        cost -= step
+        np.minimum.accumulate(cost, axis=0, out=cost)
+        cost += step
+        np.equal(cost, diag, out=same)
+        same &= eq
+        run += 1
+        run *= same
+        if i + 1 < width:
+            cost[: width - i - 1] = far
+        if ended[i + 2] > ended[i + 1]:
+            done = ends[ended[i + 1]: ended[i + 2]]
+            end[done] = cost[last[done], done]
     edits = -(-end // big)
     return edits, (edits * big - end)
 
@@ -122,21 +132,22 @@ def _verify(texts_a: list, texts_b: list, similarity: float):
     """(distance by shared shingles, whether verified) of each pair."""
     n = len(texts_a)
     dist, ok = np.ones(n), np.zeros(n, bool)
-    words, gs = [], []
-    memo: dict = {}
-
-    def of(t):
-        if t not in memo:
-            raw, off = B.text_bytes(pa.array([t]))
-            s, e, first = B.word_spans(raw, off)
-            h = B.word_hashes(raw, s, e)
-            memo[t] = (B.signed(h), np.sort(shingles(h, first)[0]))
-        return memo[t]
+    code: dict = {}
+    at = [code.setdefault(t, len(code)) for t in (*texts_a, *texts_b)]
+    held = []  # words and sorted shingles of each different text
+    for part in B.slices(pa.record_batch([pa.array(list(code), pa.string())], ["text"])):
+        raw, off = B.text_bytes(part.column("text"))
+        s, e, first = B.word_spans(raw, off)
+        h = B.word_hashes(raw, s, e)
+        g, begin = shingles(h, first)
+        h = B.signed(h)
+        held += [(h[first[i]: first[i + 1]], np.sort(g[begin[i]: begin[i + 1]])) for i in range(part.num_rows)]
 
-    need = []
+    words, gs, need = [], [], []
     for i in range(n):
-        (ha, ga), (hb, gb) = of(texts_a[i]), of(texts_b[i])
-        m = len(np.intersect1d(ga, gb, assume_unique=True))
+        (ha, ga), (hb, gb) = held[at[i]], held[at[n + i]]
+        few, many = (ga, gb) if len(ga) < len(gb) else (gb, ga)
+        m = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few) if len(few) else 0
         dist[i] = 1 - m / max(1, len(ga) + len(gb) - m)
         words.append((ha, hb))
         gs.append(len(ga) + len(gb))
@@ -201,11 +212,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     crowd = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     found = B.keep(spread.join(B.moved(crowd), "bucket"), "buckets")
     asked = text.select(F.col("text_id").alias("id"), F.col("first.d").alias("ord"), size.alias("size"), F.col("first.key").alias("key")).join(B.moved(found.select("id").distinct()), "id", "left_semi")
-    asked = B.keep(asked, "asked")
+    held = docs.select("key", "text").join(B.moved(asked), "key").groupBy("id").agg(*(F.first(c).alias(c) for c in ("ord", "size", "text")))
+    held = B.keep(held, "candidate-texts")
     B.forget(text)
-    member = B.keep(found.join(asked, "id").withColumn("tol", F.lit(1 - similarity)), "candidates")
+    member = B.keep(found.join(held.select("id", "ord", "size"), "id").withColumn("tol", F.lit(1 - similarity)), "candidates")
     B.forget(found)
-    held = B.keep(docs.select("key", "text").join(B.moved(asked.select("id", "key")), "key").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         p = B.moved(pairs).join(held.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
@@ -228,8 +239,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
         return B.arrow_map(held.join(ids, "id").select("id", "text").repartition("id"), run, "feature long, n long, id long")
 
-    labels = link(member.drop("key"), verify, features=features)
-    for x in (member, asked, held):
+    labels = link(member, verify, features=features)
+    for x in (member, held):
         B.forget(x)
     return rows.select("key", "doc_id", "text_id"), labels.select(F.col("id").alias("text_id"), "label")
 

@@ -171,3 +171,30 @@ def test_known_links_are_not_gone_through_again(spark, monkeypatch):
     labels = _links.link(m, lambda pairs: pairs.withColumns({"dist": F.lit(0.0), "ok": F.lit(True)}))
     assert {tuple(r) for r in labels.select("id", "label").collect()} == {(i, 0) for i in range(10)}
     assert seen[0] == 9 and not any(seen[1:])
+
+
+def test_links_to_first_members_are_joined_once(spark, monkeypatch):
+    from ctxloom.llm import _links
+
+    seen, plain = [], _links.components
+    monkeypatch.setattr(_links, "components", lambda e: (seen.append(e.count()), plain(e))[1])
+    # 20 meets 10 in one bucket and 0 in the other: the second comparison joins what the first one found
+    m = spark.createDataFrame([(1, i, i, 0.5) for i in range(10)] + [(b, i, i, 0.5) for b in (2, 3) for i in range(10, 21)] + [(4, 0, 0, 0.5), (4, 20, 20, 0.5)], "bucket long, id long, ord long, tol double")
+    labels = _links.link(m, lambda pairs: pairs.withColumns({"dist": F.lit(0.0), "ok": F.lit(True)}))
+    assert {tuple(r) for r in labels.select("id", "label").collect()} == {(i, 0) for i in range(21)}
+    assert seen == [9 + 10 + 1]
+
+
+def test_alignment_of_pairs_of_any_lengths():
+    rng = np.random.default_rng(4)
+    a = [rng.integers(0, 5, n) for n in (0, 0, 1, 3, 40, 40, 39, 7)]
+    b = [rng.integers(0, 5, n) for n in (0, 4, 1, 0, 36, 44, 39, 9)]
+    na, nb = (np.array([len(x) for x in y]) for y in (a, b))
+    x, y = np.full((8, na.max()), -1), np.full((8, nb.max()), -3)
+    for i in range(8):
+        x[i, : na[i]], y[i, : nb[i]] = a[i], b[i]
+    edits, m = M._align(x, y, na, nb, 60)
+    assert edits.tolist() == [plain_alignment(s.tolist(), t.tolist()) for s, t in zip(a, b)]
+    for i in range(8):  # each pair alone gives the same
+        e, k = M._align(x[i: i + 1, : na[i]], y[i: i + 1, : nb[i]], na[i: i + 1], nb[i: i + 1], 60)
+        assert (e[0], k[0]) == (edits[i], m[i])
