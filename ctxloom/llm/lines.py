@@ -48,6 +48,8 @@ MAX_BITS, LETTERS = 21, 4
 ENOUGH = 10
 #: Blocks are dealt into buckets in so many parts, which bounds what a shuffle holds.
 PARTS = 3
+#: Words whose blocks are drawn together.
+WORDS = 16_000
 #: Pairs that are compared together; texts of more letters are compared one pair at a time.
 PAIRS, LONG = 256, 4000
 #: Words left out on either side, few first.
@@ -304,7 +306,13 @@ def _blocks(size: np.ndarray, w0: np.ndarray, h: np.ndarray, length: np.ndarray)
             longer = length[word] >= LETTERS
             enough = np.bincount(line[longer], minlength=len(these)) >= ENOUGH
             word, line = word[longer | ~enough[line]], line[longer | ~enough[line]]
-            put(these, _sampled(h[word], length[word], np.searchsorted(line, np.arange(len(these))), range(many), words))
+            start = np.searchsorted(line, np.arange(len(these) + 1))
+            at = 0
+            while at < len(these):  # some lines at a time, so that their words stay in the processor's cache
+                end = max(at + 1, int(np.searchsorted(start, start[at] + WORDS, side="right")) - 1)
+                some = word[start[at]: start[end]]
+                put(these[at:end], _sampled(h[some], length[some], start[at:end] - start[at], range(many), words))
+                at = end
     for words in range(MIN_WORDS, SHORT + 2):
         these = np.flatnonzero(size == words)
         if len(these):

@@ -207,3 +207,13 @@ def test_one_bucket_stands_for_those_of_the_same_lines(spark):
     rows = [(1, 5), (1, 6), (2, 5), (2, 6), (3, 5), (3, 6), (3, 7), (4, 5), (4, 7)]
     got = sorted(map(tuple, L.alike_once(spark.createDataFrame(rows, "bucket long, id long")).collect()))
     assert got == [(1, 5, 2), (1, 6, 2), (3, 5, 1), (3, 6, 1), (3, 7, 1), (4, 5, 1), (4, 7, 1)]
+
+
+def test_blocks_do_not_depend_on_how_many_words_are_drawn_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    t = pa.array(["\n".join(" ".join(f"w{int(x)}ord" for x in rng.integers(0, 900, int(rng.integers(5, 60)))) for _ in range(9)) for _ in range(20)])
+    _, _, _, size, w0, words, length = L._lines(t)
+    want = L._blocks(size, w0, words, length)
+    for n in (1, 100):
+        monkeypatch.setattr(L, "WORDS", n)
+        assert all((x == y).all() for x, y in zip(want, L._blocks(size, w0, words, length)))
