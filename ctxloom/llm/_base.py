@@ -231,8 +231,19 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return out
 
 
+#: Bytes whose words are hashed together.
+HASHED = 1 << 15
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE[raw], starts, ends)
+    """span_hashes() of words in order, some of them at a time, so that their bytes stay in the processor's cache."""
+    out, at = np.empty(len(starts), U64), 0
+    while at < len(starts):
+        lo = int(starts[at])
+        end = max(at + 1, int(np.searchsorted(ends, lo + HASHED, side="right")))
+        out[at:end] = span_hashes(_BYTE[raw[lo: ends[end - 1]]], starts[at:end] - lo, ends[at:end] - lo)
+        at = end
+    return out
 
 
 def signed(h: np.ndarray) -> np.ndarray:

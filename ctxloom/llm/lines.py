@@ -46,10 +46,12 @@ BLOCKS, FEW, FEWER = 16, 15, 10
 MAX_BITS, LETTERS = 21, 4
 #: Lines with so many words of LETTERS letters and more draw their blocks from those alone.
 ENOUGH = 10
-#: Blocks are dealt into buckets in so many parts, which bounds what a shuffle holds.
-PARTS = 3
+#: Blocks are dealt by value, in so many times more parts than a shuffle has partitions; so many are packed at once.
+FINER, PACKED = 2, 1 << 20
+#: Blocks that a task holds before lines of crowded ones are passed on.
+HELD = 1 << 22
 #: Words whose blocks are drawn together.
-WORDS = 16_000
+WORDS = 32_000
 #: Pairs that are compared together; texts of more letters are compared one pair at a time.
 PAIRS, LONG = 256, 4000
 #: Words left out on either side, few first.
@@ -96,11 +98,38 @@ def _votes(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def _columns(start: np.ndarray, n: int):
+    """Stretches (from start to the next, the last to n) of about one size together: (stretches, places of their items, whether there is one); a column is a stretch.
+
+    They hold about WORDS items, so that what is computed of them stays in the processor's cache.
+    """
+    size = np.diff(np.append(start, n))
+    order, at = np.argsort(size, kind="stable"), 0
+    sizes = size[order]
+    while at < len(order):
+        end = at + max(1, WORDS // max(1, int(sizes[at])))
+        end = max(at + 1, min(end, int(np.searchsorted(sizes, sizes[at] * 9 // 8, side="right"))))
+        some = order[at:end]
+        row = np.arange(int(sizes[min(end, len(order)) - 1]))[:, None]
+        there = row < size[some]
+        yield some, np.where(there, start[some] + row, 0), there
+        at = end
+
+
 def simhash(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each stretch of feature hashes."""
-    size = np.diff(np.append(start, len(h)))
-    bits = 2 * _votes(h, start) > size[:, None]
-    return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+    out = np.empty(len(start), np.uint64)
+    for some, at, there in _columns(start, len(h)):
+        x = h[at]
+        if len(x) > 255:  # counters hold 255
+            size = there.sum(axis=0)
+            votes = _votes(x.T[there.T], np.cumsum(size) - size)
+        else:
+            x[~there] = 0
+            votes, size = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8).reshape(-1, 64), there.sum(axis=0)
+        bits = votes > (size // 2)[:, None].astype(votes.dtype)
+        out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def _left_out(h: np.ndarray, w0: np.ndarray, n: int, most: int) -> np.ndarray:
@@ -113,23 +142,29 @@ def _left_out(h: np.ndarray, w0: np.ndarray, n: int, most: int) -> np.ndarray:
 
 def _sampled(h: np.ndarray, length: np.ndarray, start: np.ndarray, blocks: range, words: int) -> np.ndarray:
     """lines x blocks: the majority vote of the three or four least words of each line (its words from start to the next), by each block's order."""
-    size = np.diff(np.append(start, len(h)))
-    inverse = 1.0 / length
     out = np.empty((len(start), len(blocks)), np.uint64)
-    for column, k in enumerate(blocks):
-        x = h * _ODD[k]
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        rank = ((x >> np.uint64(12)) + np.uint64(1)).astype(np.float64) * inverse
-        vote = []
-        for n in range(1, words + 1):
-            least = np.minimum.reduceat(rank, start)
-            f = B.mix(least.view(np.uint64).copy())
-            vote.append(np.where(np.isinf(least), vote[-1], f) if vote else f)  # lines of fewer different words repeat one
-            if n < words:
-                rank[rank == np.repeat(least, size)] = np.inf
-        a, b, c, *d = vote
-        out[:, column] = a & (b | c | d[0]) | b & c & d[0] if d else a & b | b & c | a & c
+    for some, at, there in _columns(start, len(h)):
+        words_of, inverse = h[at], np.where(there, float(1 << 52) / length[at], np.inf)
+        same, least = np.empty(at.shape, bool), np.empty((words, len(some)))
+        for column, k in enumerate(blocks):
+            x = words_of * _ODD[k]
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x >>= np.uint64(12)
+            x |= np.uint64(0x3FF << 52)  # a number from 1 to 2
+            rank = x.view(np.float64)
+            rank -= 1 - 2.0**-52
+            rank *= inverse
+            for n in range(words):
+                rank.min(axis=0, out=least[n])
+                if n < words - 1:
+                    np.equal(rank, least[n], out=same)
+                    np.copyto(rank, np.inf, where=same)
+            vote = B.mix(least.view(np.uint64))
+            for n in range(1, words):  # lines of fewer different words repeat one
+                np.copyto(vote[n], vote[n - 1], where=np.isinf(least[n]))
+            a, b, c, *d = vote
+            out[some, column] = a & (b | c | d[0]) | b & c & d[0] if d else a & b | b & c | a & c
     return out
 
 
@@ -306,13 +341,7 @@ def _blocks(size: np.ndarray, w0: np.ndarray, h: np.ndarray, length: np.ndarray)
             longer = length[word] >= LETTERS
             enough = np.bincount(line[longer], minlength=len(these)) >= ENOUGH
             word, line = word[longer | ~enough[line]], line[longer | ~enough[line]]
-            start = np.searchsorted(line, np.arange(len(these) + 1))
-            at = 0
-            while at < len(these):  # some lines at a time, so that their words stay in the processor's cache
-                end = max(at + 1, int(np.searchsorted(start, start[at] + WORDS, side="right")) - 1)
-                some = word[start[at]: start[end]]
-                put(these[at:end], _sampled(h[some], length[some], start[at:end] - start[at], range(many), words))
-                at = end
+            put(these, _sampled(h[word], length[word], np.searchsorted(line, np.arange(len(these))), range(many), words))
     for words in range(MIN_WORDS, SHORT + 2):
         these = np.flatnonzero(size == words)
         if len(these):
@@ -335,18 +364,76 @@ def _plain(h: np.ndarray, length: np.ndarray, w0: np.ndarray, size: np.ndarray)
 
 
 def alike_once(near: DataFrame) -> DataFrame:
-    """(bucket, id, times): one of all buckets with the same ids stands for them, and how many they are. near: distinct (bucket, id) of each of its parts.
+    """(bucket, id, times): one of all buckets with the same ids stands for them, and how many they are. near: distinct (bucket, id).
 
-    Buckets are told apart by their number of ids, the least and largest of them and two checksums.
+    For buckets that meet() did not name by their ids. Buckets are told apart by their number of ids, the least and largest of them and two checksums.
     """
     of = near.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("x"), F.sum(F.shiftright(F.xxhash64("id"), 32)).alias("y"))
     some = of.groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")).select("bucket", "times")
     return B.keep(near.join(some, "bucket"), "members")
 
 
+def _dealt(ids: np.ndarray, blocks: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(part, ids, blocks) of blocks dealt by their values: a row a part, with the numbers as bytes."""
+    part = ((blocks * _ODD[0] >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    some = np.flatnonzero(np.diff(ends, prepend=0))
+    offsets = pa.py_buffer(np.append(0, 8 * ends[some]).astype(np.int32))
+    return pa.array(some.astype(np.int32)), *(pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(x[order])]) for x in (ids, blocks))
+
+
+def meet(batches, held: int = HELD):
+    """(bucket, id) of the blocks that two different lines have, from batches with _dealt()'s ids and blocks; all of a block come to one task.
+
+    Buckets of the same ids have one name, made from the ids; should two names agree by chance, the ids of both are one bucket. Where more than
+    `held` blocks come, lines of crowded ones are passed on, under the block itself, and one line of each block stays to meet those to come.
+    Rows are distinct otherwise.
+    """
+    none = np.zeros(0, np.int64)
+    old, new, size = (none.view(np.uint64), none, none.astype(bool)), [], 0
+
+    def settle(last: bool):
+        block, line = (np.concatenate([old[k], *(x[k] for x in new)]) for k in range(2))
+        told = np.append(old[2], np.zeros(len(block) - len(old[2]), bool))
+        order = np.argsort(block)
+        same = np.diff(block[order], prepend=0, append=0) == 0  # one place more than there are blocks
+        same[[0, -1]] = False
+        often = same[1:] | same[:-1]
+        few, many = order[~often], order[often]
+        many = many[np.lexsort((~told[many], line[many], block[many]))]
+        many = many[np.append(True, (np.diff(block[many]) != 0) | (np.diff(line[many]) != 0))[: len(many)]]
+        b, i, t = block[many], line[many], told[many]
+        start = np.flatnonzero(np.append(True, np.diff(b) != 0)[: len(b)])
+        n = np.diff(np.append(start, len(b)))
+        if last and len(start):
+            own = B.mix(np.add.reduceat(B.mix(i.view(np.uint64)), start) + n.astype(np.uint64))
+            b = np.repeat(np.where(np.logical_or.reduceat(t, start), b[start], own), n)
+        out = np.repeat(n > 1, n) & ~t
+        t[start] |= n > 1
+        kept = tuple(np.concatenate([x[few], y[start]]) for x, y in ((block, b), (line, i), (told, t)))
+        return kept, pa.RecordBatch.from_arrays([pa.array(B.signed(b[out])), pa.array(i[out])], ["bucket", "id"])
+
+    for batch in batches:
+        for ids, blocks in zip(batch.column("ids"), batch.column("blocks")):
+            new.append((np.frombuffer(blocks.as_buffer(), np.uint64), np.frombuffer(ids.as_buffer(), np.int64)))
+            size += len(new[-1][0])
+            if size > max(held, len(old[0])):
+                old, out = settle(False)
+                new, size = [], 0
+                yield out
+    if new or len(old[0]):
+        yield settle(True)[1]
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
 
+    spark = docs.sparkSession
+    parts = min(FINER * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    what = "hash long, d long, key long, line int, n int, sim long, more_keys array<long>, more_lines array<int>"
+    names = [x.split()[0] for x in (what + ", part int, ids binary, blocks binary").split(", ")]
+
     def kinds(part: pa.RecordBatch):
         doc, number, h, size, w0, words, length = _lines(part.column("text"))
         key = part.column("key").to_numpy()[doc]
@@ -357,40 +444,58 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         n = np.diff(np.append(np.flatnonzero(new), len(order)))
         value, many, sim = _blocks(size[first], w0[first], words, length)
 
-        def lists(counts: np.ndarray, x: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(x))
-
-        return pa.RecordBatch.from_arrays([pa.array(B.signed(h)[first]), pa.array(d[first]), pa.array(key[first]), pa.array(number[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(B.signed(sim)), lists(many, B.signed(value)), lists(n - 1, key[again]), lists(n - 1, number[again].astype(np.int32))], ["hash", "d", "key", "line", "n", "sim", "blocks", "more_keys", "more_lines"])
-
-    # a row for each different line of a batch of texts: its first place, its other places, and its blocks
-    lines = B.keep(B.arrow_map(docs.select("key", "doc_id", "text"), kinds, "hash long, d long, key long, line int, n int, sim long, blocks array<long>, more_keys array<long>, more_lines array<int>"), "lines")
+        def lists(x: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - 1)).astype(np.int32)), pa.array(x))
+
+        rows = [pa.array(B.signed(h)[first]), pa.array(d[first]), pa.array(key[first]), pa.array(number[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(B.signed(sim)), lists(key[again]), lists(number[again].astype(np.int32))]
+        return rows, np.repeat(rows[0].to_numpy(), many), value
+
+    def run(batches):
+        held = []
+
+        def dealt():
+            cols = _dealt(*map(np.concatenate, zip(*held)), parts)
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(cols[0]), ty) for ty in kind_types), *cols], names)
+
+        for batch in batches:
+            for part in B.slices(batch):
+                rows, ids, value = kinds(part)
+                kind_types = [x.type for x in rows]
+                if len(rows[0]):
+                    yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), ty) for ty in (pa.int32(), pa.binary(), pa.binary()))], names)
+                held.append((ids, value))
+                if sum(len(x[0]) for x in held) >= PACKED:
+                    yield dealt()
+        if held:
+            yield dealt()
+
+    # a row for each different line of a batch of texts: its first place and its other places; and rows of packed blocks with the lines that have them
+    both = B.keep(docs.select("key", "doc_id", "text").mapInArrow(run, what + ", part int, ids binary, blocks binary"), "lines")
+    lines = both.where("part is null").select(*names[:8])
     kind = B.keep(lines.groupBy("hash").agg(F.min(F.struct("d", "key", "line")).alias("first"), F.max("sim").alias("sim"), F.sum("n").alias("n")), "kinds")
     used = [kind]
 
-    # a bucket needs two different lines: its least and largest are found first, then those of it are fetched from the same shuffle
-    near, long = None, lines.where(F.size("blocks") > 0)
-    for k in range(PARTS):  # by value: equal blocks of two lines need not be in the same place
-        spread = long.select(F.col("hash").alias("id"), F.explode("blocks").alias("bucket")).where(F.pmod("bucket", F.lit(PARTS)) == k).repartition("bucket")
-        crowd = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-        part = B.keep(spread.join(crowd.hint("shuffle_hash"), "bucket").select("bucket", "id").distinct(), "candidates")
-        used.append(part)
-        near = part if near is None else near.unionByName(part)
-    near = alike_once(near)
+    # a bucket needs two different lines
+    met = both.where("part is not null").select("part", "ids", "blocks").repartition("part").mapInArrow(lambda batches: meet(batches), "bucket long, id long")
+    near = B.keep(met.groupBy("bucket", "id").agg(F.count("*").alias("times")), "members")
     used.append(near)
     held = kind.join(near.select(F.col("id").alias("hash")).distinct(), "hash", "left_semi").select("hash", "sim", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
     held = B.keep(held, "asked")
     per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash", "ord", "sim")).alias("asked"))
 
     def fetch(part: pa.RecordBatch):
-        out = {}
-        raw, off = _lowered(part.column("text"))
-        for at, end, asked in zip(off, off[1:], part.column("asked").to_pylist()):
-            rows = raw[at:end].tobytes().split(b"\n")
+        found = {}
+        for text, asked in zip(part.column("text"), part.column("asked").to_pylist()):
+            rows = text.as_buffer().to_pybytes().split(b"\n")
             for x in asked:
-                out[x["hash"]] = b" ".join(rows[x["line"]].split()).decode(), x["ord"], x["sim"]
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array([x[k] for x in out.values()], ty) for k, ty in enumerate((pa.string(), pa.int64(), pa.int64())))], ["id", "said", "ord", "sim"])
+                found[x["hash"]] = rows[x["line"]], x["ord"], x["sim"]
+        raw, off = _lowered(pa.array([x[0] for x in found.values()], pa.binary()).cast(pa.string()))  # of those lines alone
+        raw = raw.tobytes()
+        texts = [b" ".join(raw[a:b].split()) for a, b in zip(off.tolist(), off[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in (1, 2))], ["id", "said", "ord", "sim"])
 
-    said = B.arrow_map(docs.select("key", "text").join(per_doc, "key"), fetch, "id long, said string, ord long, sim long")
+    said = B.arrow_map(docs.select("key", "text").join(per_doc.hint("shuffle_hash"), "key"), fetch, "id long, said string, ord long, sim long")
     said = B.keep(said.dropDuplicates(["id"]), "candidate-lines")  # equal rows of docs give a line each
     used += [held, said]
 
@@ -418,7 +523,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         B.forget(x)
     places = lines.join(keep, "hash").select("first_key", "first_line", F.explode(F.concat(F.array(F.struct("key", "line")), F.arrays_zip(F.col("more_keys").alias("key"), F.col("more_lines").alias("line")))).alias("at"))
     gone = B.keep(places.select("first_key", "first_line", "at.key", "at.line").where("key <> first_key OR line <> first_line").select("key", "line").distinct(), "removed")
-    B.forget(lines)
+    B.forget(both)
     B.forget(keep)
     return gone
 
@@ -438,7 +543,7 @@ def kept_text(text, gone):
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))
-    n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    n = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     counted = docs.select("doc_id", "key", n.cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
     return counted.join(remove_lines(docs), "key", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", none).alias("removed_lines"))

@@ -217,3 +217,32 @@ def test_blocks_do_not_depend_on_how_many_words_are_drawn_together(monkeypatch):
     for n in (1, 100):
         monkeypatch.setattr(L, "WORDS", n)
         assert all((x == y).all() for x, y in zip(want, L._blocks(size, w0, words, length)))
+
+
+def test_blocks_meet_whatever_a_task_holds():
+    rng = np.random.default_rng(1)
+    for many in (4, 40, 400):
+        ids, blocks = rng.integers(-50, 50, 400), rng.integers(0, many, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        want = {}
+        for b, i in zip(blocks.tolist(), ids.tolist()):
+            want.setdefault(b, set()).add(i)
+        batches = [pa.RecordBatch.from_arrays(list(L._dealt(ids[a: a + 37], blocks[a: a + 37], 3)), ["part", "ids", "blocks"]) for a in range(0, 400, 37)]
+        assert all(len({k for b in batches for k, x in zip(b["part"].to_pylist(), b["blocks"].to_pylist()) if int(v).to_bytes(8, "little") in {x[j: j + 8] for j in range(0, len(x), 8)}}) == 1 for v in want)
+        for held in (30, 100, L.HELD):  # few enough that crowded blocks are passed on in parts, or all at once
+            got = {}
+            for out in L.meet(iter(batches), held):
+                for b, i in zip(out["bucket"].to_pylist(), out["id"].to_pylist()):
+                    got.setdefault(b, set()).add(i)
+            assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
+    assert not list(L.meet(iter([])))
+
+
+def test_hashes_do_not_depend_on_how_much_is_hashed_together(monkeypatch):
+    text = pa.array(["é one  two\n" * 30 + "z" * 900 + " x " + "y" * 300 + " end"])
+    raw, off = B.text_bytes(text)
+    starts, ends, _ = B.word_spans(raw, off)
+    want = B.span_hashes(B._BYTE[raw], starts, ends)
+    for n in (1, 64, 1 << 15):
+        monkeypatch.setattr(B, "HASHED", n)
+        assert (B.word_hashes(raw, starts, ends) == want).all()
+    assert len(B.word_hashes(raw, starts[:0], ends[:0])) == 0
