@@ -18,6 +18,8 @@ from ctxloom.llm import _base as B
 
 #: Distinct words a worker remembers; beyond it, it starts anew.
 WORDS_KEPT = 600_000
+#: Text bytes that are cut into units together.
+TOGETHER = 1 << 16
 _CODERS: dict[str, object] = {}
 #: Of each ASCII byte: 0 white space, 1 letter, 2 digit, 3 other. And its lower case.
 _KIND = np.full(256, 3, np.uint8)
@@ -61,16 +63,11 @@ class _TextCoder:
         return np.fromiter((i for x in out for i in (*x, *tail)), np.uint32, int(n.sum())), n
 
 
-def _alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(kind of each unit, bytes of each kind): units are of one kind if all their bytes are equal."""
+def _alike(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(kind of each unit, bytes of each kind): units, from each start to the next, are of one kind if all their bytes are equal."""
     if not len(starts):
         return np.zeros(0, np.int64), []
-    inside = np.zeros(len(raw) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    data = raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
-    offsets = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(ends - starts, out=offsets[1:])
+    offsets = np.append(starts, len(data)).astype(np.int32)
     kinds = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
     names = kinds.dictionary
     bounds = np.frombuffer(names.buffers()[1], np.int32)[: len(names) + 1].tolist()
@@ -79,7 +76,10 @@ def _alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 
 class _WordCoder:
-    """Splits ASCII text into the pieces of the file's pattern with byte classes; other words go through the pattern itself."""
+    """Splits text of ASCII and the letters À to ÿ into the pieces of the file's pattern with byte classes; other words go through the pattern itself.
+
+    Those letters are composed already, and what could join them (a mark) makes its word one of the others.
+    """
 
     def __init__(self, tok, spec):
         import regex
@@ -90,7 +90,7 @@ class _WordCoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: printable bytes stand for themselves
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        # words with such bytes are split by the pattern: beyond ASCII, apostrophes, control bytes, starts of added tokens
+        # words with such bytes are split by the pattern: beyond ASCII (but for those letters), apostrophes, control bytes, starts of added tokens
         self.odd = np.ones(256, bool)
         self.odd[33:127] = False
         self.odd[[39, *(x.encode()[0] for x in self.added)]] = True
@@ -111,34 +111,55 @@ class _WordCoder:
         return [i for piece in self.pieces(word.lower() if word.isascii() else self.tok.normalizer.normalize_str(word)) for i in self.piece(piece.encode())]
 
     def units(self, raw: np.ndarray, off: np.ndarray):
-        """(bytes, starts, ends, whether odd, first unit of each text): odd words whole, the rest cut into runs of letters, digits and other signs."""
-        starts, ends, _ = B.word_spans(raw, off)
+        """(bytes without white space, start of each unit in them, whether it is odd, first unit of each text): odd words whole, the rest cut into runs of letters, digits and other signs."""
         n = len(raw)
-        count = np.concatenate([[0], np.cumsum(self.odd[raw], dtype=np.int32)])
-        odd = count[ends] > count[starts]
+        kind, data, odd = _KIND[raw], _SMALL[raw], self.odd[raw]
+        lead = np.flatnonzero(raw == 0xC3)  # of À to ÿ, but for the signs × and ÷
+        second = raw[lead + 1]
+        letter = (second != 0x97) & (second != 0xB7)
+        lead, second = lead[letter], second[letter]
+        kind[lead], kind[lead + 1], odd[lead], odd[lead + 1] = 1, 1, False, False
+        data[lead + 1] = second + np.where(second <= 0x9E, 32, 0).astype(np.uint8)
+        ink = kind > 0
+        edges = off[:-1][off[:-1] < n]
+        cut = np.ones(n, bool)
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut |= kind == 2
+        cut[edges] = True
+        cut &= ink
+        odd = np.flatnonzero(odd)
         inside = np.zeros(n + 1, np.int8)  # of an odd word
-        inside[starts[odd]] += 1
-        inside[ends[odd]] -= 1
-        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
-        kind = _KIND[raw]
-        cut = np.zeros(n + 1, bool)
-        cut[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-        cut[:n] &= ~inside & (kind > 0)
-        cut[starts] = True
-        begin = np.flatnonzero(cut[:n])
-        last = (kind > 0) & ~inside
-        last[:-1] &= cut[1:n] | (kind[1:] == 0)
-        last[ends - 1] = True
-        data = np.where(inside, raw, _SMALL[raw])
-        return data, begin, np.flatnonzero(last) + 1, inside[begin], np.searchsorted(begin, off)
+        if len(odd):
+            stop = ~ink  # the place after a word, or the first one of a text
+            stop[edges] = True
+            stops = np.append(np.flatnonzero(stop), n)
+            after = np.unique(np.searchsorted(stops, odd, side="right"))
+            before = stops[after - 1]
+            before += ~ink[before]
+            inside[before] += 1
+            inside[stops[after]] -= 1
+            inside = np.cumsum(inside, dtype=np.int8)
+            inner = inside[:n].view(bool)
+            cut &= ~inner
+            cut[before] = True
+            np.copyto(data, raw, where=inner)
+        at = np.flatnonzero(cut)
+        return data[ink], np.flatnonzero(cut[ink]), inside[at].view(bool), np.searchsorted(at, off)
 
     def __call__(self, col: pa.Array, end_id: int | None):
         raw, off = B.text_bytes(col)
         tail = 0 if end_id is None else 1
         if not len(raw):
             return np.full(tail * len(col), end_id or 0, np.uint32), np.full(len(col), tail, np.int64)
-        raw, starts, ends, odd, first = self.units(raw, off)
-        of, names = _alike(raw, starts, ends)
+        found, lo, bytes_before, units_before = [], 0, 0, 0
+        while lo < len(col):  # some texts at a time, so that they stay in the processor's cache
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + TOGETHER, side="right")) - 1)
+            data, begin, odd, first = self.units(raw[off[lo]: off[hi]], off[lo: hi + 1] - off[lo])
+            found.append((data, begin + bytes_before, odd, first[1:] + units_before))
+            lo, bytes_before, units_before = hi, bytes_before + len(data), units_before + len(begin)
+        data, starts, odd, first = map(np.concatenate, zip(*found))
+        first = np.append(0, first)
+        of, names = _alike(data, starts)
         uncut = np.zeros(len(names), bool)
         uncut[of] = odd  # words with odd bytes are whole, and nothing else has such bytes
         if len(self.at) + len(names) > WORDS_KEPT:
@@ -161,10 +182,18 @@ class _WordCoder:
         slots = slots[of]
         size = bounds[slots + 1] - bounds[slots]
         total = np.concatenate([[0], np.cumsum(size)])
-        n = total[first[1:]] - total[first[:-1]]
-        # each unit's ids go after all earlier ids and one end id for each text before its own
-        shift = total[:-1] + tail * B.doc_of(first)
-        out = np.full(int(total[-1]) + tail * len(n), end_id or 0, np.uint32)
-        within = np.arange(int(total[-1])) - np.repeat(total[:-1], size)
-        out[np.repeat(shift, size) + within] = self.flat[np.repeat(bounds[slots], size) + within]
-        return out, n + tail
+        # ids of a unit are in turn: the place of each in flat is its own place and a number of its unit
+        small = np.int32 if max(int(total[-1]), len(self.flat)) < 1 << 31 else np.int64
+        place = np.repeat((bounds[slots] - total[:-1]).astype(small), size)
+        place += np.arange(len(place), dtype=small)
+        ids = self.flat[place]
+        ends = total[first[1:]]
+        n = np.diff(ends, prepend=0)
+        if not tail:
+            return ids, n
+        out = np.empty(len(ids) + len(n), np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[ends + np.arange(len(n))] = False
+        out[inner] = ids
+        out[~inner] = end_id
+        return out, n + 1

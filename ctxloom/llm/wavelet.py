@@ -54,7 +54,7 @@ def encode(tokens: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, null_ids
     head = {"n": len(tokens), "docs": len(doc_ids), "planes": planes, "block_bits": BLOCK_BITS, "alphabet": put(pack(alphabet.tobytes())),
             "doc_ids": put(pack(np.asarray(doc_ids, "<i8").tobytes())), "nulls": put(pack(np.packbits(nulls).tobytes())), "counts": put(pack(np.asarray(counts, "<i8").tobytes())), "zeros": [], "blocks": []}
     for p in range(planes - 1, -1, -1):
-        bit = (s >> p) & 1 == 1
+        bit = (s & s.dtype.type(1 << p)).astype(bool)
         ones, rest = np.flatnonzero(bit), np.flatnonzero(~bit)
         packed = np.packbits(bit).tobytes()
         step = BLOCK_BITS // 8

@@ -86,3 +86,28 @@ def test_words_that_a_polynomial_cannot_tell_apart():
         text = " ".join(words)
         got = tokens.coder(PATH)(pa.array([text, *words]), 2)
         assert got[0].tolist() == [i for t in (text, *words) for i in (*direct(t), 2)]
+
+
+def test_accented_words_are_cut_without_the_pattern(monkeypatch):
+    c, asked = tokens.coder(PATH), []
+    c.clear()
+    monkeypatch.setattr(c, "word", lambda w: asked.append(w) or type(c).word(c, w))
+    texts = ["École ÜBER-straße ciónmentellar, 12é3 ÿ", "a×b é÷x E\u0301É don't ¿qué"]
+    ids, n = c(pa.array(texts), 2)
+    assert ids.tolist() == [i for t in texts for i in (*direct(t), 2)]
+    assert sorted(asked) == sorted(["a×b", "é÷x", "E\u0301É", "don't", "¿qué"])
+
+
+@pytest.mark.parametrize("together", [1, 40, tokens.TOGETHER])
+def test_any_mix_of_letters_and_signs(monkeypatch, together):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "TOGETHER", together)
+    rng, t = np.random.default_rng(5), Tokenizer.from_file(PATH)
+    signs = list("aAéÉßÿŸ×÷ñÀÞþ  \t\n'’12³ªµ«¿<|>ȩ中ǅẞﬁİσΣς.,- ") + ["\u0301", "\u0308", "\u0327", "\u0085", "\u200b", "🙂"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 25)))) for _ in range(1500)] + [None, ""]
+    ids, n = tokens.coder(PATH)(pa.array(texts), 2)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert ids.tolist() == [i for x in want for i in (*x, 2)] and n.tolist() == [len(x) + 1 for x in want]
+    ids, n = tokens.coder(PATH)(pa.array(texts), None)
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
