@@ -53,10 +53,15 @@ HELD = 1 << 22
 #: Words whose blocks are drawn together.
 WORDS = 32_000
 #: Pairs that are compared together; texts of more letters are compared one pair at a time.
-PAIRS, LONG = 256, 4000
+PAIRS, LONG = 1024, 4000
+#: Antidiagonals of a comparison after which it is seen which pairs are over.
+STEPS = 32
 #: Words left out on either side, few first.
 _AHEAD = sorted(((p, q) for p in range(5) for q in range(5) if p or q), key=lambda x: (max(x), sum(x)))
+#: A line of a batch's distinct ones: its hash, first place (d stands for doc_id), plain SimHash, and how often it is there.
+LINE = np.dtype([("hash", "i8"), ("d", "i8"), ("key", "i8"), ("sim", "i8"), ("line", "i4"), ("n", "i4")])
 _ODD = np.random.default_rng(10).integers(0, 1 << 63, BLOCKS, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_ODD32 = (_ODD >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
 _MAP[48:58] = 48
@@ -142,29 +147,30 @@ def _left_out(h: np.ndarray, w0: np.ndarray, n: int, most: int) -> np.ndarray:
 
 def _sampled(h: np.ndarray, length: np.ndarray, start: np.ndarray, blocks: range, words: int) -> np.ndarray:
     """lines x blocks: the majority vote of the three or four least words of each line (its words from start to the next), by each block's order."""
-    out = np.empty((len(start), len(blocks)), np.uint64)
+    out, low = np.empty((len(start), len(blocks)), np.uint64), h.astype(np.uint32)  # orders need no more bits, and half as many are drawn twice as fast
     for some, at, there in _columns(start, len(h)):
-        words_of, inverse = h[at], np.where(there, float(1 << 52) / length[at], np.inf)
-        same, least = np.empty(at.shape, bool), np.empty((words, len(some)))
+        words_of, inverse = low[at], np.where(there, np.float32(1 << 23) / length[at].astype(np.float32), np.float32(np.inf))
+        x, y, same, least = np.empty_like(words_of), np.empty_like(words_of), np.empty(at.shape, bool), np.empty((words, len(blocks), len(some)), np.float32)
         for column, k in enumerate(blocks):
-            x = words_of * _ODD[k]
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x >>= np.uint64(12)
-            x |= np.uint64(0x3FF << 52)  # a number from 1 to 2
-            rank = x.view(np.float64)
-            rank -= 1 - 2.0**-52
+            np.multiply(words_of, _ODD32[k], out=x)
+            np.right_shift(x, np.uint32(15), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint32(0x846CA68B), out=x)
+            np.right_shift(x, np.uint32(9), out=x)
+            np.bitwise_or(x, np.uint32(0x7F << 23), out=x)  # a number from 1 to 2
+            rank = x.view(np.float32)
+            rank -= np.float32(1 - 2.0**-24)
             rank *= inverse
             for n in range(words):
-                rank.min(axis=0, out=least[n])
+                rank.min(axis=0, out=least[n, column])
                 if n < words - 1:
-                    np.equal(rank, least[n], out=same)
+                    np.equal(rank, least[n, column], out=same)
                     np.copyto(rank, np.inf, where=same)
-            vote = B.mix(least.view(np.uint64))
-            for n in range(1, words):  # lines of fewer different words repeat one
-                np.copyto(vote[n], vote[n - 1], where=np.isinf(least[n]))
-            a, b, c, *d = vote
-            out[some, column] = a & (b | c | d[0]) | b & c & d[0] if d else a & b | b & c | a & c
+        vote = B.mix(least.view(np.uint32) + (_ODD[blocks.start: blocks.stop] << np.uint64(32))[:, None])
+        for n in range(1, words):  # lines of fewer different words repeat one
+            np.copyto(vote[n], vote[n - 1], where=np.isinf(least[n]))
+        a, b, c, *d = vote
+        out[some] = (a & (b | c | d[0]) | b & c & d[0] if d else a & b | b & c | a & c).T
     return out
 
 
@@ -210,7 +216,8 @@ def distance(a: str, b: str, most: int) -> int:
 def _banded(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
     """Levenshtein distances of pairs, x the shorter texts, where they are at most `most`, else larger numbers.
 
-    All pairs advance together by antidiagonals of the table, over the diagonals that a distance of `most` can reach.
+    All pairs advance together by antidiagonals of the table, over the diagonals that a distance of `most` can reach. A way through
+    the table meets one of two antidiagonals in turn, so a pair whose numbers on both exceed `most` is over; pairs that are over go once they are half of all.
     """
     n, m = (np.fromiter(map(len, t), np.int64, len(t)) for t in (x, y))
     half = (most - (m - n)) // 2
@@ -240,8 +247,10 @@ def _banded(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
     last, column = n + m, m - n - low
     out = np.where(last == 0, 0, 1 << 14)
     ends = np.argsort(last, kind="stable")
-    ended = np.searchsorted(last[ends], np.arange(int(last.max()) + 2))
-    for s in range(1, int(last.max()) + 1):
+    steps = np.arange(int(last.max()) + 2)
+    ended = np.searchsorted(last[ends], steps)
+    left = np.arange(pairs)  # the pairs that are still there
+    for s in steps[1:-1].tolist():
         p = (s - low) % 2
         here, count = (inner, rows - 1) if p else (even, rows)
         i, j = (s - low - p) // 2, (s + low + p) // 2
@@ -255,7 +264,18 @@ def _banded(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
         np.minimum(a, b, out=here)
         if ended[s + 1] > ended[s]:
             done = ends[ended[s]: ended[s + 1]]
-            out[done] = here[column[done] // 2, done]
+            out[left[done]] = here[column[done] // 2, done]
+        if s % STEPS == 0:
+            stay = (last > s) & (np.minimum(even.min(axis=0), odd.min(axis=0)) <= most)
+            if 2 * np.count_nonzero(stay) <= len(stay):
+                stay = np.flatnonzero(stay)
+                if not len(stay):
+                    break
+                left, last, column, most = left[stay], last[stay], column[stay], most[stay]
+                back, on, even, odd = (np.ascontiguousarray(t[:, stay]) for t in (back, on, even, odd))
+                inner, other, least, ones = odd[1:-1], np.empty_like(even), np.empty_like(even), np.ones_like(even)
+                ends = np.argsort(last, kind="stable")
+                ended = np.searchsorted(last[ends], steps)
     return out
 
 
@@ -426,15 +446,54 @@ def meet(batches, held: int = HELD):
         yield settle(True)[1]
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
+def _dealt_lines(lines: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
+    """(part, lines) of LINEs dealt by their hashes, as pmod(hash, parts) does: a row a part, with the lines as bytes."""
+    part = lines["hash"] % parts
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    some = np.flatnonzero(np.diff(ends, prepend=0))
+    offsets = pa.py_buffer(np.append(0, LINE.itemsize * ends[some]).astype(np.int32))
+    return pa.array(some.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(lines[order])])
+
+
+def places(batches):
+    """Places of the lines that are there more than once or have an id (are asked for), from batches with _dealt_lines()'s lines and ids; all of a line come to one task.
+
+    A line has a row for each batch that it was found in, the first of them marked; n is how often it is there in all.
+    """
+    lines, ids = [np.zeros(0, LINE)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        lines += [np.frombuffer(x.as_buffer(), LINE) for x in batch.column("lines").drop_null()]
+        ids.append(batch.column("id").drop_null().to_numpy())
+    x = np.concatenate(lines)
+    if not len(x):
+        return
+    x = x[np.lexsort((x["line"], x["key"], x["d"], x["hash"]))]
+    first = np.append(True, np.diff(x["hash"]) != 0)
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(x)))
+    n = np.add.reduceat(x["n"].astype(np.int64), start)
+    asked = np.isin(x["hash"][start], np.concatenate(ids))
+    some = np.repeat((n > 1) | asked, size)
+    columns = [x[c] for c in ("hash", "d", "key", "line", "sim")] + [np.repeat(n, size), np.repeat(asked, size), first]
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[some])) for c in columns], ["hash", "d", "key", "line", "sim", "n", "asked", "first"])
+
+
+def _duplicates(docs: DataFrame, similarity: float, counted: bool) -> tuple[DataFrame, DataFrame | None]:
+    """duplicate_lines(), and if asked for (doc_id, key, n_lines) of each row of docs."""
 
     spark = docs.sparkSession
     parts = min(FINER * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
-    what = "hash long, d long, key long, line int, n int, sim long, more_keys array<long>, more_lines array<int>"
-    names = [x.split()[0] for x in (what + ", part int, ids binary, blocks binary").split(", ")]
+    what = "doc_id long, key long, n_lines long, hash long, more_keys array<long>, more_lines array<int>, part int, lines binary, ids binary, blocks binary"
+    names = [x.split()[0] for x in what.split(", ")]
+    kinds_of = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary())))
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[c].cast(ty) if c in columns else pa.nulls(n, ty) for c, ty in kinds_of.items()], names)
 
-    def kinds(part: pa.RecordBatch):
+    def distinct(part: pa.RecordBatch):
+        """Other places of the lines that are there more than once; the different lines; the lines and values of their blocks."""
         doc, number, h, size, w0, words, length = _lines(part.column("text"))
         key = part.column("key").to_numpy()[doc]
         d = part.column("doc_id").fill_null((1 << 63) - 1).to_numpy()[doc]
@@ -443,46 +502,48 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         first, again = order[new], order[~new]
         n = np.diff(np.append(np.flatnonzero(new), len(order)))
         value, many, sim = _blocks(size[first], w0[first], words, length)
-
-        def lists(x: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - 1)).astype(np.int32)), pa.array(x))
-
-        rows = [pa.array(B.signed(h)[first]), pa.array(d[first]), pa.array(key[first]), pa.array(number[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(B.signed(sim)), lists(key[again]), lists(number[again].astype(np.int32))]
-        return rows, np.repeat(rows[0].to_numpy(), many), value
+        lines = np.empty(len(first), LINE)
+        for c, x in (("hash", B.signed(h)[first]), ("d", d[first]), ("key", key[first]), ("sim", B.signed(sim)), ("line", number[first]), ("n", n)):
+            lines[c] = x
+        ends = np.append(0, np.cumsum(n[n > 1] - 1)).astype(np.int32)
+        more = rows(hash=pa.array(np.ascontiguousarray(lines["hash"][n > 1])), **{c: pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for c, x in (("more_keys", key[again]), ("more_lines", number[again].astype(np.int32)))})
+        return more, lines, np.repeat(lines["hash"], many), value
 
     def run(batches):
         held = []
 
         def dealt():
-            cols = _dealt(*map(np.concatenate, zip(*held)), parts)
+            lines, ids, value = map(np.concatenate, zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(cols[0]), ty) for ty in kind_types), *cols], names)
+            yield rows(**dict(zip(("part", "lines"), _dealt_lines(lines, parts))))
+            yield rows(**dict(zip(("part", "ids", "blocks"), _dealt(ids, value, parts))))
 
         for batch in batches:
             for part in B.slices(batch):
-                rows, ids, value = kinds(part)
-                kind_types = [x.type for x in rows]
-                if len(rows[0]):
-                    yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), ty) for ty in (pa.int32(), pa.binary(), pa.binary()))], names)
-                held.append((ids, value))
-                if sum(len(x[0]) for x in held) >= PACKED:
-                    yield dealt()
+                if counted:
+                    raw, off = B.text_bytes(part.column("text"))
+                    n = np.diff(np.searchsorted(np.flatnonzero(raw == 10), off)) + (np.diff(off) > 0)
+                    yield rows(doc_id=part.column("doc_id"), key=part.column("key"), n_lines=pa.array(n))
+                more, *found = distinct(part)
+                if more.num_rows:
+                    yield more
+                held.append(found)
+                if sum(len(x[1]) for x in held) >= PACKED:
+                    yield from dealt()
         if held:
-            yield dealt()
-
-    # a row for each different line of a batch of texts: its first place and its other places; and rows of packed blocks with the lines that have them
-    both = B.keep(docs.select("key", "doc_id", "text").mapInArrow(run, what + ", part int, ids binary, blocks binary"), "lines")
-    lines = both.where("part is null").select(*names[:8])
-    kind = B.keep(lines.groupBy("hash").agg(F.min(F.struct("d", "key", "line")).alias("first"), F.max("sim").alias("sim"), F.sum("n").alias("n")), "kinds")
-    used = [kind]
+            yield from dealt()
 
+    # of each batch of texts: rows of packed lines, its different ones with their first places, and of packed blocks with the lines that have them; a row with the other places of a line that is there again
+    both = B.keep(docs.select("key", "doc_id", "text").mapInArrow(run, what), "lines")
     # a bucket needs two different lines
-    met = both.where("part is not null").select("part", "ids", "blocks").repartition("part").mapInArrow(lambda batches: meet(batches), "bucket long, id long")
+    met = both.where("ids is not null").select("part", "ids", "blocks").repartition("part").mapInArrow(lambda batches: meet(batches), "bucket long, id long")
     near = B.keep(met.groupBy("bucket", "id").agg(F.count("*").alias("times")), "members")
-    used.append(near)
-    held = kind.join(near.select(F.col("id").alias("hash")).distinct(), "hash", "left_semi").select("hash", "sim", F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("first.d").alias("ord"))
-    held = B.keep(held, "asked")
-    per_doc = held.groupBy("key").agg(F.collect_list(F.struct("line", "hash", "ord", "sim")).alias("asked"))
+    # most lines are there once and in no bucket: they are left out before anything is joined
+    asked = near.select("id").distinct().select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("binary").alias("lines"), "id")
+    packed = both.where("lines is not null").select("part", "lines", F.lit(None).cast("long").alias("id"))
+    at = B.keep(packed.unionByName(asked).repartition("part").mapInArrow(lambda batches: places(batches), "hash long, d long, key long, line int, sim long, n long, asked boolean, first boolean"), "places")
+    kind = at.where("first")
+    per_doc = kind.where("asked").groupBy("key").agg(F.collect_list(F.struct("line", "hash", F.col("d").alias("ord"), "sim")).alias("asked"))
 
     def fetch(part: pa.RecordBatch):
         found = {}
@@ -497,7 +558,6 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     said = B.arrow_map(docs.select("key", "text").join(per_doc.hint("shuffle_hash"), "key"), fetch, "id long, said string, ord long, sim long")
     said = B.keep(said.dropDuplicates(["id"]), "candidate-lines")  # equal rows of docs give a line each
-    used += [held, said]
 
     def verify(pairs: DataFrame) -> DataFrame:
         def run(part: pa.RecordBatch):
@@ -515,22 +575,33 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return (F.abs(F.col("p_len") - F.col("q_len")) <= F.greatest("p_tol", "q_tol")) & alike
 
     labels = link(members.select("bucket", "id", "ord", "tol", "times", "len", "sim"), verify, near=fits)
-    group = kind.select("hash", "first", "n").join(labels.select(F.col("id").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
+    group = kind.select("hash", F.struct("d", "key", "line").alias("first"), "n").join(labels.select(F.col("id").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
     whole = group.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("label", "keep")
     # a row per kind of line that occurs twice or is in a group; lines of a hot kind split over tasks
     keep = B.keep(group.join(whole, "label").select("hash", F.col("keep.key").alias("first_key"), F.col("keep.line").alias("first_line")), "repeated")
-    for x in (*used, labels):
+    for x in (near, said, labels):
         B.forget(x)
-    places = lines.join(keep, "hash").select("first_key", "first_line", F.explode(F.concat(F.array(F.struct("key", "line")), F.arrays_zip(F.col("more_keys").alias("key"), F.col("more_lines").alias("line")))).alias("at"))
-    gone = B.keep(places.select("first_key", "first_line", "at.key", "at.line").where("key <> first_key OR line <> first_line").select("key", "line").distinct(), "removed")
-    B.forget(both)
-    B.forget(keep)
-    return gone
+    others = both.where("hash is not null").select("hash", F.explode(F.arrays_zip(F.col("more_keys").alias("key"), F.col("more_lines").alias("line"))).alias("at"))
+    every = at.select("hash", "key", "line").unionByName(others.select("hash", "at.key", "at.line"))
+    gone = B.keep(every.join(keep, "hash").where("key <> first_key OR line <> first_line").select("key", "line").distinct(), "removed")
+    counts = B.keep(both.where("n_lines is not null").select("doc_id", "key", "n_lines"), "counts") if counted else None
+    for x in (both, at, keep):
+        B.forget(x)
+    return gone, counts
+
+
+def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, line): the lines, by number from 0, that an earlier line of their group stands for. docs: key, doc_id, text."""
+    return _duplicates(docs, similarity, False)[0]
+
+
+def _per_key(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, gone): numbers of removed lines, ascending, for each key of docs (key, doc_id, text) that loses any."""
-    return duplicate_lines(docs, similarity).groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    return _per_key(duplicate_lines(docs, similarity))
 
 
 def kept_text(text, gone):
@@ -543,10 +614,9 @@ def kept_text(text, gone):
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("key", B.row_key(F.col("doc_id"), F.col("text")))
-    n = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    counted = docs.select("doc_id", "key", n.cast("long").alias("n_lines"))
+    gone, counted = _duplicates(docs, SIMILARITY, True)
     none = F.array().cast("array<int>")
-    return counted.join(remove_lines(docs), "key", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", none).alias("removed_lines"))
+    return counted.join(_per_key(gone), "key", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", none).alias("removed_lines"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,3 +246,69 @@ def test_hashes_do_not_depend_on_how_much_is_hashed_together(monkeypatch):
         monkeypatch.setattr(B, "HASHED", n)
         assert (B.word_hashes(raw, starts, ends) == want).all()
     assert len(B.word_hashes(raw, starts[:0], ends[:0])) == 0
+
+
+def test_lines_that_are_there_once_and_in_no_bucket_are_not_joined(spark, monkeypatch):
+    rows = [(d, "\n".join("".join(map(chr, np.random.default_rng((d, k)).integers(97, 123, 60))) for k in range(20))) for d in range(10)]
+    rows += [(20, "twice there\nalone"), (None, "Twice there.\n\ntwice THERE"), (30, None), (31, ""), (31, "a b c d e f\n")]
+    kept, keep = {}, B.keep
+    monkeypatch.setattr(B, "keep", lambda df, name, *a: kept.setdefault(name, []).append(out := keep(df, name, *a)) or kept.setdefault("rows", []).append((name, out.count())) or out)
+    df = keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    gone, counts = L._duplicates(df, L.SIMILARITY, True)
+    assert sorted((r.doc_id, r.line) for r in gone.join(df, "key").collect()) == [(None, 0), (None, 2)]
+    assert sorted(map(tuple, counts.select("doc_id", "n_lines").collect()), key=str) == sorted(((d, len(t.split("\n")) if t else 0) for d, t in rows), key=str)
+    assert max(n for name, n in kept["rows"] if name not in ("lines", "counts")) <= 3
+
+
+def test_places_by_plain_code():
+    rng = np.random.default_rng(2)
+    x = np.zeros(300, L.LINE)
+    for c, most in (("hash", 90), ("d", 9), ("key", 5), ("line", 4), ("n", 2)):
+        x[c] = rng.integers(0, most, 300) + (c == "n") - 40 * (c == "hash")
+    ids = rng.choice(np.unique(x["hash"]), 12, replace=False)
+    for parts in (1, 7):
+        cols = [L._dealt_lines(x[a: a + 50], parts) for a in range(0, 300, 50)]
+        got = []
+        for p in range(parts):
+            packs = [y for part, lines in cols for q, y in zip(part.to_pylist(), lines.to_pylist()) if q == p]
+            mine = [i for i in ids.tolist() if i % parts == p]
+            batches = [pa.RecordBatch.from_arrays([pa.array(packs, pa.binary()), pa.nulls(len(packs), pa.int64())], ["lines", "id"]), pa.RecordBatch.from_arrays([pa.nulls(len(mine), pa.binary()), pa.array(mine, pa.int64())], ["lines", "id"])]
+            got += [tuple(r.values()) for out in L.places(iter(batches)) for r in out.to_pylist()]
+        want = []
+        for h in set(x["hash"].tolist()):
+            mine = sorted((int(r["d"]), int(r["key"]), int(r["line"]), int(r["sim"])) for r in x[x["hash"] == h])
+            n = int(x["n"][x["hash"] == h].sum())
+            if n > 1 or h in ids:
+                want += [(h, *r, n, h in ids, k == 0) for k, r in enumerate(mine)]
+        assert sorted(got) == sorted(want) and 0 < len(want) < 300
+    assert not list(L.places(iter([])))
+
+
+def test_pairs_that_are_over_early_do_not_change_the_others(monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9))))
+    x, y = [], []
+    for k in range(120):
+        s = [word() for _ in range(int(rng.integers(1, 40)))]
+        t = [word() for _ in s] if k % 4 else [w if rng.random() < 0.9 else w + "x" for w in s]
+        a, b = sorted((" ".join(s), " ".join(t)), key=len)
+        x.append(a)
+        y.append(b)
+    most = np.array([max(len(b) - len(a), len(b) // 5) for a, b in zip(x, y)])
+    want = [L.distance(a, b, k) <= k for a, b, k in zip(x, y, most.tolist())]
+    for steps in (1, 7, 32, 10_000):
+        monkeypatch.setattr(L, "STEPS", steps)
+        assert (L._banded(x, y, most) <= most).tolist() == want and 20 < sum(want) < 60
+
+
+def test_blocks_of_edited_lines_still_meet():
+    # shares of real-looking lines that share a block after an edit, at the recall that 64-bit orders had
+    rng = np.random.default_rng(12)
+    voc = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 11)))) for _ in range(2000)]
+    for lo, hi, least in ((9, 16, 0.95), (16, 41, 0.95), (41, 60, 0.95)):
+        lines = [[voc[int(i)] for i in rng.integers(0, 2000, int(rng.integers(lo, hi)))] for _ in range(300)]
+        other = [[*w[:at], voc[int(rng.integers(0, 2000))], *w[at + 1:]] for w in lines for at in [int(rng.integers(0, len(w)))]]
+        _, _, _, size, w0, words, length = L._lines(pa.array(["\n".join(map(" ".join, lines + other))]))
+        value, many, _ = L._blocks(size, w0, words, length)
+        blocks = [set(x.tolist()) for x in np.split(value, np.cumsum(many)[:-1])]
+        assert np.mean([bool(a & b) for a, b in zip(blocks[:300], blocks[300:])]) >= least
