@@ -109,6 +109,17 @@ def test_bytes_that_are_no_text():
     assert encodings.detect(b"caf\xe9 \x81")[1] == "café \x81"
 
 
+@pytest.mark.parametrize("text", ["plain words " * 400 + "ni\u00f1o canci\u00f3n", "the end. \u00c4ber ieung", "\u00c7\u00e8en en vich de.", "HE\u00c4VEN S\u00c4AL"])
+def test_few_latin_letters_in_a_long_text_or_alone_are_no_east_asian_signs(text):
+    assert encodings.detect(text.encode("latin-1"))[1] == text
+
+
+@pytest.mark.parametrize("name", ["gb18030", "big5", "cp932", "euc_jp", "cp949"])
+def test_few_east_asian_signs_in_a_long_text(name):
+    text = "plain words " * 400 + SAMPLES[name]
+    assert encodings.detect(text.encode(name))[1] == text
+
+
 @needs_tables
 def test_six_encodings_are_told_apart(spark):
     from ctxloom.plans import q_parse
