@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxloom.operators import ranges, usage
+from ctxloom.plans.catalog import ORACLE, QUERIES
 from ctxloom.sources import scratch
 
 T0 = dt.datetime(2024, 1, 1)
@@ -87,3 +88,15 @@ def test_chain_of_one_hot_key(spark):
     assert got == plain_chain(rows, 45) and len(got) > 1000
     assert ranges.chain(df.limit(0), "k", "ts", 45, "event_id").collect() == []
     assert ranges.chain(df, "k", "ts", 0, "event_id").count() == 4002
+
+
+def test_a_lock_hangs_by_turns_of_the_second(spark, tmp_path):
+    """date_diff counts turns of the second: 23:49:59.9 is 601 of them before midnight, 600.1 seconds."""
+    at = [dt.datetime(2024, 1, 30, 23, 49, 59, 0), dt.datetime(2024, 1, 30, 23, 49, 59, 900000), dt.datetime(2024, 1, 30, 23, 50), dt.datetime(2024, 1, 30, 23, 50, 0, 1), dt.datetime(2024, 2, 1), None]
+    rows = [(i, t, i, "signup", 1.0, "{}") for i, t in enumerate(at)] + [(9, at[0], 9, "view", 1.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE["locks_hanging"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["locks_hanging"](spark, str(tmp_path)).collect()) == want == [(0,), (1,)]
