@@ -5,9 +5,9 @@ best directories that are not open yet, four a query; their best children are sc
 score, and those that pass become results or directories to open. A query ends when its results have not changed, or none has
 come, for three rounds, or nothing is left to open.
 
-All queries advance together: a round is one join of the opened directories with their children, whatever the number of
-queries. The state (what each query has met, and its counters) is two tables, written each round; a query's state holds
-what it has met, and its children are cut to the best few before they are shuffled.
+All queries advance together: a round compares the opened directories' children with the queries that opened them, by directory, whatever the
+number of queries (see nearest). The state (what each query has met, and its counters) is two tables, written each round; a query's state holds
+what it has met, and of its children only the best few of each task are shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxloom.operators import retrieve, vectors
+from ctxloom.operators import nearest, retrieve
 from ctxloom.sources import scratch
 
 #: Directories that a query opens in a round; rounds without a change that end it; directories that start it, at least.
@@ -32,11 +32,6 @@ def _best(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "uri"))).where(F.col("_r") <= n).drop("_r")
 
 
-def _scored(df: DataFrame, kind: str) -> DataFrame:
-    """score from embedding and query; a missing or infinite one is 0."""
-    return df.withColumn("score", F.round(vectors.finite(vectors.score(kind, F.col("embedding"), F.col("query"))), 6)).drop("embedding", "query")
-
-
 def _reranked(df: DataFrame, rescore: Rescore | None) -> DataFrame:
     """Scores of the reranker where they are finite."""
     if rescore is None:
@@ -60,11 +55,12 @@ def find_thinking(
     """
     vec = scratch.written(queries.select("query_id", "query"), "queries")
     tree = scratch.written(nodes.select("uri", "parent_uri", "level", "embedding"), "tree")
+    sizes = scratch.written(nearest.sizes(tree, "embedding", "parent_uri"), "sizes")
     wanted = F.lit(True) if levels is None else F.col("level").isin(*levels)
     dirs = tree.where(F.col("level") != FILE_LEVEL)
 
     # where the search starts: a stated query set against all directories
-    hits = _scored(vectors.against(dirs, vec).select("query_id", "uri", "level", "embedding", "query"), kind)
+    hits = nearest.nearest(dirs.select("uri", "level", "embedding"), vec, max(limit, SEEDS), kind, "uri", largest=False)
     hits = scratch.written(_reranked(_best(hits, ["query_id"], max(limit, SEEDS)), rescore), "seeds")
     always = vec.select("query_id", F.explode(F.array(*map(F.lit, roots))).alias("uri"), F.lit(0.0).alias("score"))
     # a root that is a hit keeps the hit's score, even one below 0
@@ -79,10 +75,10 @@ def find_thinking(
         live = met.where("open_score IS NOT NULL AND NOT opened").join(state.where("active").select("query_id"), "query_id", "left_semi")
         opened = scratch.written(_best(live.select("query_id", "uri", F.col("open_score").alias("score")), ["query_id"], FAN_OUT), "opened")
         if opened.isEmpty():
-            scratch.drop(opened, tree, vec)
+            scratch.drop(opened, tree, sizes, vec)
             break
         asked = opened.select("query_id", F.col("uri").alias("parent_uri"), F.col("score").alias("_above")).join(vec, "query_id")
-        kids = _scored(tree.join(asked, "parent_uri").select("query_id", "parent_uri", "uri", "level", "embedding", "query", "_above"), kind)
+        kids = nearest.nearest(tree, asked, max(2 * limit, 20), kind, "uri", largest=False, within="parent_uri", row_sizes=sizes)
         kids = _reranked(_best(kids, ["query_id", "parent_uri"], max(2 * limit, 20)), rescore)
         kids = kids.withColumn("score", F.round(retrieve.propagated(F.col("score"), F.col("_above"), alpha), 6)).where(passes(F.col("score"), threshold, inclusive))
         new = kids.select("query_id", "uri", F.when(F.col("level") != FILE_LEVEL, F.col("score")).alias("open_score"), F.when(wanted, F.col("score")).alias("score"), F.lit(False).alias("opened"))

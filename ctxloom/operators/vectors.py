@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxloom.operators import nearest
+
 INT8_MAX = 127.0
 RRF_K = 60
 
@@ -92,26 +94,9 @@ def top(df: DataFrame, k: int, id_col: str = "vec_id", score_col: str = "score")
     return df.withColumn(score_col, F.round(finite(F.col(score_col)), 6)).orderBy(F.desc(score_col), F.desc(id_col)).limit(k)
 
 
-#: Bytes of query vectors that are broadcast at once.
-BLOCK_BYTES = 8 << 20
-
-
-def against(rows: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows beside all queries (query_id, query) of a stated set, which is broadcast in blocks of a checked size, a pass over the rows a block."""
-    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.size("query"), F.lit(0)) * 8 + 64), F.lit(0))).first()
-    blocks = max(1, min(n, -(-size // block_bytes)))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = rows.crossJoin(F.broadcast(part.select("query_id", F.col("query").alias("query"))))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
-def batch_knn(rows: DataFrame, queries: DataFrame, k: int, kind: str = "ip", id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def batch_knn(rows: DataFrame, queries: DataFrame, k: int, kind: str = "ip", id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = nearest.CELL_BYTES) -> DataFrame:
     """(query_id, rank, id, score) for a stated query set; ranks are limited before the shuffle."""
-    s = F.round(finite(score(kind, F.col(vector), F.col("query"))), 6)
-    scored = against(rows.select(id_col, vector), queries, block_bytes).select("query_id", id_col, s.alias("score"))
+    scored = nearest.nearest(rows.select(id_col, vector), queries.select("query_id", "query"), k, kind, id_col, vector, cell_bytes=block_bytes)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(id_col)))).where(F.col("rank") <= k)
 
 
