@@ -5,24 +5,33 @@ best directories that are not open yet, four a query; their best children are sc
 score, and those that pass become results or directories to open. A query ends when its results have not changed, or none has
 come, for three rounds, or nothing is left to open.
 
-All queries advance together: a round compares the opened directories' children with the queries that opened them, by directory, whatever the
-number of queries (see nearest). The state (what each query has met, and its counters) is two tables, written each round; a query's state holds
-what it has met, and of its children only the best few of each task are shuffled.
+All queries advance together, several rounds a step. A step compares the best directories that each query may open next with their
+children, by directory, whatever the number of queries (see nearest); then each query goes on by itself until it comes to a directory whose
+children it hasn't seen. So a step is a job, and most searches take a few; some children are scored that are never asked for. What a query
+has met is written each step, and of its children only the best few of each task are shuffled.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ctxloom.operators import nearest, retrieve
+from ctxloom.operators import nearest
 from ctxloom.sources import scratch
 
 #: Directories that a query opens in a round; rounds without a change that end it; directories that start it, at least.
 FAN_OUT, PATIENCE, SEEDS = 4, 3, 10
 FILE_LEVEL = 2
+#: Directories of a query whose children are scored in a step; as many as it has opened, if these are more.
+AHEAD = 16
+#: What is known of a query: met (a row a node), kid (children seen, not opened yet), got (their directories), state (one row), ask (directories to look into next) and result.
+KNOWN = "kind string, uri string, parent_uri string, level int, open_score double, score double, opened boolean, top array<string>, pool long, same int, idle int, rounds int"
 
 Rescore = Callable[[DataFrame], DataFrame]
 
@@ -40,7 +49,7 @@ def _reranked(df: DataFrame, rescore: Rescore | None) -> DataFrame:
     return rescore(df.withColumn("_vector", F.col("score"))).withColumn("score", F.when(usable, F.col("score")).otherwise(F.col("_vector"))).drop("_vector")
 
 
-def passes(score: Column, threshold: float, inclusive: bool) -> Column:
+def passes(score, threshold: float, inclusive: bool):
     return score >= threshold if inclusive else score > threshold
 
 
@@ -66,52 +75,111 @@ def find_thinking(
     # a root that is a hit keeps the hit's score, even one below 0
     starts = hits.select("query_id", "uri", "score").unionByName(always).groupBy("query_id", "uri").agg(F.max_by("score", F.struct(F.col("score") != 0, "score")).alias("open_score"))
     asked_for = wanted & passes(F.col("score"), threshold, inclusive) if levels is not None else F.lit(False)
-    first = hits.where(asked_for).select("query_id", "uri", F.lit(None).cast("double").alias("open_score"), "score", F.lit(False).alias("opened"))
-    met = _met(starts.select("query_id", "uri", "open_score", F.lit(None).cast("double").alias("score"), F.lit(False).alias("opened")).unionByName(first))
-    state = scratch.written(vec.select("query_id", F.array().cast("array<string>").alias("top"), F.lit(0).cast("long").alias("pool"), F.lit(0).alias("same"), F.lit(0).alias("idle"), F.lit(0).alias("rounds"), F.lit(True).alias("active")), "state")
+    first = hits.where(asked_for).select("query_id", "uri", "score")
+    own = lambda df, kind: df.withColumn("kind", F.lit(kind))
+    begun = own(starts, "met").unionByName(own(first, "met"), True)
+    begun = begun.unionByName(own(vec.select("query_id", F.array().cast("array<string>").alias("top"), F.lit(0).cast("long").alias("pool"), F.lit(0).alias("same"), F.lit(0).alias("idle"), F.lit(0).alias("rounds")), "state"), True)
+    schema = StructType([vec.schema["query_id"], *StructType.fromDDL(KNOWN)])
+    blank = queries.sparkSession.createDataFrame([], schema)
+    go = _until_unseen(schema.names, limit, threshold, inclusive, alpha, levels)
+    advanced = lambda df: scratch.written(blank.unionByName(df, True).groupBy("query_id").applyInArrow(go, schema), "search")
+    search = advanced(begun)
+    steps = [search]
     scratch.drop(hits)
-
-    while True:
-        live = met.where("open_score IS NOT NULL AND NOT opened").join(state.where("active").select("query_id"), "query_id", "left_semi")
-        opened = scratch.written(_best(live.select("query_id", "uri", F.col("open_score").alias("score")), ["query_id"], FAN_OUT), "opened")
-        if opened.isEmpty():
-            scratch.drop(opened, tree, sizes, vec)
-            break
-        asked = opened.select("query_id", F.col("uri").alias("parent_uri"), F.col("score").alias("_above")).join(vec, "query_id")
+    while not (asks := search.where("kind = 'ask'").select("query_id", "uri")).isEmpty():
+        asked = asks.withColumnRenamed("uri", "parent_uri").join(vec, "query_id")
         kids = nearest.nearest(tree, asked, max(2 * limit, 20), kind, "uri", largest=False, within="parent_uri", row_sizes=sizes)
         kids = _reranked(_best(kids, ["query_id", "parent_uri"], max(2 * limit, 20)), rescore)
-        kids = kids.withColumn("score", F.round(retrieve.propagated(F.col("score"), F.col("_above"), alpha), 6)).where(passes(F.col("score"), threshold, inclusive))
-        new = kids.select("query_id", "uri", F.when(F.col("level") != FILE_LEVEL, F.col("score")).alias("open_score"), F.when(wanted, F.col("score")).alias("score"), F.lit(False).alias("opened"))
-        marks = opened.select("query_id", "uri", F.col("score").alias("open_score"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("opened"))
-        more = _met(met.unionByName(marks).unionByName(new))
-        after = scratch.written(_advanced(state, more.where("score IS NOT NULL"), opened, limit), "state")
-        scratch.drop(opened, met, state)
-        met, state = more, after
-
-    out = _best(met.where("score IS NOT NULL").select("query_id", "uri", "score"), ["query_id"], limit)
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "uri")))
-    return out.join(state.select("query_id", "rounds"), "query_id").select("query_id", "rank", "uri", "score", "rounds")
-
-
-def _met(rows: DataFrame) -> DataFrame:
-    """What each query has met: best scores as a directory to open and as a result, and whether it is open."""
-    return scratch.written(rows.groupBy("query_id", "uri").agg(F.max("open_score").alias("open_score"), F.max("score").alias("score"), F.max("opened").alias("opened")), "met")
-
-
-def _advanced(state: DataFrame, found: DataFrame, opened: DataFrame, limit: int) -> DataFrame:
-    """The counters of each query after a round: results unchanged, else no new one, else a change."""
-    top = _best(found, ["query_id"], limit).groupBy("query_id").agg(F.sort_array(F.collect_list("uri")).alias("_top"))
-    size = found.groupBy("query_id").agg(F.count("*").alias("_pool"))
-    ran = opened.select("query_id", F.lit(True).alias("_ran")).distinct()
-    s = state.join(ran, "query_id", "left").join(top, "query_id", "left").join(size, "query_id", "left")
-    now, pool = F.coalesce("_top", F.array().cast("array<string>")), F.coalesce("_pool", F.lit(0).cast("long"))
-    ran = F.coalesce("_ran", F.lit(False)) & F.col("active")
-    same = (now == F.col("top")) & (F.size(now) >= limit)
-    idle = ~same & (pool == F.col("pool"))
-    moved = ~same & ~idle
-    grown = lambda flag, c: F.when(moved, 0).otherwise(F.col(c) + flag.cast("int"))
-    after = lambda new, c: F.when(ran, new).otherwise(F.col(c)).alias(c)
-    out = s.select(
-        "query_id", after(F.when(moved, now).otherwise(F.col("top")), "top"), after(F.when(moved, pool).otherwise(F.col("pool")), "pool"),
-        after(grown(same, "same"), "same"), after(grown(idle, "idle"), "idle"), after(F.col("rounds") + 1, "rounds"), ran.alias("active"))
-    return out.withColumn("active", F.col("active") & (F.col("same") < PATIENCE) & (F.col("idle") < PATIENCE))
+        kept = search.where("kind NOT IN ('ask', 'result')")
+        search = advanced(kept.unionByName(own(asks, "got"), True).unionByName(own(kids.select("query_id", "parent_uri", "uri", "level", "score"), "kid"), True))
+        steps.append(search)
+    found = steps[0]
+    for more in steps[1:]:
+        found = found.unionByName(more)
+    out = scratch.written(found.where("kind = 'result'").select("query_id", F.col("pool").cast("int").alias("rank"), "uri", "score", "rounds"), "found")
+    scratch.drop(*steps, tree, sizes, vec)
+    return out
+
+
+def _until_unseen(names: list[str], limit: int, threshold: float, inclusive: bool, alpha: float, levels: tuple[int, ...] | None) -> Callable[[pa.Table], pa.Table]:
+    """A query's rows (KNOWN) after as many rounds as its children seen allow."""
+
+    def go(table: pa.Table) -> pa.Table:
+        met: dict[str, list] = {}  # uri: best scores as a directory to open and as a result, and whether it is open
+        kids: dict[str, list] = {}
+        top, pool, same, idle, rounds = [], 0, 0, 0, 0
+
+        def meet(uri: str, open_score: float | None, score: float | None, opened: bool = False) -> None:
+            m = met.setdefault(uri, [None, None, False])
+            m[0] = open_score if m[0] is None or open_score is not None and open_score > m[0] else m[0]
+            m[1] = score if m[1] is None or score is not None and score > m[1] else m[1]
+            m[2] |= opened
+
+        for row in zip(*(table.column(c).to_pylist() for c in names[1:])):
+            kind, uri, parent, level, open_score, score, opened, *counters = row
+            if kind == "met":
+                meet(uri, open_score, score, bool(opened))
+            elif kind == "got":
+                kids.setdefault(uri, [])
+            elif kind == "kid":
+                kids.setdefault(parent, []).append((uri, level, score))
+            else:
+                top, pool, same, idle, rounds = counters
+        is_dir = lambda level: level is not None and level != FILE_LEVEL
+
+        def expected(live: list[tuple[float, str]]) -> list[tuple[float, str]]:
+            """Directories unseen that may be opened soon: those that can be now, and those below the ones seen but not opened yet."""
+            soon, todo = {}, [(u, -s) for s, u in live]
+            while todo:
+                u, above = todo.pop()
+                if u not in soon:
+                    soon[u] = above
+                    todo += [(k, score) for k, level, s in kids.get(u, ()) if is_dir(level) and k not in met and passes(score := s * alpha + above * (1 - alpha), threshold, inclusive)]
+            return [(-s, u) for u, s in soon.items() if u not in kids]
+
+        best = lambda n, of: [(u, -s) for s, u in heapq.nsmallest(n, of)]
+        asks: list[str] = []
+        while same < PATIENCE and idle < PATIENCE:
+            live = [(-m[0], u) for u, m in met.items() if m[0] is not None and not m[2]]
+            opening = best(FAN_OUT, live)
+            if any(u not in kids for u, _ in opening):
+                asks = [u for u, _ in opening if u not in kids]
+                asks += [u for u, _ in best(max(AHEAD, FAN_OUT * rounds), expected(live)) if u not in asks]
+                break
+            if not opening:
+                break
+            for u, _ in opening:
+                met[u][2] = True
+            for u, above in opening:
+                some = kids.pop(u)
+                # a directory's score of exactly 0 leaves the score alone
+                raw = np.array([s for _, _, s in some], np.float64)
+                mixed = nearest.rounded(raw * alpha + above * (1 - alpha) if above != 0 else raw).tolist()
+                for (uri, level, _), score in zip(some, mixed):
+                    if passes(score, threshold, inclusive):
+                        meet(uri, score if is_dir(level) else None, score if levels is None or level in levels else None)
+            results = [(-m[1], u) for u, m in met.items() if m[1] is not None]
+            now = sorted(u for u, _ in best(limit, results))
+            rounds += 1
+            if now == top and len(now) >= limit:
+                same += 1
+            elif len(results) == pool:
+                idle += 1
+            else:
+                top, pool, same, idle = now, len(results), 0, 0
+        out = []
+        if asks:
+            out.append(("state", None, None, None, None, None, None, top, pool, same, idle, rounds))
+            rest = (None,) * 5
+            out += [("met", u, None, None, *m, *rest) for u, m in met.items()]
+            out += [("got", u, None, None, None, None, None, *rest) for u in kids]
+            out += [("kid", u, p, level, None, s, None, *rest) for p, some in kids.items() for u, level, s in some]
+            out += [("ask", u, None, None, None, None, None, *rest) for u in asks]
+        else:
+            results = best(limit, ((-m[1], u) for u, m in met.items() if m[1] is not None))
+            out += [("result", u, None, None, None, s, None, None, i + 1, None, None, rounds) for i, (u, s) in enumerate(results)]
+        kinds = table.schema
+        ids = pa.array(table.column(names[0]).to_pylist()[:1] * len(out), kinds.field(names[0]).type)
+        return pa.table([ids, *(pa.array([r[i] for r in out], kinds.field(c).type) for i, c in enumerate(names[1:]))], names=names)
+
+    return go

@@ -144,3 +144,16 @@ def test_query_equals_a_heap(spark):
     nodes = [tuple(r) for r in q_search.directory_vectors(t).collect()]
     queries = [(r.vec_id, r.embedding) for r in t.embeddings.where("vec_id % 20 = 0").collect()]
     compare(QUERIES["find_thinking"](spark, SF).collect(), nodes, queries, ["/resources"], 10, threshold=0.05, alpha=0.7)
+
+
+@pytest.mark.parametrize("ahead", [1, 16])
+def test_rounds_share_jobs(spark, ahead, monkeypatch):
+    """A round was two tables before, so long searches waited for Spark; now a step goes on as far as the children seen allow."""
+    monkeypatch.setattr(frontier, "AHEAD", ahead)
+    names, real = [], frontier.scratch.written
+    monkeypatch.setattr(frontier.scratch, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    nodes, queries = tree(7)
+    got = frontier.find_thinking(spark.createDataFrame(nodes, SCHEMA), spark.createDataFrame(queries, "query_id long, query array<double>"), ["/r"], 5, 0.1, alpha=0.6).collect()
+    compare(got, nodes, queries, ["/r"], 5, threshold=0.1, alpha=0.6)
+    rounds = max(r.rounds for r in got)
+    assert rounds > 4 and (ahead == 1 or len(names) < 2 * rounds)
